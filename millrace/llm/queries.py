@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, quality_fm
+from . import bpe, language_id, near_dedup, packing, quality_fm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +29,32 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _crc("doc_id", 5) == 0)
     model = quality_fm.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(_crc("doc_id", 5) != 0))
     return quality_fm.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_language_id": op4_language_id,
+    "op5_bpe": op5_bpe,
     "op9_quality_fm": op9_quality_fm,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
