@@ -8,11 +8,11 @@ documents of similarity s share a key with probability
 ``(1 - (1 - s**h)**m)**2``: 0.9998 at 0.8 for m = 9, h = 2.
 
 Candidates are confirmed on full shingle sets. A bucket is not paired out:
-every member meets the bucket's first member; where confirmed links leave
-members in different components, further members are compared with the rest in
-growing rounds until no two members of different components are untested. A
-hot bucket thus costs about its size times the hubs it needs, no key is capped,
-and equal sets are one class from the start, however many copies they have.
+every member meets the bucket's first member. Where confirmed links leave
+members of a bucket in different components, an exact prefix-filtered join
+(``open_pairs``) finds every pair across them that can still reach the
+similarity. No key is capped, and equal sets are one class from the start,
+however many copies they have.
 
 Defined cases: a null or blank text has an empty set and is linked with
 nothing; with fewer words than the shingle width the whole sequence is one
@@ -115,7 +115,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, m: int, labels_of=components) -> DataFrame:
+def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, m: int) -> DataFrame:
     """id, label for every representative (id, n_shingles, g*) that is linked with another."""
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets link with equal ones only
     keys = [F.xxhash64(F.lit(i * m + j), F.col(f"g{i}"), F.col(f"g{m + j}")) for i in range(m) for j in range(m)]
@@ -133,33 +133,52 @@ def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, m: int,
     candidates = members.select("id").distinct()
     sets = stored(shingle_sets(texts.join(candidates, "id", "left_semi"), width))
     pairs = members.where("id <> hub").where(near_in_size("n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(confirmed(pairs, sets, percent))
-    labels = labels_of(links)
-    # Rounds: (key, id) with ``tested`` once it has met all members of other components.
-    state = members.select("key", "id", "n", (F.col("id") == F.col("hub")).alias("tested"))
-    hubs = 4
-    while True:
-        known = state.join(labels, "id", "left").select("key", "id", "n", "tested", F.coalesce("label", "id").alias("label"))
-        open_label = F.when(~F.col("tested"), F.col("label"))
-        left = known.groupBy("key").agg(F.min(open_label).alias("lo"), F.max(open_label).alias("hi")).where("lo <> hi").select("key")
-        known = stored(known.join(left, "key"))
-        if known.isEmpty():
-            return labels
-        turn = Window.partitionBy("key").orderBy("id")
-        chosen = known.where("not tested").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= hubs)
-        chosen = stored(chosen.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label")))
-        pairs = (
-            known.where("not tested").join(chosen, "key")
-            .where("label <> hub_label").where(near_in_size("n", "hub_n"))
-            .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        )
-        new = stored(confirmed(pairs, sets, percent))
-        state = known.join(chosen.select("key", F.col("hub").alias("id"), F.lit(True).alias("met")), ["key", "id"], "left")
-        state = state.select("key", "id", "n", (F.col("tested") | F.coalesce("met", F.lit(False))).alias("tested"))
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = labels_of(links)
-        hubs *= 4
+    labels = components(stored(confirmed(pairs, sets, percent)))
+    more = confirmed(open_pairs(members, labels, sets, percent), sets, percent)
+    of = labels.withColumnRenamed("label", "of")
+    crossing = more.join(of.withColumnRenamed("id", "a").withColumnRenamed("of", "x"), "a", "left").join(of.withColumnRenamed("id", "b").withColumnRenamed("of", "y"), "b", "left")
+    crossing = stored(crossing.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct())
+    if crossing.isEmpty():
+        return labels
+    # Components of components: only what the new links touch gets another label.
+    joined = components(crossing).select(F.col("id").alias("was"), F.col("label").alias("now"))
+    every = labels.unionByName(joined.select(F.col("was").alias("id"), F.col("was").alias("label")).join(labels, "id", "left_anti"))
+    return stored(every.join(joined, every["label"] == joined["was"], "left").select("id", F.coalesce("now", "label").alias("label")))
+
+
+def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs that may still be linked across the components that share a bucket.
+
+    In a bucket whose members (its hub has met them all) lie in several
+    components, those outside the largest one are minor. Every minor is joined
+    with all members of such buckets on a shingle of both prefixes, under one
+    order in which shingles that few minors have come first: sets that reach the
+    similarity share one there, and the rest of both after it must be able to
+    hold the overlap that is needed. So a member far from all others, whose first
+    shingles are its own, makes no pair at all, however large its bucket.
+    """
+    rest = members.where("id <> hub").select("key", "id").join(labels, "id", "left")
+    rest = rest.select("key", "id", F.coalesce("label", "id").alias("label"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    per_key = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    rest = rest.join(per_key, "key").join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    rest = stored(rest)
+    top = rest.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
+    per_id = rest.join(top, "key").groupBy("id").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("top")).alias("minor"))
+    own = stored(sets.join(per_id, "id").select("id", "label", "minor", "shingles"))
+    spread = own.select("id", "label", "minor", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    common = spread.where("minor").groupBy("s").agg(F.count("*").alias("f"))
+    ranked = spread.join(common, "s", "left").groupBy("id", "label", "minor", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "s"))).alias("all"))
+    prefix = F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    heads = stored(ranked.select("id", "label", "minor", "n", F.posexplode(prefix).alias("at", "x")).where("x.f > 0").select("id", "label", "minor", "n", "at", F.col("x.s").alias("s")))
+    left = heads.where("minor").select("s", *[F.col(c).alias(f"a_{c}") for c in ("id", "label", "n", "at")])
+    right = heads.select("s", *[F.col(c).alias(f"b_{c}") for c in ("id", "label", "n", "at", "minor")])
+    once = ~F.col("b_minor") | (F.col("a_id") < F.col("b_id"))
+    # 100 * overlap >= percent * union  <=>  (100 + percent) * overlap >= percent * (sum of the sizes)
+    room = (100 + percent) * (1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1)
+    fits = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (room >= percent * (F.col("a_n") + F.col("b_n")))
+    met = left.join(right, (left["s"] == right["s"]) & (F.col("a_label") != F.col("b_label")) & once & fits)
+    return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
 def near_duplicates(
