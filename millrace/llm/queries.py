@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, near_dedup, packing, quality_fm
+from . import bpe, exact_topk, language_id, licences, near_dedup, ogg, packing, quality_fm, reply_trees, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,29 @@ def _crc(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
+def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.features(table(spark, sf_dir, "documents"))
+
+
+def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    found = reply_trees.conversations_of(rows)
+    said_turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(said_turns, ""), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("learned"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -39,6 +62,19 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = warc.written(table(spark, sf_dir, "pages"))
+    return warc.read_archives(chunks).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _crc("doc_id", 5) == 0)
     model = quality_fm.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(_crc("doc_id", 5) != 0))
@@ -50,12 +86,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_near_dedup": op3_near_dedup,
-    "op4_language_id": op4_language_id,
-    "op5_bpe": op5_bpe,
-    "op9_quality_fm": op9_quality_fm,
-    "op10_packing": op10_packing,
-}
+    f.__name__: f
+    for f in (
+        op1_ogg_media, op2_reply_trees, op3_near_dedup, op4_language_id, op5_bpe, op6_exact_topk, op7_licence_scan, op8_warc,
+        op9_quality_fm, op10_packing,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_near_dedup": r"""
@@ -78,5 +114,63 @@ reach AS (
   UNION SELECT r.id, x.b FROM reach r JOIN both_ways x ON x.a = r.seen)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.of AS component_id, d.doc_id = r.of AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(seen) AS of FROM reach GROUP BY id) r ON r.id = d.doc_id
+""",
+    "op2_reply_trees": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marks AS (
+  SELECT *, length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) AS body,
+    length(role) + length(regexp_replace(role, '[^\\<\[|]', '', 'g')) AS head
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(head + body + 13)::BIGINT AS formatted_chars
+FROM marks GROUP BY conv_id
+""",
+    "op6_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < first_id THEN first_id END AS refers_to
+FROM f
 """,
 }
+
+
+def _licence_sql() -> str:
+    """Every passage against every template of fitting size."""
+    quoted = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licences.TEMPLATES.items())
+    t = licences.THRESHOLD
+    grams = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+    words = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
+    return f"""
+WITH t AS (SELECT name, {grams.format("w")} AS g FROM (SELECT name, {words.format("text")} AS w FROM (VALUES {quoted}) x(name, text))),
+p AS (
+  SELECT doc_id, unnest(list_distinct(list_concat([text], regexp_split_to_array(text, '\\n[ \\t\\r\\f\\v]*\\n'), string_split(text, chr(10))))) AS passage
+  FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, {grams.format("w")} AS g FROM (SELECT doc_id, {words.format("passage")} AS w FROM p)),
+m AS (
+  SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice
+  FROM g JOIN t ON len(g.g) BETWEEN {t} / (2 - {t}) * len(t.g) - 1e-9 AND (2 - {t}) / {t} * len(t.g) + 1e-9),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) AS at, count(*) OVER (PARTITION BY doc_id) AS n FROM m WHERE dice >= {t} - 1e-12)
+SELECT d.doc_id, k.name AS licence, k.dice, coalesce(k.n, 0)::BIGINT AS n_matches
+FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND k.at = 1
+""".replace("\\n", "\n").replace("\\t", "\t").replace("\\r", "\r").replace("\\f", "\f").replace("\\v", "\v")
+
+
+ORACLE_SQL["op7_licence_scan"] = _licence_sql()
