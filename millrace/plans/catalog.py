@@ -1,4 +1,6 @@
-"""Registry of the engine's own queries and the SQL that checks them."""
+"""All queries of the engine and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from millrace.plans import market  # noqa: F401
+from millrace.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
