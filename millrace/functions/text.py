@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,13 +119,11 @@ def hamming(a: Column | str, b: Column | str) -> Column:
 
 def gradient_hash(cells: Column | str, rows: int = 8, columns: int = 8) -> Column:
     """Bit i of a row-major grid: is the cell greater than its right neighbour? The first bit is the highest; the last column has none."""
-    c = col(cells)
-    bits: Sequence[tuple[int, int]] = [(r, k) for r in range(rows) for k in range(columns - 1)]
-    out = F.lit(0).cast("bigint")
-    for r, k in bits:
-        at = r * columns + k
-        out = out * 2 + F.when(F.get(c, F.lit(at)) > F.get(c, F.lit(at + 1)), 1).otherwise(0)
-    return out
+    c, per_row = col(cells), columns - 1
+    at = lambda j: (F.floor(j / per_row) * columns + j % per_row).cast("int")
+    bit = lambda j: F.when(F.get(c, at(j)) > F.get(c, at(j) + 1), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    places = F.array(*[F.lit(j) for j in range(rows * per_row)])
+    return F.aggregate(places, F.lit(0).cast("bigint"), lambda acc, j: acc * 2 + bit(j))
 
 
 def changed_share(a: Column | str, b: Column | str, delta: float) -> Column:

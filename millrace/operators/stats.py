@@ -15,13 +15,13 @@ def order_statistics(frame: DataFrame, by: Sequence[str], value: str, picks: dic
     by ranking distinct values over their counts, so a group is shrunk before it
     is ordered and no list is collected.
     """
-    counts = frame.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
+    counts = frame.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by).orderBy("_v")
     upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
     n = F.sum("_c").over(Window.partitionBy(*by))
     ranked = counts.withColumn("_hi", upto).withColumn("n", n).withColumn("_lo", F.col("_hi") - F.col("_c"))
     chosen = [
-        F.max(F.when((F.expr(place) >= F.col("_lo")) & (F.expr(place) < F.col("_hi")), F.col(value))).alias(name) for name, place in picks.items()
+        F.max(F.when((F.expr(place) >= F.col("_lo")) & (F.expr(place) < F.col("_hi")), F.col("_v"))).alias(name) for name, place in picks.items()
     ]
     return ranked.groupBy(*by).agg(F.max("n").alias("n"), *chosen)
 

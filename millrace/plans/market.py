@@ -357,12 +357,12 @@ WITH b AS (SELECT symbol, bar_ts, close::DECIMAL(18, 2) AS c FROM {bars_sql('1 h
 SELECT symbol, bar_ts, sum(c) OVER a::DECIMAL(28, 2) AS sum_20, count(c) OVER a AS n_20, sum(c) OVER z::DECIMAL(28, 2) AS sum_200, count(c) OVER z AS n_200,
   (sum(c) OVER a)::DOUBLE / count(c) OVER a AS sma_20, (sum(c) OVER z)::DOUBLE / count(c) OVER z AS sma_200
 FROM b WINDOW a AS (PARTITION BY symbol ORDER BY bar_ts ROWS 19 PRECEDING), z AS (PARTITION BY symbol ORDER BY bar_ts ROWS 199 PRECEDING)
-""".replace("sum(c) OVER a::DECIMAL(28, 2)", "(sum(c) OVER a)::DECIMAL(28, 2)").replace("sum(c) OVER z::DECIMAL(28, 2)", "(sum(c) OVER z)::DECIMAL(28, 2)"))
+""".replace("sum(c) OVER a::DECIMAL(28, 2)", "(sum(c) OVER a)::DOUBLE").replace("sum(c) OVER z::DECIMAL(28, 2)", "(sum(c) OVER z)::DOUBLE"))
 def sma_20_200(spark, sf_dir):
     hourly = B.bars(trades(spark, sf_dir), "1h", ["symbol"]).select("symbol", "bar_ts", F.col("close").cast("decimal(18,2)").alias("c"))
     sums = B.moving_sums(hourly, ["symbol"], "bar_ts", "c", (20, 200)).drop("c")
     for n in (20, 200):
-        sums = sums.withColumn(f"sma_{n}", F.col(f"sum_{n}").cast("double") / F.col(f"n_{n}"))
+        sums = sums.withColumn(f"sum_{n}", F.col(f"sum_{n}").cast("double")).withColumn(f"sma_{n}", F.col(f"sum_{n}") / F.col(f"n_{n}"))
     return sums
 
 
@@ -370,14 +370,14 @@ def sma_20_200(spark, sf_dir):
 WITH r AS (SELECT event_type, ts, event_id, (value - 50)::DECIMAL(12, 2) AS r FROM events),
 c AS (SELECT *, sum(r) OVER w AS run FROM r WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
 p AS (SELECT *, greatest(max(run) OVER (PARTITION BY event_type ORDER BY ts, event_id), 0) AS peak FROM c)
-SELECT event_type, count(*) AS n, count(*) FILTER (r > 0) AS wins, sum(r)::DECIMAL(22, 2) AS total_r, max(peak - run)::DECIMAL(22, 2) AS max_drawdown,
+SELECT event_type, count(*) AS n, count(*) FILTER (r > 0) AS wins, sum(r)::DOUBLE AS total_r, max(peak - run)::DOUBLE AS max_drawdown,
   sum(r)::DOUBLE / count(*) AS expectancy, count(*) FILTER (r > 0) / count(*)::DOUBLE AS win_rate FROM p GROUP BY event_type
 """)
 def trade_stats(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", (F.col("value") - 50).cast("decimal(12,2)").alias("r"))
     found = B.trade_statistics(rows, ["event_type"], "r", ["ts", "event_id"])
-    found = found.withColumn("total_r", F.col("total_r").cast("decimal(22,2)")).withColumn("max_drawdown", F.col("max_drawdown").cast("decimal(22,2)"))
-    return found.withColumn("expectancy", F.col("total_r").cast("double") / F.col("n")).withColumn("win_rate", F.col("wins") / F.col("n"))
+    found = found.withColumn("total_r", F.col("total_r").cast("double")).withColumn("max_drawdown", F.col("max_drawdown").cast("double"))
+    return found.withColumn("expectancy", F.col("total_r") / F.col("n")).withColumn("win_rate", F.col("wins") / F.col("n"))
 
 
 @query("""
