@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Sends the package's code to the executors, once per application, through Spark's own file server."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, str(f.relative_to(root.parent)))
+        spark.sparkContext.addPyFile(str(target))
+        _SHIPPED.add(app)
+    return spark
+
 
 def session(name: str = "millrace", master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with the settings that results depend on pinned. Sizes (partitions, memory) stay the cluster's."""
