@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
@@ -37,6 +38,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that may be sent to every executor; more are joined by shuffling both sides.
+SENT_KEYS = 2_000_000
+
+
+def by_keys(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """left_semi or left_anti join with a table of keys: broadcast if they are counted as few, else an ordinary join.
+
+    Rows of ``df`` carry whole texts, so not shuffling them is worth a count.
+    """
+    few = keys.count() <= SENT_KEYS
+    return df.join(F.broadcast(keys) if few else keys, on, how)
+
+
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of ``column`` each; a row is never cut."""
     if not batch.num_rows:

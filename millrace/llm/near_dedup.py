@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import blocks, mixed, shingle_set, stored
+from .common import blocks, by_keys, mixed, shingle_set, stored
 
 GROUPS, PER_GROUP = 9, 2
 
@@ -130,8 +130,8 @@ def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, m: int)
     def near_in_size(x: str, y: str):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    candidates = members.select("id").distinct()
-    sets = stored(shingle_sets(texts.join(candidates, "id", "left_semi"), width))
+    candidates = stored(members.select("id").distinct())
+    sets = stored(shingle_sets(by_keys(texts, candidates, "id", "left_semi"), width))
     pairs = members.where("id <> hub").where(near_in_size("n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     labels = components(stored(confirmed(pairs, sets, percent)))
     more = confirmed(open_pairs(members, labels, sets, percent), sets, percent)
@@ -204,8 +204,8 @@ def near_duplicates(
 def deduplicated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, and one only where a key repeats."""
     found = stored(near_duplicates(docs, key, **options))
-    kept = found.where("kept").select(key).distinct()
-    out = docs.join(kept, key, "left_semi").select(docs.columns)
+    dropped = found.where("not kept").select(key).distinct()
+    out = by_keys(docs, dropped, key, "left_anti").select(docs.columns)
     if not found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-        out = out.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return out.unionByName(docs.where(F.col(key).isNull()))
+        out = out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    return out
