@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 #: Bytes of text that one step inside a task works on at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
