@@ -57,7 +57,11 @@ class Units:
         """
         lengths = np.array([len(t) if t else 0 for t in texts], np.int64)
         cp = np.frombuffer("".join(t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.where(cp < 1 << 16, self.table[np.minimum(cp, 0xFFFF)], np.uint64(0xFFFF))
+        c = self.table[np.minimum(cp, 0xFFFF)]
+        beyond = np.flatnonzero(cp >= 1 << 16)
+        if len(beyond):
+            found, which = np.unique(cp[beyond], return_inverse=True)
+            c[beyond] = np.array([0xFFFF if chr(x).isalpha() else SPACE for x in found], np.uint64)[which]
         of = np.repeat(np.arange(len(texts)), lengths)
         first = np.ones(len(c), bool)
         first[1:] = of[1:] != of[:-1]
