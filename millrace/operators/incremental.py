@@ -24,6 +24,12 @@ def still_to_do(expected: DataFrame, done: DataFrame, key: str, status: str = "s
     return expected.join(known, key, "left").where(retry).select(expected.columns + [F.coalesce("_attempts", F.lit(0)).alias("attempts_so_far")])
 
 
+def complete_only(records: DataFrame, stages: DataFrame, group: str, stage: str, status: str = "status") -> DataFrame:
+    """Records of groups whose ``stage`` is done: nothing is edited while it is still being made."""
+    done = stages.where((F.col("stage") == stage) & (F.col(status) == "done")).select(group).distinct()
+    return records.join(done, group, "left_semi")
+
+
 def stale(rows: DataFrame, by: Sequence[str], ts: str, now: Column, limit: str) -> DataFrame:
     """Keys whose latest sign of life is older than ``limit`` (an interval) at ``now``."""
     latest = rows.groupBy(*by).agg(F.max(ts).alias("last_seen"))

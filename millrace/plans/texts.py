@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import replies
 from millrace.functions import text as X
 from millrace.operators import folds, joins, quality, stats
 from millrace.plans.registry import query
@@ -311,3 +312,25 @@ def line_counts(spark, sf_dir):
         "doc_id", F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("bigint").alias("n_lines"),
         F.size(F.filter(lines, lambda x: F.contains(x, F.lit("|")))).cast("bigint").alias("n_tables"), F.octet_length("text").cast("bigint").alias("n_bytes"),
     )
+
+
+@query("""
+WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'no object' WHEN 1 THEN 'Sure: ' || props || ' done }' WHEN 2 THEN '{broken ' || props ELSE props END AS reply, props FROM events)
+SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN props END AS found, event_id % 4 <> 0 AS complete FROM t
+""")
+def reply_objects(spark, sf_dir):
+    turn = F.col("event_id") % 4
+    reply = F.when(turn == 0, "no object").when(turn == 1, F.concat(F.lit("Sure: "), "props", F.lit(" done }"))).when(turn == 2, F.concat(F.lit("{broken "), "props")).otherwise(F.col("props"))
+    rows = table(spark, sf_dir, "events").select("event_id", replies.json_object(reply).alias("found"))
+    return rows.withColumn("complete", F.col("found").isNotNull() & F.coalesce(replies.complete("found", ["k"]), F.lit(False)))
+
+
+@query("""
+WITH s AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'done' ELSE 'running' END AS status FROM labels)
+SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM s WHERE status = 'done')
+""")
+def complete_only(spark, sf_dir):
+    from millrace.operators.incremental import complete_only as only
+
+    stages = table(spark, sf_dir, "labels").select("doc_id", F.lit("extract").alias("stage"), F.when(F.col("quality") == 1, "done").otherwise("running").alias("status"))
+    return only(documents(spark, sf_dir).select("doc_id", "n_chars"), stages, "doc_id", "extract")
