@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .prices import col
 
@@ -25,7 +26,7 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _first_object(texts: pd.Series) -> pd.Series:
     return texts.map(first_object)
 
