@@ -42,7 +42,7 @@ def hashed(frames: DataFrame, pixels: str = "px", height: int = HEIGHT, width: i
                 raw = part.column(pixels).to_pylist()
                 there = [i for i, x in enumerate(raw) if x is not None]
                 grid = np.stack([np.frombuffer(raw[i], np.uint8).reshape(height, width) for i in there]) if there else np.zeros((0, height, width), np.uint8)
-                h, fine = gradient_hashes(grid), box_means(grid, FINE_GRID).astype(np.float32).reshape(len(there), -1)
+                h, fine = gradient_hashes(grid), box_means(grid, FINE_GRID).astype(np.float32).reshape(len(there), FINE_GRID[0] * FINE_GRID[1])
                 out = {i: (int(h[k].view(np.int64)), f"{int(h[k]):016x}", fine[k].tolist()) for k, i in enumerate(there)}
                 made = [out.get(i, (None, None, None)) for i in range(len(raw))]
                 arrays = [pa.array([m[j] for m in made], t) for j, t in enumerate((pa.int64(), pa.string(), pa.list_(pa.float32())))]
