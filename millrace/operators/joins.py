@@ -48,16 +48,30 @@ def resolution(observed: DataFrame, frames: dict[str, DataFrame], legs: Sequence
     return out.withColumn("resolution", F.when(F.col("n_bars") == 0, "none").when(F.col("n_bars") == 1, "unique").otherwise("ambiguous"))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_value: str, right_value: str, by: Sequence[str]) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_value: str, right_value: str, by: Sequence[str] = (), bin_width: float | None = None) -> DataFrame:
     """``left`` with nearest_below and nearest_above (values of ``right`` at or around its own) and distance.
 
     Both sides are put in one order and look to the last value before and the
-    first after; no pair is made. Equal values count on both sides.
+    first after; no pair is made. Equal values count on both sides. With a
+    ``bin_width`` the order is kept within bins of values, so neither a hot group
+    nor the lack of groups puts all rows in one task: every bin gets the last
+    value before it and the first after it, from one pass over the bins' own
+    smallest and largest values.
     """
-    marks = right.where(F.col(right_value).isNotNull()).select(*by, F.col(right_value).alias("_v")).distinct()
-    rows = left.select(*by, F.col(left_value).alias("_v"), F.struct(*left.columns).alias("_row"))
+    slot = (lambda v: F.floor(F.col(v) / bin_width)) if bin_width else (lambda v: F.lit(0))
+    marks = right.where(F.col(right_value).isNotNull()).select(*by, slot(right_value).alias("_bin"), F.col(right_value).alias("_v")).distinct()
+    rows = left.select(*by, slot(left_value).alias("_bin"), F.col(left_value).alias("_v"), F.struct(*left.columns).alias("_row"))
+    if bin_width:
+        bins = marks.groupBy(*by, "_bin").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        empty = rows.where(F.col("_bin").isNotNull()).select(*by, "_bin").distinct()
+        bins = bins.unionByName(empty, allowMissingColumns=True).groupBy(*by, "_bin").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        w = Window.partitionBy(*by).orderBy("_bin")
+        before = F.last("_hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.first("_lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        borders = bins.select(*by, "_bin", F.array(before, after).alias("_b")).select(*by, "_bin", F.explode(F.array_compact("_b")).alias("_v"))
+        marks = marks.unionByName(borders)
     both = rows.unionByName(marks.withColumn("_mark", F.col("_v")), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first())
+    w = Window.partitionBy(*by, "_bin").orderBy(F.col("_v").asc_nulls_first())
     below = F.last("_mark", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
     above = F.first("_mark", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
     found = both.select("_row", "_v", below.alias("nearest_below"), above.alias("nearest_above")).where("_row is not null")
@@ -114,7 +128,7 @@ def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").select(F.lit("left_only").alias("side"), key).unionByName(b.join(a, key, "left_anti").select(F.lit("right_only").alias("side"), key))
 
 
-def nearest_leg(prices: DataFrame, bars: DataFrame, key: str, price: str, tick: float, by: Sequence[str] = ()) -> DataFrame:
+def nearest_leg(prices: DataFrame, bars: DataFrame, key: str, price: str, tick: float, by: Sequence[str] = (), bin_width: float | None = None) -> DataFrame:
     """Each price with the nearest leg of all bars: field, bar_ts, leg_price and delta (ticks, rounded to cents first).
 
     Ties go to the earlier bar, then open, high, low, close. Legs are reduced to
@@ -124,7 +138,7 @@ def nearest_leg(prices: DataFrame, bars: DataFrame, key: str, price: str, tick:
     fields = ("open", "high", "low", "close")
     legs = bars.select(*by, "bar_ts", F.posexplode(F.array(*fields)).alias("ord", "leg_price"))
     first = legs.groupBy(*by, "leg_price").agg(F.min(F.struct("bar_ts", "ord")).alias("first"))
-    around = nearest(prices.select(*by, key, price), first, price, "leg_price", by)
+    around = nearest(prices.select(*by, key, price), first, price, "leg_price", by, bin_width)
     sides = around.select(*by, key, price, F.explode(F.array_distinct(F.array("nearest_below", "nearest_above"))).alias("leg_price")).where("leg_price is not null")
     met = sides.join(first, [*by, "leg_price"])
     delta = F.round(F.abs(F.col(price) - F.col("leg_price")) / tick, 2)

@@ -47,11 +47,9 @@ def stride_sample(frame: DataFrame, by: Sequence[str], order: Sequence[str], k:
     place nearest to it maps back to it.
     """
     rows = numbered(frame, by, order).withColumn("_k", F.col(k).cast("bigint") if isinstance(k, str) else F.lit(k).cast("bigint"))
-    steps = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("_k") - 1, F.lit(0).cast("bigint")))
     near = F.when(F.col("_n") > 1, F.floor(F.col("_i") * F.greatest(F.col("_k") - 1, F.lit(1)) / (F.col("_n") - 1))).otherwise(0)
     place = lambda j: F.bround(j * (F.col("_n") - 1) / F.greatest(F.col("_k") - 1, F.lit(1)))
     hit = F.exists(F.filter(F.array(near - 1, near, near + 1), lambda j: (j >= 0) & (j < F.col("_k"))), lambda j: place(j) == F.col("_i"))
-    del steps
     return rows.where((F.col("_k") >= F.col("_n")) | ((F.col("_k") > 0) & hit)).drop("_i", "_n", "_k")
 
 
@@ -77,4 +75,4 @@ def quota_sample(frame: DataFrame, by: Sequence[str], key: str, n: int, seed: st
     quotas = groups.withColumn("_g", F.row_number().over(w)).withColumn("_all", F.count("*").over(Window.partitionBy()))
     quotas = quotas.withColumn("quota", F.expr(f"{n} div _all + if(_g <= {n} % _all, 1, 0)")).drop("_g", "_all")
     order = Window.partitionBy(*by).orderBy(F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string"))), key)
-    return frame.withColumn("_turn", F.row_number().over(order)).join(F.broadcast(quotas), list(by)).where("_turn <= quota").drop("_turn", "quota")
+    return frame.withColumn("_turn", F.row_number().over(order)).join(quotas, list(by)).where("_turn <= quota").drop("_turn", "quota")

@@ -12,14 +12,21 @@ def order_statistics(frame: DataFrame, by: Sequence[str], value: str, picks: dic
     """``by``, n, and for each name the value at a place of the sorted values.
 
     picks: name to an expression of n that gives a place from 0. Places are found
-    by ranking distinct values over their counts, so a group is shrunk before it
-    is ordered and no list is collected.
+    by ranking distinct values over their counts. Values are ranked in bins of
+    their magnitude (at most a few thousand, whatever the data), and each bin gets
+    the number of values before it, so neither one hot group nor the lack of
+    groups puts all values in one task, and no list is collected.
     """
-    counts = frame.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy("_v")
-    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("_c").over(Window.partitionBy(*by))
-    ranked = counts.withColumn("_hi", upto).withColumn("n", n).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    v = F.col(value)
+    magnitude = F.floor(F.signum(v.cast("double")) * F.log1p(F.abs(v.cast("double"))) * 64)
+    counts = frame.where(v.isNotNull()).groupBy(*by, magnitude.alias("_bin"), v.alias("_v")).agg(F.count("*").alias("_c"))
+    bins = counts.groupBy(*by, "_bin").agg(F.sum("_c").alias("_m"))
+    before = F.sum("_m").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    heads = bins.select(*by, "_bin", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy(*by)).alias("_all"))
+    w = Window.partitionBy(*by, "_bin")
+    both = counts.unionByName(heads, allowMissingColumns=True).select("*", F.max("_before").over(w).alias("_off"), F.max("_all").over(w).alias("n"))
+    upto = F.sum("_c").over(w.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = both.withColumn("_hi", F.col("_off") + upto).where("_v is not null").withColumn("_lo", F.col("_hi") - F.col("_c"))
     chosen = [
         F.max(F.when((F.expr(place) >= F.col("_lo")) & (F.expr(place) < F.col("_hi")), F.col("_v"))).alias(name) for name, place in picks.items()
     ]
@@ -67,7 +74,11 @@ def first_examples(frame: DataFrame, by: Sequence[str], key: str, n: int) -> Dat
     """``by``, the n smallest keys in order, and how many there are: ranked, not collected whole."""
     w = Window.partitionBy(*by).orderBy(key)
     few = frame.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).groupBy(*by).agg(F.array_sort(F.collect_list(key)).alias("examples"))
-    return few.join(frame.groupBy(*by).agg(F.count("*").alias("n_all")), list(by))
+    every = frame.groupBy(*by).agg(F.count("*").alias("n_all")).select(*[F.col(c).alias(f"_{c}") for c in by], "n_all")
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))  # a null group is a group
+    return few.join(every, same).select(*by, "examples", "n_all")
 
 
 def merged_counts(parts: DataFrame, by: Sequence[str], counts: Sequence[str]) -> DataFrame:

@@ -209,7 +209,7 @@ FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey GROUP BY c_custkey
 def nearest_level(spark, sf_dir):
     own = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     marks = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), "s_acctbal")
-    return joins.nearest(own, marks, "c_acctbal", "s_acctbal", ["c_nationkey"])
+    return joins.nearest(own, marks, "c_acctbal", "s_acctbal", ["c_nationkey"], bin_width=500)
 
 
 @query(f"""
@@ -224,9 +224,9 @@ SELECT p_partkey, price, ['open', 'high', 'low', 'close'][ord + 1] AS field, bar
 FROM k, e WHERE i = 1
 """)
 def nearest_bar_argmin(spark, sf_dir):
-    daily = B.bars(trades(spark, sf_dir), "D").withColumn("all", F.lit(0))
-    own = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") % 400) * F.lit(1.25)).alias("price"), F.lit(0).alias("all"))
-    found = joins.nearest_leg(own, daily, "p_partkey", "price", P.TICK, ["all"]).drop("all")
+    daily = B.bars(trades(spark, sf_dir), "D")
+    own = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") % 400) * F.lit(1.25)).alias("price"))
+    found = joins.nearest_leg(own, daily, "p_partkey", "price", P.TICK, bin_width=8)
     envelope = F.broadcast(daily.agg(F.min("low").alias("lo"), F.max("high").alias("hi")))  # one row
     verdict = F.when(F.col("delta") <= 1, "ohlc_match").when(F.col("price").between(F.col("lo"), F.col("hi")), "in_range_no_match").otherwise("out_of_range")
     return found.crossJoin(envelope).withColumn("verdict", verdict).drop("lo", "hi")

@@ -144,13 +144,14 @@ def test_three_of_four_plans_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_nearest_against_brute_force(spark):
+@pytest.mark.parametrize("width", [None, 1.5, 7.0])
+def test_nearest_against_brute_force(spark, width):
     import random
 
     rng = random.Random(1)
     own = [(i, rng.choice("ab"), rng.randrange(50) / 2 if i % 9 else None) for i in range(80)]
     marks = [(rng.choice("abc"), rng.randrange(50) / 2) for _ in range(12)] + [("a", None)]
-    got = joins.nearest(spark.createDataFrame(own, "k int, g string, v double"), spark.createDataFrame(marks, "g string, m double"), "v", "m", ["g"]).collect()
+    got = joins.nearest(spark.createDataFrame(own, "k int, g string, v double"), spark.createDataFrame(marks, "g string, m double"), "v", "m", ["g"], width).collect()
     assert len(got) == 80
     for r in got:
         below = [m for g, m in marks if g == r.g and m is not None and r.v is not None and m <= r.v]
