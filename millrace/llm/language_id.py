@@ -5,8 +5,7 @@ labelled documents. All models share sorted arrays of packed n-grams (a
 collision-free 64-bit hash: four code units of 16 bits), so a text is scored
 against every language with one binary search per order and position. The
 chosen language has the lowest cross-entropy per character; texts whose
-cross-entropy lies beyond what calibration texts of that language show are
-rejected.
+cross-entropy lies too near to that of shuffled calibration texts are rejected.
 
 Defined cases: a text that is null or has no letter gets ``und``, score 0 and
 ``rejected`` true; with no labelled document at all every text does. Ties go to
@@ -194,20 +193,24 @@ class LanguageModels:
             total[some] /= n[some, None]
         return total, n, letters
 
-    def calibrated(self, texts: list[str], languages: list[str], spread: float) -> LanguageModels:
-        """Sets the rejection limits from held-back texts.
+    def calibrated(self, texts: list[str], languages: list[str], strictness: float) -> LanguageModels:
+        """Sets the rejection limits from held-back texts and from the same texts with their characters shuffled.
 
-        A text of n characters is rejected if its cross-entropy exceeds
-        mean + spread * deviation * sqrt(1 + 100 / n) of its language.
+        Shuffled texts have a language's letters but nothing else of it. The limit
+        lies ``strictness`` of the way from the former's median cross-entropy (a
+        language's own) to the latter's; texts of n characters get
+        sqrt(1 + 20 / n) times that distance, as few characters prove little.
         """
         h, n, letters = self.entropies(Units(), texts)
-        mean, dev = np.full(len(self.languages), np.inf), np.zeros(len(self.languages))
+        rng = np.random.default_rng(5)
+        mixed, _, _ = self.entropies(Units(), ["".join(rng.permutation(list(t))) for t in texts])
+        mean, width = np.full(len(self.languages), np.inf), np.zeros(len(self.languages))
         for i, name in enumerate(self.languages):
-            own = h[[k for k, x in enumerate(languages) if x == name and letters[k]], i]
+            own = [k for k, x in enumerate(languages) if x == name and letters[k]]
             if len(own) >= 5:
-                mean[i] = np.median(own)
-                dev[i] = max(0.02, 1.4826 * float(np.median(np.abs(own - mean[i]))))
-        self.limits = (mean, spread * dev)
+                mean[i] = np.median(h[own, i])
+                width[i] = strictness * max(0.0, float(np.median(mixed[own, i]) - mean[i]))
+        self.limits = (mean, width)
         return self
 
     def labels(self, units: Units, texts: list[str | None]) -> dict[str, object]:
@@ -222,7 +225,7 @@ class LanguageModels:
         rejected = ~known
         if self.limits is not None:
             mean, width = self.limits
-            rejected |= least > mean[best] + width[best] * np.sqrt(1 + 100 / np.maximum(n, 1))
+            rejected |= least > mean[best] + width[best] * np.sqrt(1 + 20 / np.maximum(n, 1))
         return {
             "lang_pred": [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)],
             "score": np.where(known, 1 / odds.sum(1), 0.0),
@@ -247,7 +250,7 @@ def fit(
     lang: str = "lang",
     per_language: int = 300,
     held_back: int = 100,
-    spread: float = 20.0,
+    strictness: float = 0.5,
     key: str = "doc_id",
 ) -> LanguageModels:
     """Fit the models on about ``per_language`` documents of each language.
@@ -286,7 +289,7 @@ def fit(
         counts[name] = (keys[order], rows["n"].to_numpy(np.int64)[order])
     models = LanguageModels.of_counts(counts)
     back = sample.where("back and text is not null").select("lang", "text").toPandas()
-    return models.calibrated(back["text"].tolist(), back["lang"].tolist(), spread) if models.languages else models
+    return models.calibrated(back["text"].tolist(), back["lang"].tolist(), strictness) if models.languages else models
 
 
 def identify(docs: DataFrame, models: LanguageModels, text: str = "text") -> DataFrame:
