@@ -32,33 +32,31 @@ class SortedLists:
 
     def __init__(self, keys: np.ndarray, vectors: np.ndarray) -> None:
         self.keys, self.vectors = keys, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()  # ascending, a row per dimension
+        self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)  # ascending, a row per dimension
         self.values = np.take_along_axis(vectors, self.order.T, axis=0).T.copy()
 
     def search(self, own: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys and scores of the k best (score, then smaller key), without vectors of the key ``own``."""
-        n, used = len(self.keys), np.flatnonzero(weights)
-        w, down = weights[used], weights[used] > 0
-        lists = np.where(down[:, None], self.order[used, ::-1], self.order[used])
-        ends = np.where(down[:, None], self.values[used, ::-1], self.values[used])
-        met, scores = np.zeros(n, bool), np.zeros(n)
-        at, step = 0, max(k, n // 64)
-        if not len(used):
-            met[:] = True
+        n = len(self.keys)
+        from_top, from_end = np.flatnonzero(weights > 0), np.flatnonzero(weights < 0)
+        met, scores, other = np.zeros(n, bool), np.zeros(n, self.vectors.dtype), self.keys != own
+        at, step = 0, max(k, n // 128)
+        if not len(from_top) and not len(from_end):
+            met[:] = True  # all scores are 0
         while not met.all():
             to = min(n, at + step)
-            seen = np.zeros(n, bool)
-            seen[lists[:, at:to].ravel()] = True
-            new = np.flatnonzero(seen & ~met)
-            met[new] = True
+            seen = met.copy()
+            seen[self.order[from_top, n - to : n - at].ravel()] = True
+            seen[self.order[from_end, at:to].ravel()] = True
+            new = np.flatnonzero(seen != met)
             scores[new] = self.vectors[new] @ weights
-            at, step = to, step * 2
-            held = met & (self.keys != own)
-            if held.sum() >= k:
-                least = np.partition(scores[held], -k)[-k]
-                if least > w @ ends[:, at - 1]:
+            met, at, step = seen, to, step * 2
+            held = scores[met & other]
+            if len(held) >= k:
+                bound = weights[from_top] @ self.values[from_top, n - at] + weights[from_end] @ self.values[from_end, at - 1]
+                if np.partition(held, -k)[-k] > bound:
                     break
-        held = np.flatnonzero(met & (self.keys != own))
+        held = np.flatnonzero(met & other)
         if len(held) > k:
             least = np.partition(scores[held], -k)[-k]
             held = held[scores[held] >= least]
@@ -75,11 +73,13 @@ def _search(k: int):
         if np.abs(vectors).max(initial=0) * np.abs(weights).max(initial=0) * vectors.shape[1] < 1 << 24:
             vectors, weights = vectors.astype(np.float32), weights.astype(np.float32)
         lists = SortedLists(shard["id"].to_numpy(np.int64), vectors)
-        out = []
-        for own, w in zip(queries["id"].to_numpy(np.int64), weights, strict=True):
-            keys, scores = lists.search(own, w, k)
-            out.append(pd.DataFrame({"query_id": own, "vec_id": keys, "score": scores.astype(np.int64)}))
-        return pd.concat(out)
+        ids = queries["id"].to_numpy(np.int64)
+        found = [lists.search(own, w, k) for own, w in zip(ids, weights, strict=True)]
+        return pd.DataFrame({
+            "query_id": np.repeat(ids, [len(x) for x, _ in found]),
+            "vec_id": np.concatenate([x for x, _ in found]),
+            "score": np.concatenate([x for _, x in found]).astype(np.int64),
+        })
 
     return run
 
