@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import language_id, near_dedup, packing, quality_fm
 from millrace.llm.common import stored
@@ -13,16 +12,23 @@ from millrace.llm.common import stored
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _kept(docs: DataFrame, judged: Callable[[DataFrame, str], DataFrame], condition: str) -> DataFrame:
+    """The rows of ``docs`` that a judgement of their text keeps, unchanged: its columns cannot clash with theirs."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    found = judged(docs.toDF(*names), names[docs.columns.index("text")])
+    return found.where(condition).select(*names).toDF(*docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those that the models reject go."""
-    found = language_id.identify(docs.select(*docs.columns), language_id.fit(docs))
-    return found.where(~F.col("rejected")).select(docs.columns)
+    models = language_id.fit(docs)
+    return _kept(docs, lambda d, text: language_id.identify(d, models, text), "not rejected")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted good; those that the classifier rejects go."""
     model = quality_fm.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_fm.score(docs, model).where("predicted = 1").select(docs.columns)
+    return _kept(docs, lambda d, text: quality_fm.score(d, model, text), "predicted = 1")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
