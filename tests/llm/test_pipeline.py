@@ -32,3 +32,16 @@ def test_stages_on_nothing(spark):
 def test_names():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_columns_with_clashing_names_stay(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for c in ("score", "rejected", "predicted", "id", "label", "lang_pred"):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns, name
+        assert kept.where("score <> concat('score of ', doc_id) or rejected <> concat('rejected of ', doc_id)").isEmpty()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
