@@ -307,8 +307,8 @@ def hash_quota_sample(spark, sf_dir):
 WITH z AS (SELECT lang || '/' || source AS stratum, count(*) AS size FROM documents GROUP BY 1),
 a AS (SELECT *, least(3, size) AS least_n, sum(least(3, size)) OVER () AS given, sum(size - least(3, size)) OVER () AS pool FROM z),
 b AS (SELECT *, greatest(400 - given, 0)::BIGINT AS rest, (size - least_n)::BIGINT AS room FROM a),
-c AS (SELECT *, least_n + (rest * room) // pool::BIGINT AS first_n, (rest * room) % pool::BIGINT AS remainder FROM b),
-s AS (SELECT *, (400 - sum(first_n) OVER ())::BIGINT AS short FROM c),
+c AS (SELECT *, least(size, least_n + (rest * room) // pool::BIGINT) AS first_n, (rest * room) % pool::BIGINT AS remainder FROM b),
+s AS (SELECT *, (least(400, sum(size) OVER ()) - sum(first_n) OVER ())::BIGINT AS short FROM c),
 u AS (SELECT stratum, size, first_n, short, unnest(range(1, least(size - first_n, greatest(short, 1)) + 1)) AS round, remainder FROM s WHERE size > first_n),
 t AS (SELECT stratum, count(*) AS extra FROM (SELECT *, row_number() OVER (ORDER BY round, remainder DESC, stratum) AS turn FROM u) WHERE turn <= short GROUP BY 1)
 SELECT s.stratum, s.size, (s.first_n + coalesce(t.extra, 0))::BIGINT AS quota FROM s LEFT JOIN t USING (stratum)
