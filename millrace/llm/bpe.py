@@ -1,18 +1,20 @@
 """Byte-level BPE by forced-boundary splitting.
 
 A byte pair that occurs inside no vocabulary token can never be merged across,
-so it marks a certain cut. Texts are cut at such pairs, the fragments are
-encoded independently (each distinct fragment of a task once, while it is
-remembered), and their ids are concatenated.
+so it marks a certain cut. Texts are cut at such pairs into fragments of about
+``FRAGMENT`` bytes, the fragments are encoded independently, and their ids are
+concatenated; work and memory are bounded by a fragment, not by a text.
 
 The pre-tokeniser splits text before merging, so a certain pair is used only
 where both sides pre-tokenise as they do in the whole text:
 
-* not inside a character, and not before an apostrophe (a contraction could
-  then begin a fragment that continues a run of marks);
+* between ASCII characters that follow one, so classes of characters beyond it
+  never decide, and not before an apostrophe (a contraction could then begin a
+  fragment that continues a run of marks);
 * after a blank only if that blank stands alone (a run of blanks leaves its
-  last one to the next word, which a fragment's end would hide);
-* beside characters beyond ASCII only if the text has no unusual blank.
+  last one to the next word, which a fragment's end would hide).
+
+A stretch without any certain cut is one fragment.
 
 Defined cases: null encodes as the empty text; the strings of added tokens
 encode as those tokens, as the tokenizers library does.
@@ -30,12 +32,10 @@ from pyspark.sql import DataFrame
 
 from .common import with_columns
 
-#: Fragments remembered in a task, and the longest one that is.
-REMEMBERED, LONGEST = 300_000, 64
+#: Bytes after which a fragment ends at the next certain cut, and bytes searched for one at a time.
+FRAGMENT, SEARCHED = 4096, 256
 #: The pre-tokeniser's pattern, as published with byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Blanks beyond space, tab, line feed, vertical tab, form feed and return, and characters some tables take for blanks.
-UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 #: All characters up to U+024F: their classes are alike in every Unicode version at hand.
 PLAIN = re.compile("[\x00-ɏ]*")
 
@@ -76,45 +76,58 @@ class Bpe:
         self.added = added
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.ranked = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={})
-        self.known: dict[bytes, bytes] = {}
         blank = np.zeros(256, bool)
         blank[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
         self.blank = blank
-
-    def cuts(self, text: str, data: bytes) -> np.ndarray:
-        """Offsets in ``data`` at which it may certainly be cut."""
-        b = np.frombuffer(data, np.uint8)
+        # Of each pair: 0 no cut, 1 a cut, 2 a cut if no blank is before it.
+        right = np.arange(256)
+        allowed = ~self.inside.reshape(256, 256) & ((right & 0xC0) != 0x80) & (right != 0x27)
+        self.kind = np.where(blank[:, None], np.where(blank, 0, 2), 1).astype(np.uint8)
+        self.kind = (self.kind * allowed).ravel()
+
+    def cuts(self, data: bytes, start: int = 1, end: int | None = None) -> np.ndarray:
+        """Offsets from ``start`` on and before ``end`` at which ``data`` may certainly be cut."""
+        start, end = max(1, start), len(data) if end is None else min(end, len(data))
+        first = max(0, start - 2)  # the byte before a pair matters too
+        b = np.frombuffer(data, np.uint8, max(0, end - first), first)
         if len(b) < 2:
             return np.zeros(0, np.int64)
-        right, blank = b[1:], self.blank[b]
-        cut = ~self.inside[(b[:-1].astype(np.uint16) << 8) | right]
-        cut &= (right & 0xC0) != 0x80
-        cut &= right != 0x27
-        alone = np.ones(len(b) - 1, bool)  # is the left one a blank with text on both sides?
-        alone[1:] = ~blank[:-2]
-        alone &= ~blank[1:]
-        cut &= ~blank[:-1] | alone
-        if UNUSUAL.search(text):
-            cut &= (b[:-1] < 128) & (right < 128)
-            cut[1:] &= b[:-2] < 128
-        return np.flatnonzero(cut) + 1
+        pair = b[:-1].astype(np.uint16)
+        pair <<= 8
+        pair |= b[1:]
+        kind = self.kind[pair]
+        at = np.flatnonzero(kind)
+        if first == 0:
+            before, blank = np.where(at > 0, b[at - 1], 0), (at > 0) & self.blank[b[at - 1]]
+        else:
+            at = at[at > 0]
+            before, blank = b[at - 1], self.blank[b[at - 1]]
+        at = at[((kind[at] == 1) | ~blank) & (before < 128) & (b[at] < 128) & (b[at + 1] < 128)]
+        at += first + 1
+        return at[at >= start]
 
     def fragment(self, piece: bytes) -> bytes:
         """Ids of one fragment, as little-endian unsigned 32-bit integers."""
         text = piece.decode("utf-8")
-        ids = self.ranked.encode_ordinary(text) if PLAIN.fullmatch(text) else self.library.encode(text, add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
-        if len(piece) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = out
-        return out
+        if piece.isascii() or PLAIN.fullmatch(text):
+            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def plain(self, text: str) -> bytes:
         data = text.encode("utf-8")
-        at = [0, *self.cuts(text, data).tolist(), len(data)]
-        known, fragment = self.known.get, self.fragment
-        return b"".join([known(p) or fragment(p) for p in [data[i:j] for i, j in zip(at, at[1:], strict=False)]])
+        out, begun = [], 0
+        while len(data) - begun > FRAGMENT:
+            at, end = begun + FRAGMENT, len(data)
+            while at < len(data):
+                found = self.cuts(data, at, at + SEARCHED)
+                if len(found):
+                    end = int(found[0])
+                    break
+                at += SEARCHED - 1
+            out.append(self.fragment(data[begun:end]))
+            begun = end
+        out.append(self.fragment(data[begun:]))
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""

@@ -115,10 +115,23 @@ def test_bpe_equals_the_library(spark):
 
 def test_bpe_cuts_are_never_inside_a_token():
     own = bpe.Bpe(PATH)
-    text = "The quick  brown fox's 123 jumps!\n\nOver."
-    data = text.encode()
-    for at in own.cuts(text, data).tolist():
+    data = "The quick  brown fox's 123 jumps!\n\nOver.".encode() * 3
+    every = own.cuts(data).tolist()
+    assert every
+    for at in every:
         assert not own.inside[data[at - 1] << 8 | data[at]]
+    seen = {x for start in range(1, len(data), 7) for x in own.cuts(data, start, start + 8).tolist()}
+    assert sorted(seen) == every  # windows see what one look sees
+
+
+@pytest.mark.parametrize(("fragment", "searched"), [(1, 8), (3, 3), (9, 16)])
+def test_bpe_fragments_do_not_change_the_ids(monkeypatch, fragment, searched):
+    monkeypatch.setattr(bpe, "FRAGMENT", fragment)
+    monkeypatch.setattr(bpe, "SEARCHED", searched)
+    own, rng = bpe.Bpe(PATH), np.random.default_rng(fragment)
+    for _ in range(2000):
+        text = "".join(rng.choice(PARTS, rng.integers(1, 18)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
 def test_bpe_digests(spark):
