@@ -14,7 +14,9 @@ where both sides pre-tokenise as they do in the whole text:
 * after a blank only if that blank stands alone (a run of blanks leaves its
   last one to the next word, which a fragment's end would hide).
 
-A stretch without any certain cut is one fragment.
+A stretch without any certain cut is one fragment. A fragment with a very long
+run of blanks goes to the tokenizers library: matching the run by the pattern
+would exhaust the other encoder's stack of states to go back to.
 
 Defined cases: null encodes as the empty text; the strings of added tokens
 encode as those tokens, as the tokenizers library does.
@@ -34,6 +36,8 @@ from .common import with_columns
 
 #: Bytes after which a fragment ends at the next certain cut, and bytes searched for one at a time.
 FRAGMENT, SEARCHED = 4096, 256
+#: Characters of a run of blanks beyond which its fragment is encoded by the tokenizers library.
+BLANKS = 1 << 16
 #: The pre-tokeniser's pattern, as published with byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: All characters up to U+024F: their classes are alike in every Unicode version at hand.
@@ -47,6 +51,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def long_blank(text: str) -> bool:
+    """Whether ``text`` has a run of more than ``BLANKS`` blanks."""
+    return len(text) > BLANKS and any(m.end() - m.start() > BLANKS for m in re.finditer(r"\s+", text))
+
+
 class Bpe:
     """Encodes with the vocabulary of a tokenizers file; truncation, padding and special-token insertion are off."""
 
@@ -109,7 +118,7 @@ class Bpe:
     def fragment(self, piece: bytes) -> bytes:
         """Ids of one fragment, as little-endian unsigned 32-bit integers."""
         text = piece.decode("utf-8")
-        if piece.isascii() or PLAIN.fullmatch(text):
+        if (piece.isascii() or PLAIN.fullmatch(text)) and not long_blank(text):
             return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -134,6 +134,14 @@ def test_bpe_fragments_do_not_change_the_ids(monkeypatch, fragment, searched):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "é" + "\u00a0" * 2_000_000, "x" + " \n\t" * 700_000 + " y"])
+def test_bpe_long_runs_of_blanks(text):
+    own = bpe.Bpe(PATH)
+    ids = own.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
+    assert own.decode(ids) == text
+
+
 def test_bpe_digests(spark):
     r = bpe.digests(documents(spark, [(1, "héllo wörld", None, "x")]), PATH).first()
     ids = np.array(Tokenizer.from_file(PATH).encode("héllo wörld", add_special_tokens=False).ids, "<u4").tobytes()
