@@ -187,24 +187,27 @@ def upserted_candidates(offers: DataFrame, by: Sequence[str], slot: str, label:
     return offers.withColumn("_turn", F.row_number().over(w)).where("_turn = 1").drop("_turn")
 
 
-def medoids(members: DataFrame, by: Sequence[str], position: str, dhash: str, cap: int = 600) -> DataFrame:
+def medoids(members: DataFrame, by: Sequence[str], position: str, dhash: str, cap: int | None = None) -> DataFrame:
     """The member of each group with the least sum of Hamming distances to the others; ties go to the later one.
 
     The sum over a group is taken bit by bit (how many members have each bit), so
-    no pairs are made and no cap is needed for cost. As in the definition, groups
-    beyond ``cap`` members are represented by ``cap`` evenly spaced ones.
+    no pairs are made and no cap is needed for cost. With ``cap``, groups beyond
+    it are represented by that many evenly spaced members; n_members counts all.
     """
-    w = Window.partitionBy(*by)
-    rows = members.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(position)) - 1)
-    step = lambda k: F.bround(k * (F.col("_n") - 1) / F.lit(cap - 1))
-    nearest = F.bround(F.col("_i") * F.lit(cap - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
-    picked = (F.col("_n") <= cap) | F.array_contains(F.array(step(nearest - 1), step(nearest), step(nearest + 1)), F.col("_i").cast("double"))
-    rows = rows.where(picked)
+    rows = members
+    if cap is not None:
+        w = Window.partitionBy(*by)
+        rows = rows.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(position)) - 1)
+        step = lambda k: F.bround(k * (F.col("_n") - 1) / F.lit(cap - 1))
+        nearest = F.bround(F.col("_i") * F.lit(cap - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
+        picked = (F.col("_n") <= cap) | F.array_contains(F.array(step(nearest - 1), step(nearest), step(nearest + 1)), F.col("_i").cast("double"))
+        rows = rows.where(picked)
     bit = lambda i: F.shiftrightunsigned(F.col(dhash), i).bitwiseAND(F.lit(1).cast("bigint"))
-    counts = rows.groupBy(*by).agg(F.count("*").alias("_m"), F.array(*[F.sum(bit(i)) for i in range(64)]).alias("_ones"))
+    n = F.count("*") if cap is None else F.max("_n")
+    counts = rows.groupBy(*by).agg(F.count("*").alias("_m"), n.alias("_of"), F.array(*[F.sum(bit(i)) for i in range(64)]).alias("_ones"))
     far = sum((F.when(bit(i) == 1, F.col("_m") - F.get("_ones", F.lit(i))).otherwise(F.get("_ones", F.lit(i))) for i in range(64)), F.lit(0).cast("bigint"))
     scored = rows.join(counts, list(by)).withColumn("_far", far)
-    out = scored.groupBy(*by).agg(F.min(F.struct(F.col("_far").alias("total"), (-F.col(position)).alias("later"))).alias("_best"), F.max("_n").alias("n_members"))
+    out = scored.groupBy(*by).agg(F.min(F.struct(F.col("_far").alias("total"), (-F.col(position)).alias("later"))).alias("_best"), F.max("_of").alias("n_members"))
     return out.select(*by, (-F.col("_best.later")).alias(position), F.col("_best.total").alias("total_distance"), "n_members")
 
 

@@ -97,6 +97,20 @@ def test_medoid(spark):
     assert folds.medoids(same, ["k"], "t", "h").first().t == 1  # ties go to the later one
 
 
+def test_medoid_of_a_large_group(spark):
+    rng = random.Random(4)
+    rows = [("a", t, rng.getrandbits(63) & 0xFFFFF) for t in range(700)]
+    sums = {t: sum((h ^ x).bit_count() for _, _, x in rows) for _, t, h in rows}
+    least = min(sums.values())
+    df = spark.createDataFrame(rows, "k string, t int, h bigint")
+    r = folds.medoids(df, ["k"], "t", "h").first()
+    assert (r.t, r.total_distance, r.n_members) == (max(t for t, s in sums.items() if s == least), least, 700)
+    few = [round(k * 699 / 599) for k in range(600)]  # the definition's evenly spaced ones
+    sums = {t: sum((rows[t][2] ^ rows[x][2]).bit_count() for x in few) for t in few}
+    r = folds.medoids(df, ["k"], "t", "h", cap=600).first()
+    assert (r.t, r.total_distance, r.n_members) == (max(t for t, s in sums.items() if s == min(sums.values())), min(sums.values()), 700)
+
+
 def stripped(spark, text):
     df = spark.createDataFrame([("d", text)], "k string, text string").select("k", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     kind = F.when(F.trim("line").rlike(X.AXIS_PRICE), "price").when(F.trim("line").rlike(X.AXIS_TIME), "time")
