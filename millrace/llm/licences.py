@@ -8,6 +8,14 @@ A passage must also share ``t * b / (2 - t)`` bigrams at least, so it holds one
 of any ``b`` minus that plus one: those with the longest words serve as anchors,
 and a text without an anchor word of any template is done after one look.
 
+A notice inside a longer line, or wrapped over lines among other text, is no
+passage: runs of words are compared as well. The best run begins and ends with a
+bigram of the template (another end only makes it larger), so runs are tried
+from each such place, up to the template's upper size bound. Overlapping runs
+count once, as the template they share most with; a run that overlaps a matching
+passage counts only if it shares more bigrams. The templates of ``FURTHER`` are
+looked for as runs only.
+
 Defined cases: null and blank texts match nothing; of equal scores the template
 that sorts first wins, then the earlier passage; repeated rows match alike.
 """
@@ -16,7 +24,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections.abc import Mapping
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +60,39 @@ TEMPLATES = {
     ),
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+_GNU = (
+    "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} Public License as "
+    "published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+#: Fixed values as well: notices and texts that are compared with runs of words only.
+FURTHER = {
+    "AGPL-3.0-notice": _GNU.format("program", ":", "Affero General", ",", "3"),
+    "BSD-2-Clause": _BSD,
+    "BSD-3-Clause": _BSD + (
+        " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."
+    ),
+    "GPL-2.0-notice": _GNU.format("program", ";", "General", ";", "2"),
+    "LGPL-2.1-notice": _GNU.format("library", ";", "Lesser General", ";", "2.1"),
+    "LGPL-3.0-notice": _GNU.format("program", ":", "Lesser General", ",", "3"),
+    "MIT-text": TEMPLATES["MIT-grant"] + (
+        " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+        "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+}
 THRESHOLD = 0.8
 WORD = re.compile(rb"[a-z0-9]+")
 
@@ -62,54 +105,145 @@ def bigrams(words: list[bytes]) -> frozenset[tuple[bytes, bytes]]:
     return frozenset(zip(words, words[1:], strict=False))
 
 
+def apart(found: list[tuple], rank) -> list[tuple]:
+    """Of (start, end, ...) those that overlap none of a lower ``rank``."""
+    out: list[tuple] = []
+    starts: list[int] = []
+    for x in sorted(found, key=rank):
+        at = bisect(starts, x[0])
+        if (at == 0 or out[at - 1][1] <= x[0]) and (at == len(out) or x[1] <= out[at][0]):
+            out.insert(at, x)
+            starts.insert(at, x[0])
+    return out
+
+
 class Scanner:
     """Templates with their bigrams, size bounds and anchors."""
 
-    def __init__(self, templates: Mapping[str, str], threshold: float) -> None:
-        self.threshold, self.templates = threshold, []
-        for name in sorted(templates):
-            own = bigrams(normalised(templates[name]))
-            if not own:
-                raise ValueError(f"template {name} has fewer than two words")
-            b, share = len(own), threshold / (2 - threshold)
-            needed = math.ceil(share * b - 1e-9)
-            longest = sorted(own, key=lambda x: (-max(map(len, x)), x))[: b - needed + 1]
-            anchors = frozenset(max(x, key=len) for x in longest)
-            self.templates.append((name, own, math.ceil(share * b - 1e-9), math.floor(b / share + 1e-9), anchors))
-        self.anchors = frozenset().union(*(x[-1] for x in self.templates))
+    def __init__(self, templates: Mapping[str, str], threshold: float, further: Mapping[str, str] | None = None) -> None:
+        self.threshold = threshold
+        self.templates = [self.entry(name, templates[name]) for name in sorted(templates)]
+        self.anchors = frozenset().union(*(x[4] for x in self.templates))
+        self.runs = self.templates + [self.entry(name, text) for name, text in sorted((further or {}).items())]
+        self.run_anchors = frozenset().union(*(x[4] for x in self.runs))
+        self.of: dict[tuple[bytes, bytes], list[int]] = {}
+        for i, x in enumerate(self.runs):
+            for g in x[1]:
+                self.of.setdefault(g, []).append(i)
+
+    def entry(self, name: str, text: str) -> tuple:
+        """Name, bigrams, least and most bigrams of a match, anchors, places that a run may span."""
+        words = normalised(text)
+        own = bigrams(words)
+        if not own:
+            raise ValueError(f"template {name} has fewer than two words")
+        b, share = len(own), self.threshold / (2 - self.threshold)
+        needed = math.ceil(share * b - 1e-9)
+        longest = sorted(own, key=lambda x: (-max(map(len, x)), x))[: b - needed + 1]
+        anchors = frozenset(max(x, key=len) for x in longest)
+        return name, own, needed, math.floor(b / share + 1e-9), anchors, math.floor((len(words) - 1) / share + 1e-9)
 
     def passages(self, text: str) -> list[str]:
         """The whole text, then its paragraphs, then its lines; repeated ones once."""
-        lines = text.split("\n")
-        return list(dict.fromkeys([text, *re.split(r"\n[^\S\n]*\n", text), *lines]))
+        return list(dict.fromkeys(x for part in self.parts(text) for x in part))
 
-    def matches(self, text: str | None) -> list[tuple[str, float]]:
-        """(template, Dice) of every passage that reaches the threshold, in order of the passages, then of the templates."""
-        if not text or self.anchors.isdisjoint(normalised(text)):
-            return []
+    def parts(self, text: str) -> tuple[list[str], list[str], list[str]]:
+        return [text], re.split(r"\n[^\S\n]*\n", text), text.split("\n")
+
+    def matched(self, text: str) -> list[tuple[str, str, float, int]]:
+        """(passage, template, Dice, shared bigrams) of every passage that reaches the threshold."""
         out = []
         for passage in self.passages(text):
             words = normalised(passage)
             if self.anchors.isdisjoint(words):
                 continue
             own = bigrams(words)
-            for name, other, low, high, anchors in self.templates:
+            for name, other, low, high, anchors, _ in self.templates:
                 if low <= len(own) <= high and not anchors.isdisjoint(words):
-                    score = 2 * len(own & other) / (len(own) + len(other))
+                    shared = len(own & other)
+                    score = 2 * shared / (len(own) + len(other))
                     if score >= self.threshold - 1e-12:
-                        out.append((name, score))
+                        out.append((passage, name, score, shared))
         return out
 
-
-def scanned(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    def matches(self, text: str | None) -> list[tuple[str, float]]:
+        """(template, Dice) of every passage that reaches the threshold, in order of the passages, then of the templates."""
+        if not text or self.anchors.isdisjoint(normalised(text)):
+            return []
+        return [(name, score) for _, name, score, _ in self.matched(text)]
+
+    def best_runs(self, pairs: list[tuple[bytes, bytes]], places: list[int], i: int) -> list[tuple[int, int, str, float, int]]:
+        """(first word, word after the last, template, Dice, shared bigrams) of a template's best runs, none overlapping."""
+        name, own, low, high, _, span = self.runs[i]
+        found = []
+        for first, last in zip(places, places[low - 1 :], strict=False):
+            if last - first >= span:
+                continue
+            seen: set[tuple[bytes, bytes]] = set()
+            best, shared = None, 0
+            for k in range(first, min(first + span, len(pairs))):
+                g = pairs[k]
+                if g in seen:
+                    continue
+                seen.add(g)
+                if len(seen) > high:
+                    break
+                if g in own:
+                    shared += 1
+                    score = 2 * shared / (len(seen) + len(own))
+                    if score >= self.threshold - 1e-12 and (best is None or score > best[3]):
+                        best = (first, k + 2, name, score, shared)
+            if best:
+                found.append(best)
+        return apart(found, lambda x: (-x[3], x[1] - x[0], x[0]))
+
+    def notices(self, text: str | None) -> list[tuple[str, float]]:
+        """(template, Dice) of the passages as ``matches`` has them, then of the runs of words beside them."""
+        words = normalised(text) if text else []
+        if self.run_anchors.isdisjoint(words):
+            return []
+        matched = [] if self.anchors.isdisjoint(words) else self.matched(text)
+        out = [(name, score) for _, name, score, _ in matched]
+        pairs = list(zip(words, words[1:], strict=False))
+        places: dict[int, list[int]] = {}
+        for k, g in enumerate(pairs):
+            for i in self.of.get(g, ()):
+                places.setdefault(i, []).append(k)
+        found = [x for i, at in places.items() if len(at) >= self.runs[i][2] for x in self.best_runs(pairs, at, i)]
+        if not found:
+            return out
+        most: dict[str, int] = {}
+        for passage, _, _, shared in matched:
+            most[passage] = max(shared, most.get(passage, 0))
+        if most:
+            for part in self.parts(text):
+                spans, start = [], 0
+                for passage in part:
+                    end = start + len(normalised(passage))
+                    if passage in most:
+                        spans.append((start, end, most[passage]))
+                    start = end
+                ends = [end for _, end, _ in spans]
+                over = lambda x: takewhile(lambda p: p[0] < x[1], (spans[k] for k in range(bisect(ends, x[0]), len(spans))))  # noqa: B023, E731
+                found = [x for x in found if all(x[4] > shared for _, _, shared in over(x))]
+        return out + [(name, score) for _, _, name, score, _ in apart(found, lambda x: (-x[4], -x[3], x[2], x[0]))]
+
+
+def scanned(
+    docs: DataFrame,
+    templates: Mapping[str, str] = TEMPLATES,
+    threshold: float = THRESHOLD,
+    text: str = "text",
+    further: Mapping[str, str] = FURTHER,
+) -> DataFrame:
     """``docs`` with licence (best template or null), dice and n_matches. No shuffle; the templates travel with the tasks."""
-    chosen = dict(templates)
+    chosen, more = dict(templates), dict(further)
 
     def make():
-        scanner = Scanner(chosen, threshold)
+        scanner = Scanner(chosen, threshold, more)
 
         def run(block: pa.RecordBatch) -> dict[str, object]:
-            found = [scanner.matches(t) for t in block.column(text).to_pylist()]
+            found = [scanner.notices(t) for t in block.column(text).to_pylist()]
             best = [min(f, key=lambda x: (-x[1], x[0])) if f else (None, None) for f in found]
             return {"licence": [b[0] for b in best], "dice": [b[1] for b in best], "n_matches": [len(f) for f in found]}
 

@@ -200,6 +200,44 @@ def test_licences(spark):
     assert licences.scanned(documents(spark, [])).count() == 0
 
 
+def wrapped(text, width=9):
+    words = text.split()
+    return "\n * ".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_licences_inside_other_text(spark):
+    prose = " ".join(f"bird {k} of the coast was counted" for k in range(60)) + ". "
+    notices = licences.TEMPLATES | licences.FURTHER
+    rows = [(20, prose + "Released under the MIT License. " + prose, None, "x")]
+    rows += [(30 + i, prose + "\n * " + wrapped(t) + " " + prose, None, "x") for i, t in enumerate(notices.values())]
+    rows += [(21, prose + "\nReleased under the MIT License.\n" + prose + licences.TEMPLATES["GPL-3.0"] + " " + prose, None, "x"), (22, prose, None, "x")]
+    rows += [(23, "Released under the MIT License. " * 2, None, "x"), (24, prose.join([licences.TEMPLATES["GPL-3.0"], licences.TEMPLATES["CC-BY-NC-4.0"]] * 40), None, "x")]
+    got = {r.doc_id: r for r in licences.scanned(documents(spark, rows)).collect()}
+    assert (got[20].licence, got[20].dice, got[20].n_matches) == ("MIT", 1.0, 1)
+    for i, name in enumerate(notices):
+        r = got[30 + i]
+        assert r.licence == name and r.dice > 0.95 and r.n_matches >= 1, name
+    assert got[21].licence == "GPL-3.0" and got[21].n_matches == 2  # the line and the run
+    assert got[22].licence is None and got[22].n_matches == 0
+    assert got[23].licence == "MIT" and got[24].n_matches == 80
+
+
+def test_licence_runs_against_every_window():
+    scanner = licences.Scanner(licences.TEMPLATES, 0.8, licences.FURTHER)
+    rng, some = np.random.default_rng(6), [licences.TEMPLATES["MIT"], licences.TEMPLATES["GPL-3.0"], licences.TEMPLATES["CC-BY-NC-4.0"]]
+    for _ in range(60):
+        base = " ".join(rng.choice(["of", "the", "public", "under", "license", "licensed"], 20).tolist() + [str(rng.choice(some))] + ["the", "mit"] * 4)
+        words = licences.normalised(base)
+        for k in rng.integers(20, len(words), 2):
+            words[k] = b"license"
+        pairs = list(zip(words, words[1:], strict=False))
+        for i, (_, own, _, _, _, span) in enumerate(scanner.runs):
+            windows = [set(pairs[a:b]) for a in range(len(pairs)) for b in range(a + 1, min(a + span, len(pairs)) + 1)]
+            top = max(2 * len(w & own) / (len(w) + len(own)) for w in windows)
+            runs = scanner.best_runs(pairs, [k for k, g in enumerate(pairs) if g in own], i)
+            assert max((x[3] for x in runs), default=0) == (top if top >= 0.8 - 1e-12 else 0)
+
+
 def test_licence_pruning_loses_nothing():
     rng = np.random.default_rng(4)
     scanner = licences.Scanner(licences.TEMPLATES, 0.6)
