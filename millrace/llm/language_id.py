@@ -6,6 +6,8 @@ collision-free 64-bit hash: four code units of 16 bits), so a text is scored
 against every language with one binary search per order and position. The
 chosen language has the lowest cross-entropy per character; texts whose
 cross-entropy lies too near to that of shuffled calibration texts are rejected.
+A language with few held-back texts is calibrated on those and on its fitted
+texts, each scored by the others; so every language rejects, however rare it is.
 
 Defined cases: a text that is null or has no letter gets ``und``, score 0 and
 ``rejected`` true; with no labelled document at all every text does. Ties go to
@@ -28,6 +30,8 @@ from .common import blocks, with_columns
 
 ORDER = 4
 SPACE = 32
+#: Held-back texts below which fitted texts calibrate too, and how many of these at most.
+FEW, LEFT_OUT = 5, 20
 ADDED = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
@@ -193,13 +197,36 @@ class LanguageModels:
             total[some] /= n[some, None]
         return total, n, letters
 
-    def calibrated(self, texts: list[str], languages: list[str], strictness: float) -> LanguageModels:
+    def left_out(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropies of texts of one language, each by a model of the others, as they are and with their characters shuffled.
+
+        A single text is taken as two halves.
+        """
+        units, rng, alphabet = Units(), np.random.default_rng(7), round(np.exp(-self.unseen))
+        if len(texts) == 1:
+            half = len(texts[0]) // 2
+            texts = [texts[0][:half], texts[0][half:]]
+        texts = [t for t in texts if units([t])[2][0]][:LEFT_OUT]
+        keys = [units([t])[0] for t in texts]
+        out = []
+        for i, t in enumerate(texts if len(texts) > 1 else []):
+            model = KneserNey(*np.unique(np.concatenate(keys[:i] + keys[i + 1 :]), return_counts=True), alphabet)
+            mixed = units(["".join(rng.permutation(list(t)))])[0]
+            out.append([-np.log(np.maximum(model.probability(ORDER, k), 1e-12)).mean() for k in (keys[i], mixed)])
+        found = np.array(out).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+    def calibrated(self, texts: list[str], languages: list[str], strictness: float, fitted: dict[str, list[str]] | None = None) -> LanguageModels:
         """Sets the rejection limits from held-back texts and from the same texts with their characters shuffled.
 
         Shuffled texts have a language's letters but nothing else of it. The limit
         lies ``strictness`` of the way from the former's median cross-entropy (a
         language's own) to the latter's; texts of n characters get
         sqrt(1 + 20 / n) times that distance, as few characters prove little.
+
+        Languages with fewer than ``FEW`` held-back texts also count their
+        ``fitted`` ones, each left out in turn. One without any such text gets the
+        median of the others' limits, or, if there is none, a guess among all letters.
         """
         h, n, letters = self.entropies(Units(), texts)
         rng = np.random.default_rng(5)
@@ -207,9 +234,16 @@ class LanguageModels:
         mean, width = np.full(len(self.languages), np.inf), np.zeros(len(self.languages))
         for i, name in enumerate(self.languages):
             own = [k for k, x in enumerate(languages) if x == name and letters[k]]
-            if len(own) >= 5:
-                mean[i] = np.median(h[own, i])
-                width[i] = strictness * max(0.0, float(np.median(mixed[own, i]) - mean[i]))
+            plain, shuffled = h[own, i], mixed[own, i]
+            if len(own) < FEW:
+                more = self.left_out((fitted or {}).get(name, []))
+                plain, shuffled = np.r_[plain, more[0]], np.r_[shuffled, more[1]]
+            if len(plain):
+                mean[i] = np.median(plain)
+                width[i] = strictness * max(0.0, float(np.median(shuffled) - mean[i]))
+        known = np.isfinite(mean)
+        width[~known] = np.median(width[known]) if known.any() else 0.0
+        mean[~known] = np.median(mean[known]) if known.any() else -self.unseen
         self.limits = (mean, width)
         return self
 
@@ -256,7 +290,9 @@ def fit(
     """Fit the models on about ``per_language`` documents of each language.
 
     ``held_back`` further documents of each calibrate the rejection. Both bound
-    what reaches the driver: n-gram counts and calibration texts, whole.
+    what reaches the driver: n-gram counts and calibration texts, whole. Of
+    languages with few of these, the fitted documents (as few) are sent as well.
+    A language whose only documents are held back has no model.
     """
     sample = labelled_sample(docs, lang, per_language + held_back, F.col(key)).select(
         F.col(lang).alias("lang"),
@@ -289,7 +325,17 @@ def fit(
         counts[name] = (keys[order], rows["n"].to_numpy(np.int64)[order])
     models = LanguageModels.of_counts(counts)
     back = sample.where("back and text is not null").select("lang", "text").toPandas()
-    return models.calibrated(back["text"].tolist(), back["lang"].tolist(), strictness) if models.languages else models
+    if not models.languages:
+        return models
+    texts, names = back["text"].tolist(), back["lang"].tolist()
+    lettered = [x for x, k in zip(names, Units()(texts)[2], strict=True) if k]
+    few = [x for x in models.languages if lettered.count(x) < FEW]
+    fitted: dict[str, list[str]] = {}
+    if few:
+        own = sample.where(~F.col("back") & F.col("text").isNotNull() & F.col("lang").isin(few))
+        for r in own.select("lang", "text").orderBy(F.xxhash64("text"), "text").collect():
+            fitted.setdefault(r.lang, []).append(r.text)
+    return models.calibrated(texts, names, strictness, fitted)
 
 
 def identify(docs: DataFrame, models: LanguageModels, text: str = "text") -> DataFrame:

@@ -41,6 +41,25 @@ def test_languages_are_told_apart_on_held_out_rows(spark, languages):
     assert odd.rejected
 
 
+@pytest.mark.parametrize("labelled", [1, 2, 6])
+def test_rare_languages_reject_too(spark, languages, labelled):
+    rng = np.random.default_rng(8)
+    some = lambda: " ".join("".join(rng.choice(["και", "του", "στη", "νερ", "ολο"], rng.integers(1, 4))) for _ in range(60))
+    texts = [some() for _ in range(labelled + 10)]
+    junk = ["".join(rng.permutation(list(t))) for t in texts[:10]] + ["漢字仮名交じり文" * 20]
+    ids = iter(range(900, 9999))
+    rows = languages + [(next(ids), t, "el", "x") for t in texts[:labelled]]
+    models = language_id.fit(documents(spark, rows))
+    while "el" not in models.languages:  # its only documents were held back
+        rows = languages + [(next(ids), t, "el", "x") for t in texts[:labelled]]
+        models = language_id.fit(documents(spark, rows))
+    assert np.isfinite(models.limits[0]).all() and np.isfinite(models.limits[1]).all()
+    units = language_id.Units()
+    own, bad = models.labels(units, texts[labelled:]), models.labels(units, junk)
+    assert own["lang_pred"] == ["el"] * 10 and not any(own["rejected"])
+    assert "el" in bad["lang_pred"] and all(bad["rejected"])
+
+
 def test_language_probabilities_sum_to_one(spark, languages):
     keys, of, _ = language_id.Units()([t for _, t, lang, _ in languages if lang == "aa"][:20])
     k, c = np.unique(keys, return_counts=True)
