@@ -1,9 +1,9 @@
 """WARC archives as a table of record chunks.
 
 A record becomes rows (archive, record, chunk, chunks, data) of at most
-``CHUNK`` payload bytes each, so an oversized payload is written and read as a
-stream: writers slice it without copying it whole, readers carry the header's
-remainder and a running SHA-1 from chunk to chunk. Records of one chunk are read
+``CHUNK`` payload bytes each, so an oversized payload is read as a stream:
+readers carry the header's remainder and a running SHA-1 from chunk to chunk.
+The writer holds whole records, about three times. Records of one chunk are read
 where they lie; only longer ones are shuffled and sorted by (archive, record,
 chunk).
 
