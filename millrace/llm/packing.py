@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Bpe
+from .bpe import loaded
 from .common import blocks, stored
 
 WINDOW, SPREAD = 1024, 64
@@ -145,14 +145,16 @@ def tokens(docs: DataFrame, path: str, closing: int, window: int, key: str, text
     """A row per document: whole windows as checksums, and the ids of the remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, task = Bpe(path), TaskContext.get()
+        bpe, task = loaded(path), TaskContext.get()
         end, unique, full = np.array([closing], "<u4").tobytes(), (task.partitionId() if task else 0) << 38, 0
         row, width = 0, 4 * window
         for batch in batches:
             for block in blocks(batch, "text"):
                 out: dict[str, list] = {x: [] for x in ("uid", "doc_tokens", "windows", "first", "rest", "rest_crc", "rest_ids")}
-                for t in block.column("text").to_pylist():
-                    ids = bpe.encode(t) + end
+                found, bounds = bpe.block(block.column("text"))
+                data = memoryview(found.tobytes())
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = bytes(data[4 * a : 4 * b]) + end
                     whole = len(ids) // width
                     rest = ids[whole * width :]
                     for name, x in (

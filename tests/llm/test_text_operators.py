@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -118,7 +119,7 @@ def test_quality_edge_cases(spark):
     assert quality_fm.score(documents(spark, EDGE), quality_fm.fit(documents(spark, EDGE), labels.limit(0))).first().score == 0.5
 
 
-PARTS = ["a", "The", " ", "  ", "\n", "\n\n", "\t", "'", "'s", "'ll", "!", "...", "23", "é", "漢字", "😀", "\u00a0", "\u2003", "\x1c", "<|endoftext|>", "<|", "²", "\r\n", "Ω", "\u200b", "x'"]
+PARTS = ["a", "The", " ", "  ", "\n", "\n\n", "\t", "'", "'s", "'ll", "!", "...", "23", "é", "漢字", "😀", "\u00a0", "\u2003", "\x1c", "<|endoftext|>", "<|", "²", "\r\n", "Ω", "\u200b", "x'", "Привет", "ф", "好世界", "ひら", "한국", "\u064e", "\u0301", "ǅ", "１", "'re", "'r", "e", "\x85", "\u180e", "𝒜"]
 
 
 def test_bpe_equals_the_library(spark):
@@ -132,24 +133,33 @@ def test_bpe_equals_the_library(spark):
         assert r.decoded == library.decode(ids, skip_special_tokens=False)
 
 
-def test_bpe_cuts_are_never_inside_a_token():
+def test_bpe_cuts_every_text_and_never_inside_a_token():
     own = bpe.Bpe(PATH)
-    data = "The quick  brown fox's 123 jumps!\n\nOver.".encode() * 3
-    every = own.cuts(data).tolist()
-    assert every
-    for at in every:
-        assert not own.inside[data[at - 1] << 8 | data[at]]
-    seen = {x for start in range(1, len(data), 7) for x in own.cuts(data, start, start + 8).tolist()}
-    assert sorted(seen) == every  # windows see what one look sees
-
-
-@pytest.mark.parametrize(("fragment", "searched"), [(1, 8), (3, 3), (9, 16)])
-def test_bpe_fragments_do_not_change_the_ids(monkeypatch, fragment, searched):
-    monkeypatch.setattr(bpe, "FRAGMENT", fragment)
-    monkeypatch.setattr(bpe, "SEARCHED", searched)
-    own, rng = bpe.Bpe(PATH), np.random.default_rng(fragment)
-    for _ in range(2000):
-        text = "".join(rng.choice(PARTS, rng.integers(1, 18)))
+    for text in ("The quick  brown fox's 123 jumps!\n\nOver.", "Съешь ещё этих мягких французских булок", "这是一个用来测试分词器的中文句子", "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία"):
+        data = text.encode()
+        every = own.cuts(data).tolist()
+        assert len(every) > len(data) / 12
+        for at in every:
+            assert not own.inside[data[at - 1] << 8 | data[at]] and data[at] & 0xC0 != 0x80
+    for c in "\x1c\x85\u180e'":  # unknown to some, or part of a contraction
+        assert not len(own.cuts(f"a{c}a".encode()))
+
+
+@pytest.mark.parametrize("segment", [1, 5, 64])
+def test_bpe_fragments_do_not_change_the_ids(monkeypatch, segment):
+    monkeypatch.setattr(bpe, "SEGMENT", segment)
+    own, rng = bpe.Bpe(PATH), np.random.default_rng(segment)
+    texts = ["".join(rng.choice(PARTS, rng.integers(0, 18))) for _ in range(3000)]
+    ids, bounds = own.block(pa.array([None, *texts]).slice(1))
+    for i, text in enumerate(texts):
+        expected = own.library.encode(text, add_special_tokens=False).ids
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == expected and np.frombuffer(own.encode(text), "<u4").tolist() == expected
+
+
+def test_bpe_forgets_and_encodes_alike(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    own = bpe.Bpe(PATH)
+    for text in ["one two three four five six"] * 3 + ["x" * 100_000, "Привет " * 9000]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
