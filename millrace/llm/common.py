@@ -38,8 +38,8 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Keys that may be sent to every executor; more are joined by shuffling both sides.
-SENT_KEYS = 2_000_000
+#: Keys that may be sent to every executor (some 60 MB at most); more are joined by shuffling both sides.
+SENT_KEYS = 500_000
 
 
 def by_keys(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:

@@ -1,20 +1,26 @@
 """WARC archives as a table of record chunks.
 
 A record becomes rows (archive, record, chunk, chunks, data) of at most
-``CHUNK`` payload bytes each, so an oversized payload is read as a stream:
-readers carry the header's remainder and a running SHA-1 from chunk to chunk.
-The writer holds whole records, about three times. Records of one chunk are read
-where they lie; only longer ones are shuffled and sorted by (archive, record,
-chunk).
+``CHUNK`` payload bytes each, so an oversized payload is written and read as a
+stream. The writer slices the payload where it lies (in the batch that holds the
+page), runs a SHA-1 over the slices, writes it into the header and yields chunk
+rows in batches of about ``BATCH`` bytes: beside the page itself it holds one
+such batch. Readers carry the header's remainder and a running SHA-1 from chunk
+to chunk. Records of one chunk are read where they lie; only the chunks of
+longer ones are shuffled and sorted by (archive, record, chunk).
 
 Of records with equal payloads of at least ``least`` bytes the one with the
-largest key is a response and the others revisit it. Only digests are
-aggregated and joined for that; a hot digest is combined before its shuffle and
-the join is a plain equi-join, which Spark splits where skewed.
+largest key is a response and the others revisit it. That is settled on a stored
+table of keys and digests, without payloads; a hot digest is combined before its
+shuffle and the join is a plain equi-join, which Spark splits where skewed.
+Revisits need no payload and come from that table; responses are the pages that
+are not among them, by a join on (digest, key) that is broadcast where few keys
+revisit and spreads copies evenly where many do.
 
 Defined cases: a null payload is empty; rows whose key is null revisit if an
 equal payload has a key and are responses otherwise; repeated rows with the
-largest key are all responses; line breaks in a URL are percent-encoded.
+largest key are all responses; line breaks in a URL are percent-encoded; an
+empty table gives no records.
 """
 
 from __future__ import annotations
@@ -28,9 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, stored
+from .common import by_keys, stored
 
-CHUNK, LEAST = 64 << 10, 1000
+CHUNK, BATCH, LEAST = 8 << 10, 1 << 20, 1000
 NAME = "urn:millrace:page:"
 ROWS = "archive bigint, record bigint, chunk int, chunks int, data binary"
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
@@ -51,43 +57,72 @@ def header(key: int | None, url: str | None, kind: str, digest: str, size: int,
 
 
 def planned(pages: DataFrame, key: str, payload: str, url: str, least: int) -> DataFrame:
-    """key, url, payload, digest, size and, for revisits, the key that they refer to."""
+    """key, url and either a payload (responses) or the digest, size and key that they refer to (revisits)."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(
-        F.col(key).cast("bigint").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"),
-        F.sha1(body).alias("digest"), F.octet_length(body).cast("bigint").alias("size"),
-    )
-    first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("key").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(first.select("digest", "refers_to"), "digest", "left")
+    rows = pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("digest"))
+    facts = stored(rows.select("key", "url", "digest", F.octet_length("payload").cast("bigint").alias("size")))
+    large = facts.where(F.col("size") >= least)
+    first = large.groupBy("digest").agg(F.max("key").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
     other = F.col("key").isNull() | (F.col("key") < F.col("refers_to"))
-    return joined.select("key", "url", "payload", "digest", "size", F.when(other, F.col("refers_to")).alias("refers_to"))
+    revisits = stored(large.join(first.select("digest", "refers_to"), "digest").where(other).select("key", "url", "digest", "size", "refers_to"))
+    # Null keys compare as a value of their own.
+    known = F.struct("digest", F.coalesce("key", F.lit(0)).alias("key"), F.col("key").isNull().alias("missing")).alias("known")
+    responses = by_keys(rows.withColumn("known", known), revisits.select(known).distinct(), "known", "left_anti")
+    none = F.lit(None)
+    return responses.select("key", "url", "payload", none.cast("string").alias("digest"), none.cast("bigint").alias("size"), none.cast("bigint").alias("refers_to")).unionByName(
+        revisits.select("key", "url", none.cast("string").alias("payload"), "digest", "size", "refers_to")
+    )
+
+
+def slices(payload: memoryview, chunk: int) -> Iterator[memoryview]:
+    """The payload in chunks, not copied; an empty one is one chunk."""
+    for k in range(max(1, -(-len(payload) // chunk))):
+        yield payload[k * chunk : (k + 1) * chunk]
+
+
+def chunk_batches(batches: Iterator[pa.RecordBatch], archive: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    """The chunk rows of one archive, in batches of about ``BATCH`` bytes."""
+    out, size, record = [], 0, 0
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        r, k, n, data = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([archive] * len(r), pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())],
+            names=["archive", "record", "chunk", "chunks", "data"],
+        )
+
+    for batch in batches:
+        payloads = batch.column("payload")
+        keys, urls, digests, sizes, refs = (batch.column(x).to_pylist() for x in ("key", "url", "digest", "size", "refers_to"))
+        for i in range(batch.num_rows):
+            kind = "response" if refs[i] is None else "revisit"
+            payload = memoryview(payloads[i].as_buffer()) if kind == "response" else memoryview(b"")
+            digest, length = digests[i], sizes[i]
+            if kind == "response":
+                sha, length = hashlib.sha1(), len(payload)
+                for part in slices(payload, chunk):
+                    sha.update(part)
+                digest = sha.hexdigest()
+            n = max(1, -(-len(payload) // chunk))
+            for k, part in enumerate(slices(payload, chunk)):
+                head = header(keys[i], urls[i], kind, digest, length, refs[i]) if k == 0 else b""
+                data = b"".join((head, part, b"\r\n\r\n" if k == n - 1 else b""))
+                out.append((record, k, n, data))
+                size += len(data)
+                if size >= BATCH:
+                    yield batch_of(out)
+                    out, size = [], 0
+            record += 1
+    if out:
+        yield batch_of(out)
 
 
 def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The chunk rows of ``planned`` records, in the order of their archive (one archive a task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, record = TaskContext.get(), 0
-        archive = task.partitionId() if task else 0
-        for batch in batches:
-            for block in blocks(batch, "payload"):
-                out: list[tuple] = []
-                payloads = block.column("payload")
-                keys, urls, digests, sizes, refs = (block.column(x).to_pylist() for x in ("key", "url", "digest", "size", "refers_to"))
-                for i in range(block.num_rows):
-                    kind = "response" if refs[i] is None else "revisit"
-                    view = memoryview(payloads[i].as_buffer()) if kind == "response" else memoryview(b"")
-                    n = max(1, -(-len(view) // chunk))
-                    for k in range(n):
-                        head = header(keys[i], urls[i], kind, digests[i], sizes[i], refs[i]) if k == 0 else b""
-                        tail = b"\r\n\r\n" if k == n - 1 else b""
-                        out.append((record, k, n, b"".join((head, view[k * chunk : (k + 1) * chunk], tail))))
-                    record += 1
-                r, k, n, data = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([archive] * len(r), pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())],
-                    names=["archive", "record", "chunk", "chunks", "data"],
-                )
+        task = TaskContext.get()
+        return chunk_batches(batches, task.partitionId() if task else 0, chunk)
 
     return rows.mapInArrow(run, ROWS)
 

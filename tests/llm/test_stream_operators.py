@@ -1,14 +1,16 @@
 """Ogg, reply trees, near duplicates, top-k, WARC: round trips, brute force, corner cases."""
 
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_topk, near_dedup, ogg, reply_trees, warc
+from millrace.llm import common, exact_topk, near_dedup, ogg, reply_trees, warc
 from millrace.llm.common import shingle_set, stored, words
 
 DOCS = "doc_id bigint, text string"
@@ -195,8 +197,8 @@ def test_words_of_the_contract():
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(exact_topk, "SHARD", 40)
-    monkeypatch.setattr(exact_topk, "BLOCK", 3)
+    monkeypatch.setattr(exact_topk, "MOST", 40 * 8)  # several shards, in several rounds
+    monkeypatch.setattr(exact_topk, "LEAST", 10 * 8)
     rng = np.random.default_rng(7)
     x = rng.normal(0, 0.3, (150, 8)).astype(np.float32)
     x[10:40] = x[9]  # ties
@@ -214,20 +216,75 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert exact_topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def brute(rows, scale=64, k=20):
+    """Winners of every query by Python's integers, over vectors of one length."""
+    v = {}
+    for key, x in rows:
+        v.setdefault(len(x), []).append((key, [math.floor(scale * c) for c in x]))
+    out = {}
+    for same in v.values():
+        for key, w in same:
+            if key % 20 == 0:
+                best = sorted((-sum(a * b for a, b in zip(w, x, strict=True)), other) for other, x in same if other != key)
+                out[key] = [(other, -s) for s, other in best[:k]]
+    return out
+
+
+def found(df, **options):
+    out = {}
+    for r in exact_topk.top_k(df, F.col("id") % 20 == 0, **options).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(out[r.query_id])
+    return out
+
+
+@pytest.mark.parametrize("size", [1 << 4, 1 << 11, 1 << 22, 1 << 29])
+def test_top_k_is_exact_at_every_size(spark, monkeypatch, size):
+    monkeypatch.setattr(exact_topk, "MOST", 30 * 5)
+    rng = np.random.default_rng(size)
+    rows = [(i, [float(c) for c in rng.integers(-size, size, 5)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert found(df, k=7, scale=1) == brute(rows, 1, 7)
+
+
+def test_top_k_beyond_a_long(spark):
+    small = [(0, [4e9, 4e9]), (1, [-4e9, -4e9]), (2, [4e9, -4e9])]
+    df = spark.createDataFrame(small, "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        found(df, scale=1)
+    held = [(0, [4e9, 4e9, 1.0]), (2, [4e9, -4e9, 3.0]), (4, [-4e9, 4e9, 5.0])]  # large products, scores within a long
+    assert found(spark.createDataFrame(held, "vec_id bigint, embedding array<double>"), scale=1) == brute(held, 1)
+
+
+def test_top_k_of_every_length_and_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "MOST", 12)
+    monkeypatch.setattr(exact_topk, "LEAST", 6)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(c) for c in rng.normal(0, 1, 1 + i % 3)]) for i in range(70)]
+    rows += [(7, [1.0, 1.0])] * 30 + [(100, [0.5, 0.5, 0.5, 0.5])]  # one key with many rows; a vector of its own length
+    got = found(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    assert got == {q: x for q, x in brute(rows).items() if x}
+    assert 100 not in got
+
+
+
 def test_threshold_stops_before_the_end():
-    x = np.zeros((4000, 2))
+    x = np.zeros((4000, 2), np.int64)
     x[:, 0] = np.arange(4000)
     lists = exact_topk.SortedLists(np.arange(4000), x)
-    keys, scores = lists.search(-1, np.array([1.0, 0.0]), 5)
-    assert keys.tolist() == [3999, 3998, 3997, 3996, 3995] and scores[0] == 3999
+    keys, scores = lists.search(-1, np.array([1, 0]), 5)
+    assert keys.tolist() == [3999, 3998, 3997, 3996, 3995] and scores[0] == 3999 and lists.scored < 200
+    assert lists.search(-1, np.array([1, 0]), 5, 3998)[0].tolist() == [3999, 3998]  # nothing below the score so far
+    assert lists.search(-1, np.array([1, 0]), 5, 4001)[0].tolist() == []
 
 
 PAGES = "page_id bigint, url string, html string"
 
 
-@pytest.mark.parametrize("chunk", [64 << 10, 100, 7])
-def test_warc_round_trip(spark, chunk):
-    long = "é<p>\r\n\r\n" * 900
+@pytest.mark.parametrize(("chunk", "times", "sent"), [(warc.CHUNK, 30_000, 500_000), (100, 900, 0), (7, 900, 500_000)])
+def test_warc_round_trip(spark, monkeypatch, chunk, times, sent):
+    monkeypatch.setattr(common, "SENT_KEYS", sent)
+    long = "é<p>\r\n\r\n" * times
     rows = [(1, "http://a\r\nX: y", long), (2, None, long), (5, "u", long), (5, "u", long), (3, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "u", ""), (None, "u", long), (8, "u", "\r\n\r\nWARC/1.1\r\n" * 99)]
     pages = spark.createDataFrame(rows, PAGES).withColumn("digest", F.lit("clash"))
     chunks = warc.written(pages, chunk=chunk)
@@ -240,6 +297,22 @@ def test_warc_round_trip(spark, chunk):
     assert warc.read_archives(warc.written(pages.limit(0))).count() == 0
 
 
+def test_warc_writes_oversized_records_in_small_batches():
+    size = 40 << 20
+    pages = pa.RecordBatch.from_pydict({"key": [1, 2], "url": ["u", "v"], "payload": ["x" * size, "y"], "digest": pa.array([None, None], pa.string()), "size": pa.array([None, None], pa.int64()), "refers_to": pa.array([None, None], pa.int64())})
+    reader, rows, last = warc.Reader(), [], 0
+    for batch in warc.chunk_batches(iter([pages]), 0, warc.CHUNK):
+        assert batch.nbytes <= 2 * warc.BATCH
+        for data, k, n in zip(batch.column("data"), batch.column("chunk").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
+            reader = warc.Reader() if k == 0 else reader
+            reader.add(data.as_py())
+            assert len(reader.pending) <= 4 and k == (last + 1 if k else 0)
+            last = k
+            if k == n - 1:
+                rows.append(reader.row())
+    assert [r[:4] for r in rows] == [(1, size, hashlib.sha1(b"x" * size).hexdigest(), "response"), (2, 1, hashlib.sha1(b"y").hexdigest(), "response")]
+
+
 def test_warc_damage_is_seen():
     reader = warc.Reader()
     reader.add(warc.header(1, "u", "response", hashlib.sha1(b"abc").hexdigest(), 3, None) + b"abX\r\n\r\n")
