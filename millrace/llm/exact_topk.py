@@ -9,8 +9,8 @@ steps, scores what it has not met before, and stops once no unmet vector can
 reach the k-th score: the bound is the score of a vector that has, in every
 dimension, the value last read.
 
-Shards are searched in rounds (the first, then three, then twelve, ...). After a
-round a query knows the k-th score so far; later shards stop at it and return
+Shards are searched in rounds (as many as the cluster has cores, then seven times
+as many, and so on by eights). After a round a query knows the k-th score so far; later shards stop at it and return
 nothing below it, so a query's winners grow with the number of rounds and not
 with that of shards.
 
@@ -165,7 +165,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     dealt = rows.withColumn("number", F.monotonically_increasing_id())
     dealt = dealt.select("dims", F.pmod(F.xxhash64("id", "number"), "shards").cast("int").alias("turn"), "id", "v")
     asking = rows.where(is_query).select("dims", "shards", "id", "v")
-    best, low, high = None, 0, min(1, most)
+    best, low, high = None, 0, min(spark.sparkContext.defaultParallelism, most)
     while low < high or best is None:
         asks = asking
         if best is not None:
@@ -184,7 +184,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
             found = found.unionByName(best.select("query_id", "vec_id", "score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         best = found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
-        low, high = high, min(most, 4 * high)
+        low, high = high, min(most, 8 * high)
         if low < high:
             best = stored(best)
     return best

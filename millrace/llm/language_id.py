@@ -22,8 +22,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, with_columns
@@ -32,6 +33,8 @@ ORDER = 4
 SPACE = 32
 #: Held-back texts below which fitted texts calibrate too, and how many of these at most.
 FEW, LEFT_OUT = 5, 20
+#: The score is the chosen language's share of the likelihoods of this many characters (or of all, if fewer): more would always give 1.
+CERTAIN = 200
 ADDED = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
@@ -197,50 +200,30 @@ class LanguageModels:
             total[some] /= n[some, None]
         return total, n, letters
 
-    def left_out(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropies of texts of one language, each by a model of the others, as they are and with their characters shuffled.
+    def measured(self, texts: list[str], languages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropies of texts by the model of their own language, as they are and with their characters shuffled; have they letters?"""
+        units, at = Units(), np.array([self.languages.index(x) for x in languages], np.int64)
+        own = np.arange(len(texts))
+        plain, _, letters = self.entropies(units, texts)
+        mixed, _, _ = self.entropies(units, [shuffled(t) for t in texts])
+        return plain[own, at], mixed[own, at], letters > 0
 
-        A single text is taken as two halves.
-        """
-        units, rng, alphabet = Units(), np.random.default_rng(7), round(np.exp(-self.unseen))
-        if len(texts) == 1:
-            half = len(texts[0]) // 2
-            texts = [texts[0][:half], texts[0][half:]]
-        texts = [t for t in texts if units([t])[2][0]][:LEFT_OUT]
-        keys = [units([t])[0] for t in texts]
-        out = []
-        for i, t in enumerate(texts if len(texts) > 1 else []):
-            model = KneserNey(*np.unique(np.concatenate(keys[:i] + keys[i + 1 :]), return_counts=True), alphabet)
-            mixed = units(["".join(rng.permutation(list(t)))])[0]
-            out.append([-np.log(np.maximum(model.probability(ORDER, k), 1e-12)).mean() for k in (keys[i], mixed)])
-        found = np.array(out).reshape(-1, 2)
-        return found[:, 0], found[:, 1]
-
-    def calibrated(self, texts: list[str], languages: list[str], strictness: float, fitted: dict[str, list[str]] | None = None) -> LanguageModels:
-        """Sets the rejection limits from held-back texts and from the same texts with their characters shuffled.
+    def calibrated(self, found: dict[str, tuple[np.ndarray, np.ndarray]], strictness: float) -> LanguageModels:
+        """Sets the rejection limits from the cross-entropies of texts that were not fitted on, as they are and shuffled, by language.
 
         Shuffled texts have a language's letters but nothing else of it. The limit
         lies ``strictness`` of the way from the former's median cross-entropy (a
         language's own) to the latter's; texts of n characters get
-        sqrt(1 + 20 / n) times that distance, as few characters prove little.
-
-        Languages with fewer than ``FEW`` held-back texts also count their
-        ``fitted`` ones, each left out in turn. One without any such text gets the
-        median of the others' limits, or, if there is none, a guess among all letters.
+        sqrt(1 + 20 / n) times that distance, as few characters prove little. A
+        language without any measure gets the median of the others' limits, or, if
+        there is none, a guess among all letters.
         """
-        h, n, letters = self.entropies(Units(), texts)
-        rng = np.random.default_rng(5)
-        mixed, _, _ = self.entropies(Units(), ["".join(rng.permutation(list(t))) for t in texts])
         mean, width = np.full(len(self.languages), np.inf), np.zeros(len(self.languages))
         for i, name in enumerate(self.languages):
-            own = [k for k, x in enumerate(languages) if x == name and letters[k]]
-            plain, shuffled = h[own, i], mixed[own, i]
-            if len(own) < FEW:
-                more = self.left_out((fitted or {}).get(name, []))
-                plain, shuffled = np.r_[plain, more[0]], np.r_[shuffled, more[1]]
+            plain, mixed = found.get(name, (np.zeros(0), np.zeros(0)))
             if len(plain):
                 mean[i] = np.median(plain)
-                width[i] = strictness * max(0.0, float(np.median(shuffled) - mean[i]))
+                width[i] = strictness * max(0.0, float(np.median(mixed) - mean[i]))
         known = np.isfinite(mean)
         width[~known] = np.median(width[known]) if known.any() else 0.0
         mean[~known] = np.median(mean[known]) if known.any() else -self.unseen
@@ -254,7 +237,7 @@ class LanguageModels:
                     "cross_entropy": [None] * len(texts), "rejected": [True] * len(texts)}
         best = h.argmin(1)
         least = h[np.arange(len(texts)), best]
-        odds = np.exp(-(h - least[:, None]) * np.minimum(n, 200)[:, None])
+        odds = np.exp(-(h - least[:, None]) * np.minimum(n, CERTAIN)[:, None])
         known = letters > 0
         rejected = ~known
         if self.limits is not None:
@@ -268,14 +251,34 @@ class LanguageModels:
         }
 
 
-def labelled_sample(docs: DataFrame, lang: str, per_language: int, key: Column) -> DataFrame:
-    """About ``per_language`` rows of each language at most, by a hash of ``key``: the bound of what is fitted on."""
+def shuffled(text: str) -> str:
+    """The characters of a text in an order that depends on it alone."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.random.default_rng(len(points)).permutation(points).tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def left_out(texts: list[str], alphabet: int) -> list[tuple[float, float]]:
+    """Cross-entropies of texts of one language, each by a model of the others, as they are and shuffled; a single text is taken as two halves."""
+    units = Units()
+    if len(texts) == 1:
+        half = len(texts[0]) // 2
+        texts = [texts[0][:half], texts[0][half:]]
+    texts = [t for t in texts if units([t])[2][0]]
+    keys = [units([t])[0] for t in texts]
+    out = []
+    for i, t in enumerate(texts if len(texts) > 1 else []):
+        model = KneserNey(*np.unique(np.concatenate(keys[:i] + keys[i + 1 :]), return_counts=True), alphabet)
+        out.append(tuple(float(-np.log(np.maximum(model.probability(ORDER, k), 1e-12)).mean()) for k in (keys[i], units([shuffled(t)])[0])))
+    return out
+
+
+def labelled_sample(docs: DataFrame, lang: str, per_language: int, key: Column, languages: int) -> DataFrame:
+    """About ``per_language`` rows of each of the ``languages`` most frequent labels at most, by a hash of ``key``: the bound of what is fitted on."""
     docs = docs.where(F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in docs.groupBy(lang).count().collect()}  # a row per language
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, F.lit(min(1.0, per_language / n))).otherwise(share)
-    return docs.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
+    counts = docs.groupBy(F.col(lang).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(languages)
+    share = counts.select("_lang", F.least(F.lit(1.0), F.lit(per_language) / F.col("count")).alias("_share"))
+    drawn = docs.join(F.broadcast(share), F.col(lang) == F.col("_lang"))  # as many rows as languages
+    return drawn.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).drop("_lang", "_share")
 
 
 def fit(
@@ -286,15 +289,18 @@ def fit(
     held_back: int = 100,
     strictness: float = 0.5,
     key: str = "doc_id",
+    languages: int = 500,
 ) -> LanguageModels:
     """Fit the models on about ``per_language`` documents of each language.
 
-    ``held_back`` further documents of each calibrate the rejection. Both bound
-    what reaches the driver: n-gram counts and calibration texts, whole. Of
-    languages with few of these, the fitted documents (as few) are sent as well.
-    A language whose only documents are held back has no model.
+    ``held_back`` further documents of each calibrate the rejection; of labels
+    only the ``languages`` most frequent are learned. These bound what is fitted
+    on. Texts stay in tasks: n-gram counts and two numbers a calibration text
+    reach the driver. Of languages with few of these, up to ``LEFT_OUT`` fitted
+    documents calibrate as well. A language whose only documents are held back
+    has no model.
     """
-    sample = labelled_sample(docs, lang, per_language + held_back, F.col(key)).select(
+    sample = labelled_sample(docs, lang, per_language + held_back, F.col(key), languages).select(
         F.col(lang).alias("lang"),
         F.col(text).alias("text"),
         (F.pmod(F.xxhash64(F.col(key), F.lit(23)), F.lit(1000)) < 1000 * held_back // (per_language + held_back)).alias("back"),
@@ -324,18 +330,34 @@ def fit(
         order = np.argsort(keys)
         counts[name] = (keys[order], rows["n"].to_numpy(np.int64)[order])
     models = LanguageModels.of_counts(counts)
-    back = sample.where("back and text is not null").select("lang", "text").toPandas()
     if not models.languages:
         return models
-    texts, names = back["text"].tolist(), back["lang"].tolist()
-    lettered = [x for x, k in zip(names, Units()(texts)[2], strict=True) if k]
-    few = [x for x in models.languages if lettered.count(x) < FEW]
-    fitted: dict[str, list[str]] = {}
+    sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the fitted sample
+    usable = sample.where(F.col("text").isNotNull() & F.col("lang").isin(models.languages))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, "text"):
+                names = block.column("lang").to_pylist()
+                plain, mixed, some = sent.value.measured(block.column("text").to_pylist(), names)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(plain), pa.array(mixed), pa.array(some)], names=["lang", "plain", "mixed", "some"])
+
+    measures = usable.where("back").select("lang", "text").mapInArrow(measure, "lang string, plain double, mixed double, some boolean").where("some").toPandas()
+    measures = measures.sort_values(["lang", "plain", "mixed"])
+    few = [x for x in models.languages if (measures["lang"] == x).sum() < FEW]
     if few:
-        own = sample.where(~F.col("back") & F.col("text").isNotNull() & F.col("lang").isin(few))
-        for r in own.select("lang", "text").orderBy(F.xxhash64("text"), "text").collect():
-            fitted.setdefault(r.lang, []).append(r.text)
-    return models.calibrated(texts, names, strictness, fitted)
+        alphabet = round(float(np.exp(-models.unseen)))
+
+        def by_the_others(rows: pd.DataFrame) -> pd.DataFrame:
+            found = np.array(left_out(rows.sort_values("text")["text"].tolist(), alphabet)).reshape(-1, 2)
+            return pd.DataFrame({"lang": [rows["lang"].iloc[0]] * len(found), "plain": found[:, 0], "mixed": found[:, 1]})
+
+        # At most LEFT_OUT texts a language.
+        turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+        own = usable.where(~F.col("back") & F.col("lang").isin(few)).select("lang", "text", turn.alias("turn")).where(F.col("turn") <= LEFT_OUT).drop("turn")
+        more = own.groupBy("lang").applyInPandas(by_the_others, "lang string, plain double, mixed double").toPandas()
+        measures = pd.concat([measures[["lang", "plain", "mixed"]], more])
+    return models.calibrated({name: (x["plain"].to_numpy(), x["mixed"].to_numpy()) for name, x in measures.groupby("lang")}, strictness)
 
 
 def identify(docs: DataFrame, models: LanguageModels, text: str = "text") -> DataFrame:

@@ -6,9 +6,11 @@ one physical stream. Reading verifies every page's checksum and sequence number,
 reassembles packets from lacing values (over pages if they continue), splits the
 logical streams by serial number and turns granule positions into timestamps.
 
-Defined cases: null reads as the empty text, whose payload is one frame of
-blanks; equal texts give equal streams, so repeated rows do; a stream with a
-bad checksum, a gap or an open packet is reported as damaged, never repaired.
+Defined cases: a null text is stored as the empty text, whose payload is one
+frame of blanks; equal texts give equal streams, so repeated rows do; a stream
+with a bad checksum, a gap or an open packet is reported as damaged in its row,
+never repaired, and never ends the job; null media are damaged too. Columns of
+the input other than the key do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -144,13 +146,15 @@ def of_text(text: str | None) -> bytes:
     return interleaved([samples, notes])
 
 
-def facts(media: bytes) -> dict[str, object]:
-    """What is read back from one media value; raises where it is damaged."""
-    streams, damaged = read(media)
+def facts(media: bytes | None) -> dict[str, object]:
+    """What is read back from one media value; of a damaged one only that it is, and its size and digest."""
+    streams, damaged = read(media or b"")
+    own = {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()} if media is not None else {}
     by_kind = {next((x for x in (SAMPLES, NOTES) if s.packets and s.packets[0].startswith(x)), b""): s for s in streams.values()}
     samples, notes = by_kind.get(SAMPLES), by_kind.get(NOTES)
-    if damaged or not samples or not notes or any(s.faults or s.open or not s.ended for s in streams.values()):
-        raise ValueError("damaged stream")
+    whole = samples and notes and len(samples.packets) > 1 and len(samples.packets[0]) == len(SAMPLES) + 4 and len(notes.packets) == 2 and len(notes.packets[1]) == 8
+    if damaged or not whole or samples.granules[-1] < 0 or any(s.faults or s.open or not s.ended for s in streams.values()):
+        return own | {"damaged": True}
     (rate,) = struct.unpack("<I", samples.packets[0][len(SAMPLES) :])
     payload = b"".join(samples.packets[1:])
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
@@ -166,14 +170,14 @@ def facts(media: bytes) -> dict[str, object]:
         "payload_bytes": len(payload),
         "payload_sha256": hashlib.sha256(payload).hexdigest(),
         "tail_crc32": zlib.crc32(payload[-16:]),
-        "media_bytes": len(media),
-        "media_sha256": hashlib.sha256(media).hexdigest(),
+        **own,
         "feature": feature,
         "seconds": last / rate,
+        "damaged": False,
     }
 
 
-FACTS = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, seconds double"
+FACTS = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, seconds double, damaged boolean"
 
 
 def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,31 +189,57 @@ def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return with_columns(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), "text", make, "media binary").drop("text")
 
 
-def packets(stored_media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A row per packet: key, serial, packet, granule, seconds (null inside a page) and data."""
+PACKETS = "serial bigint, packet bigint, granule bigint, seconds double, data binary, faults bigint, damaged boolean"
 
-    def run(batches):
-        for batch in batches:
-            for k, m in zip(batch.column(key).to_pylist(), batch.column("media"), strict=True):
-                streams, _ = read(m.as_py())
-                for serial, s in streams.items():
-                    g = [x if x >= 0 else None for x in s.granules]
-                    yield pa.RecordBatch.from_pydict({
-                        key: pa.array([k] * len(g), pa.int64()), "serial": pa.array([serial] * len(g), pa.int64()), "packet": pa.array(range(len(g)), pa.int64()),
-                        "granule": pa.array(g, pa.int64()), "seconds": pa.array([None if x is None else x / RATE for x in g], pa.float64()), "data": pa.array(s.packets, pa.binary()),
-                    })
 
-    return stored_media.select(key, "media").mapInArrow(run, f"{key} bigint, serial bigint, packet bigint, granule bigint, seconds double, data binary")
+def packets(stored_media: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row per packet: key, serial, packet, granule, seconds (null inside a page), data, faults and damaged.
 
+    ``faults`` counts the stream's gaps and misplaced pages (one more if its last
+    packet is open or its end is missing); ``damaged`` says that any page of the
+    value was damaged or any of its streams has faults: its packets are what
+    could be read. A value without any packet (null, empty, all pages damaged)
+    has one row, damaged, with nulls.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores the media of all texts, reads them back and returns their facts."""
+    kind = stored_media.schema[key].dataType
+    key_type = to_arrow_type(kind)
+
+    def run(batches):
+        for batch in batches:
+            for k, m in zip(batch.column(key), batch.column("media"), strict=True):
+                streams, lost = read(m.as_py() or b"")
+                faults = {serial: s.faults + bool(s.open or not s.ended) for serial, s in streams.items()}
+                bad = bool(lost or not streams or any(faults.values()))
+                rows = [
+                    (serial, i, g if g >= 0 else None, g / RATE if g >= 0 else None, data, faults[serial], bad)
+                    for serial, s in streams.items() for i, (g, data) in enumerate(zip(s.granules, s.packets, strict=True))
+                ]
+                rows = rows or [(None, None, None, None, None, sum(faults.values()), True)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.bool_())
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k.as_py()] * len(rows), key_type), *columns], names=[key, "serial", "packet", "granule", "seconds", "data", "faults", "damaged"]
+                )
+
+    return stored_media.select(key, "media").mapInArrow(run, f"`{key}` {kind.simpleString()}, {PACKETS}")
+
+
+def read_back(stored_media: DataFrame) -> DataFrame:
+    """The facts of media values beside the other columns; of damaged ones, that they are."""
+    names = [x.split()[0] for x in FACTS.split(", ")]
 
     def make():
         def run(block: pa.RecordBatch) -> dict[str, object]:
             found = [facts(m.as_py()) for m in block.column("media")]
-            return {name: [f[name] for f in found] for name in found[0]}
+            return {name: [f.get(name) for f in found] for name in names}
 
         return run
 
-    return with_columns(stored(media(docs, key, text)), "media", make, FACTS).drop("media")
+    return with_columns(stored_media, "media", make, FACTS).drop("media")
+
+
+def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stores the media of all texts, reads them back and returns their facts."""
+    return read_back(stored(media(docs, key, text)))

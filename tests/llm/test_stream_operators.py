@@ -56,10 +56,33 @@ def test_ogg_damage_is_seen():
     media = bytearray(ogg.of_text("hello" * 500))
     media[-3] ^= 1
     assert ogg.read(bytes(media))[1] > 0
-    with pytest.raises(ValueError):
-        ogg.facts(bytes(media))
-    with pytest.raises(ValueError):
-        ogg.facts(b"no stream")
+    for bad in (bytes(media), b"no stream", b"", None, ogg.of_text("hello")[:-40], b"".join(ogg.pages([ogg.SAMPLES + b"1234", b"x"], [0, 1], 1) + ogg.pages([ogg.NOTES], [0], 2))):
+        assert ogg.facts(bad)["damaged"] and "feature" not in ogg.facts(bad)
+
+
+def slow_feature(text):
+    """The feature from the text alone: 8-bit samples around zero, a page for the head and pages of at most 255 lacing values."""
+    data = text.encode().ljust(max(1, -(-len(text.encode()) // 192)) * 192)
+    x = [b - 128 for b in data]
+    sizes = [len(data[i : i + 3840]) for i in range(0, len(data), 3840)]
+    values, stamps, pages, done = 0, 0, 1, 0
+    for i, size in enumerate(sizes):  # a page is full at 255 values; a packet that ends on it may be its last one
+        before, values = values, values + size // 255 + 1
+        done = i + 1
+    pages += -(-values // 255)
+    ends, at = [], 0
+    for size in sizes:
+        at += size // 255 + 1
+        ends.append(-(-at // 255))
+    stamps = len(set(ends))
+    turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+    return f"samples={len(data)} seconds={len(data) / 8000:.6f} stamps={stamps} packets={len(sizes)} pages={pages} sum={sum(x)} power={sum(v * v for v in x)} turns={turns}"
+
+
+@pytest.mark.parametrize("size", [0, 1, 192, 3841, 62_000, 61_440, 70_000, 250_000])
+def test_ogg_features_equal_brute_force(size):
+    text = "".join(random.Random(size).choice("ab cé\n") for _ in range(size))
+    assert ogg.facts(ogg.of_text(text))["feature"] == slow_feature(text)
 
 
 def test_ogg_tables(spark):
@@ -69,7 +92,26 @@ def test_ogg_tables(spark):
     assert len(got) == 4 and by[1].n_bytes == 0 and by[1].payload_sha256 == by[2].payload_sha256 and by[3].n_bytes == 1998
     assert ogg.features(docs.limit(0)).count() == 0
     rows = ogg.packets(ogg.media(docs)).where("doc_id = 1 and serial = 1").orderBy("packet").collect()
-    assert [r.granule for r in rows] == [0, 192] and rows[1].seconds == 192 / 8000
+    assert [r.granule for r in rows] == [0, 192] and rows[1].seconds == 192 / 8000 and not any(r.damaged or r.faults for r in rows)
+
+
+def test_ogg_tables_with_damage(spark):
+    good = ogg.of_text("x" * 9000)
+    second = [i for i in range(len(good)) if good.startswith(b"OggS", i)][2]  # the first page of samples
+    broken = good[: second + 60] + bytes([good[second + 60] ^ 1]) + good[second + 61 :]
+    rows = [("good", good), ("broken", broken), ("null", None), ("none", b""), ("cut", good[:-50])]
+    df = spark.createDataFrame(rows, "name string, media binary")
+    facts = {r.name: r for r in ogg.read_back(df).collect()}
+    assert not facts["good"].damaged and facts["good"].n_bytes == 9000
+    assert all(facts[x].damaged and facts[x].feature is None for x in ("broken", "null", "none", "cut"))
+    assert facts["null"].media_bytes is None and facts["none"].media_bytes == 0
+    got = {}
+    for r in ogg.packets(df, "name").collect():
+        got.setdefault(r.name, []).append(r)
+    assert all(not r.damaged for r in got["good"]) and len(got["good"]) == 6
+    assert got["broken"] and all(r.damaged for r in got["broken"]) and any(r.faults for r in got["broken"])
+    assert all(len(got[x]) == 1 and got[x][0].damaged and got[x][0].data is None for x in ("null", "none"))
+    assert all(r.damaged for r in got["cut"])
 
 
 def brute_branches(nodes, top):

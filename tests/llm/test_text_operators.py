@@ -1,6 +1,7 @@
 """Language, quality, tokens, packing, licences: against brute force and in the corner cases."""
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -279,3 +280,82 @@ def test_licence_pruning_loses_nothing():
         own = licences.bigrams(base)
         brute = [(n, 2 * len(own & licences.bigrams(licences.normalised(t))) / (len(own) + len(licences.bigrams(licences.normalised(t))))) for n, t in sorted(licences.TEMPLATES.items())]
         assert scanner.matches(text) == [(n, s) for n, s in brute if s >= 0.6]
+
+
+class PlainKneserNey:
+    """Interpolated Kneser-Ney by dictionaries and the textbook's sums, for one language."""
+
+    def __init__(self, texts, alphabet, order=4):
+        self.alphabet, self.order, self.counts = alphabet, order, {}
+        grams = {}
+        for t in texts:
+            units = self.units(t)
+            for i in range(len(units)):
+                g = tuple(([" "] * order + units)[i + 1 : i + 1 + order])
+                grams[g] = grams.get(g, 0) + 1
+        self.counts[order] = grams
+        for n in range(order - 1, 0, -1):
+            kinds = {}
+            for g in self.counts[n + 1]:
+                kinds[g[1:]] = kinds.get(g[1:], 0) + 1
+            self.counts[n] = kinds
+
+    @staticmethod
+    def units(text):
+        out = []
+        for c in text or "":
+            c = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+            if c != " " or (out and out[-1] != " "):
+                out.append(c)
+        return out
+
+    def p(self, n, gram):
+        if n == 0:
+            return 1 / self.alphabet
+        counts = self.counts[n]
+        n1, n2 = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        after = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        if not after:
+            return self.p(n - 1, gram[1:])
+        total = sum(after.values())
+        return max(after.get(gram, 0) - d, 0) / total + d * len(after) / total * self.p(n - 1, gram[1:])
+
+    def entropy(self, text):
+        units = self.units(text)
+        padded = [" "] * self.order + units
+        return sum(-math.log(self.p(self.order, tuple(padded[i + 1 : i + 1 + self.order]))) for i in range(len(units))) / len(units)
+
+
+def test_language_id_equals_brute_force(spark):
+    """Cross-entropies, predictions and scores of a fitted table against dictionaries; ties go to the language that sorts first."""
+    rng = np.random.default_rng(12)
+    parts = {"aa": ["ka", "lo", "Mi"], "bb": ["sch", "üng", "e-i"], "cc": ["ka", "üng", "Mi "]}
+    some = lambda lang, n: " ".join("".join(rng.choice(parts[lang], 2)) for _ in range(n))
+    rows = [(i, some(["aa", "bb", "cc"][i % 3], 12), ["aa", "bb", "cc"][i % 3], "x") for i in range(36)]
+    docs = documents(spark, rows)
+    models = language_id.fit(docs, per_language=10_000, held_back=1)  # a share of held-back rows below a thousandth is none
+    alphabet = len({u for _, t, _, _ in rows for u in PlainKneserNey.units(t)}) + 1
+    plain = {lang: PlainKneserNey([t for _, t, x, _ in rows if x == lang], alphabet) for lang in parts}
+    probes = [some(x, 5) for x in parts for _ in range(3)] + ["Kaüng mi", "zzz", "lo", "KA lo, MI!", "é", "ka\n\nka"]
+    got = language_id.identify(documents(spark, [(i, t, None, "x") for i, t in enumerate(probes)]), models).orderBy("doc_id").collect()
+    for r in got:
+        h = {lang: m.entropy(r.text) for lang, m in plain.items()}
+        best = min(sorted(h), key=lambda x: round(h[x], 6))
+        n = min(len(PlainKneserNey.units(r.text)), language_id.CERTAIN)
+        assert r.lang_pred == best and r.cross_entropy == pytest.approx(h[best], rel=1e-5)
+        assert r.score == pytest.approx(1 / sum(math.exp(-(x - h[best]) * n) for x in h.values()), rel=1e-3)
+
+
+def test_language_ties_go_to_the_first(spark):
+    rows = [(i, "same words here and there", None, "x") for i in range(4)]
+    same = np.unique(language_id.Units()([rows[0][1]])[0], return_counts=True)
+    models = language_id.LanguageModels.of_counts({"bb": same, "aa": same})
+    got = language_id.identify(documents(spark, rows), models).collect()
+    assert {r.lang_pred for r in got} == {"aa"} and len({r.score for r in got}) == 1 and got[0].score == pytest.approx(0.5)
+
+
+def test_languages_learned_are_bounded(spark, languages):
+    dirty = [(5000 + i, "one text of its own label", f"label{i}", "x") for i in range(30)]
+    models = language_id.fit(documents(spark, languages + dirty), languages=3)
+    assert models.languages == ["aa", "bb", "cc"]
