@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ NUMERIC_DATE = r"\b(19|20)\d{2}-\d{2}-\d{2}\b"
 _NUMBER = r"([\d,]+(?:\.\d+)?)"
 BAR_HEADER = rf"(?i)O\s?{_NUMBER}\s+H\s?{_NUMBER}\s+L\s?{_NUMBER}\s+C\s?{_NUMBER}"
 #: Lines and tokens of a chart's axes.
-AXIS_PRICE = r"^(\$?\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d+(?:\.\d+)?)$"
+AXIS_PRICE = r"^\$?\d{1,3}(?:,\d{3})*(?:\.\d+)?$|^\d+(?:\.\d+)?$"
 AXIS_TIME = r"(?i)^\d{1,2}:\d{2}(?::\d{2})?(?:\s*[AP]M)?$"
 AXIS_DATE = r"(?i)^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|Mon|Tue|Tues|Wed|Thu|Thur|Thurs|Fri|Sat|Sun|'\d{2})$"
 AXIS_RUN, AXIS_INLINE = 4, 7
@@ -26,9 +28,9 @@ def literal(text: str) -> str:
     return "".join("\\" + c if c in SPECIAL and c != " " else c for c in text)
 
 
-def alias_pattern(alias: str) -> str:
-    """The alias where no letter or digit touches it, in any case."""
-    return f"(?i)(?<![a-z0-9]){literal(alias)}(?![a-z0-9])"
+def alias_pattern(aliases: Sequence[str], any_case: bool = True) -> str:
+    """One of the aliases where no letter or digit touches it, in any case."""
+    return f"{'(?i)' if any_case else ''}(?<![a-z0-9])(?:{'|'.join(map(literal, aliases))})(?![a-z0-9])"
 
 
 def token_pattern(token: str) -> str:
@@ -40,7 +42,11 @@ def slug(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(col(text)), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
-def cleaned_title(stem: Column | str, noise: str = r"(?i)(\bconcepts\b|\b\d{3,4}p\b|\b(?:full ?hd|hd|4k)\b)") -> Column:
+#: Words of a file's name that say nothing of its content.
+TITLE_NOISE = r"(?i)(\bconcepts\b|\b\d{3,4}p\b|\b(?:full ?hd|hd|4k)\b)"
+
+
+def cleaned_title(stem: Column | str, noise: str = TITLE_NOISE) -> Column:
     """A file's stem as a title: separators to spaces, boilerplate out."""
     spaced = F.translate(col(stem), "_-", "  ")
     return F.trim(F.regexp_replace(F.regexp_replace(spaced, noise, " "), r"\s+", " "))
@@ -84,6 +90,34 @@ def bar_header(text: Column | str, leg: int) -> Column:
     return F.regexp_extract(col(text), BAR_HEADER, leg)
 
 
+def has_instrument(name: Column | str) -> Column:
+    """Is an instrument named (anything but blanks)?"""
+    return F.coalesce(F.trim(col(name)) != "", F.lit(False))
+
+
+def first_line(text: Column | str) -> Column:
+    """The first line that is not blank, trimmed; null without one."""
+    return F.try_element_at(F.filter(F.transform(F.split(col(text), "\n", -1), lambda x: F.trim(x, F.lit(" \t\r\f\v"))), lambda x: x != ""), F.lit(1))
+
+
+def title_shaped(line: Column | str) -> Column:
+    """Looks like a heading: all cased letters are upper, or every word begins with an upper or title letter and goes on in lower ones."""
+    x, cased = col(line), r"\p{Lu}\p{Lt}\p{Ll}"
+    upper = x.rlike(r"\p{Lu}") & ~x.rlike(r"[\p{Ll}\p{Lt}]")
+    title = x.rlike(r"[\p{Lu}\p{Lt}]") & ~x.rlike(rf"[{cased}][\p{{Lu}}\p{{Lt}}]") & ~x.rlike(rf"(^|[^{cased}])\p{{Ll}}")
+    return upper | title
+
+
+def unreadable_lines(text: Column | str, mark: str = "[unreadable]") -> Column:
+    """How many lines hold the mark of what could not be read."""
+    return F.size(F.filter(F.split(F.lower(col(text)), "\n", -1), lambda x: F.contains(x, F.lit(mark))))
+
+
+def group_of(identity: Column | str) -> Column:
+    """The leading component of an identity: its group."""
+    return F.substring_index(col(identity), "_", 1)
+
+
 def inline_axis(line: Column | str) -> Column:
     """Is a single line a whole axis run together: seven tokens or more, all of them furniture?"""
     tokens = F.filter(F.split(col(line), r"\s+"), lambda t: t != "")

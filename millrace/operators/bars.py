@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import scans
+
 #: Width and offset of each timeframe; weeks begin on Monday.
 TIMEFRAMES = {"1m": ("1 minute", None), "5m": ("5 minutes", None), "15m": ("15 minutes", None), "60m": ("1 hour", None), "1h": ("1 hour", None), "D": ("1 day", None), "W": ("7 days", "4 days")}
 
@@ -36,11 +38,11 @@ def bars(trades: DataFrame, timeframe: str, by: Sequence[str] = (), ts: str = "t
 
 
 def multi_timeframe(trades: DataFrame, timeframes: Sequence[str], **columns: str) -> DataFrame:
-    """tf, bar_ts and the bar of every timeframe; finer ones are not re-read for coarser ones."""
-    out = None
-    for tf in timeframes:
-        one = bars(trades, tf, **columns).select(F.lit(tf).alias("tf"), "*")
-        out = one if out is None else out.unionByName(one)
+    """tf, bar_ts and the bar of every timeframe, the finest first: the trades are read once, coarser bars are made from the finest."""
+    fine = bars(trades, timeframes[0], **columns)
+    out = fine.select(F.lit(timeframes[0]).alias("tf"), "*")
+    for tf in timeframes[1:]:
+        out = out.unionByName(rolled_up(fine, tf, columns.get("by", ())).select(F.lit(tf).alias("tf"), "*"))
     return out
 
 
@@ -133,9 +135,8 @@ def moving_sums(frame: DataFrame, by: Sequence[str], key: str, value: str, width
 
 def trade_statistics(trades: DataFrame, by: Sequence[str], r: str, order: Sequence[str]) -> DataFrame:
     """n, wins, total R and the deepest fall of running R below its highest value so far (start included)."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = trades.withColumn("_run", F.sum(r).over(w))
-    run = run.withColumn("_peak", F.greatest(F.max("_run").over(w), F.lit(0).cast(run.schema["_run"].dataType)))
+    run = scans.running(scans.running(trades, by, order, r, "_run"), by, order, "_run", "_peak", "max")
+    run = run.withColumn("_peak", F.greatest("_peak", F.lit(0).cast(run.schema["_run"].dataType)))
     return run.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(F.col(r) > 0).alias("wins"), F.sum(r).alias("total_r"), F.max(F.col("_peak") - F.col("_run")).alias("max_drawdown")
     )

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators import scans
+
 Step = Callable[[Any, tuple], tuple[Any, tuple]]
 
 
@@ -55,9 +57,9 @@ def folded(frame: DataFrame, by: Sequence[str], order: Sequence[str], columns: S
 
 def cut_at_gaps(frame: DataFrame, by: Sequence[str], order: Sequence[str], position: str, gap: float, name: str = "segment") -> DataFrame:
     """Numbers the stretches of each group between which the position jumps by ``gap`` or more."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    jump = F.when(F.col(position) - F.lag(position).over(w) >= gap, 1).otherwise(0)
-    return frame.withColumn("_jump", jump).withColumn(name, F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_jump")
+    before = scans.previous(frame, by, order, {position: "_before"})
+    jump = F.when(F.col(position) - F.col("_before") >= gap, 1).otherwise(0)
+    return scans.running(before, by, order, jump, name).drop("_before")
 
 
 def anchored_runs(frame: DataFrame, by: Sequence[str], order: Sequence[str], value: str, limit: float) -> DataFrame:
@@ -196,8 +198,7 @@ def medoids(members: DataFrame, by: Sequence[str], position: str, dhash: str, ca
     """
     rows = members
     if cap is not None:
-        w = Window.partitionBy(*by)
-        rows = rows.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(position)) - 1)
+        rows = scans.numbered(members, by, [position])
         step = lambda k: F.bround(k * (F.col("_n") - 1) / F.lit(cap - 1))
         nearest = F.bround(F.col("_i") * F.lit(cap - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
         picked = (F.col("_n") <= cap) | F.array_contains(F.array(step(nearest - 1), step(nearest), step(nearest + 1)), F.col("_i").cast("double"))

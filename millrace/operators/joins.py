@@ -12,6 +12,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import alias_pattern
+
 
 def k_of_n(left: DataFrame, right: DataFrame, legs: Sequence[str], k: int, left_key: str, right_key: str, by: Sequence[str] = ()) -> DataFrame:
     """Pairs that agree in at least ``k`` of the legs: left_key, right_key, ``by``, n_agree, agreeing.
@@ -122,12 +124,6 @@ def unique_labels(rows: DataFrame, by: Sequence[str], label: str, value: str) ->
     return found.where(F.col("_n") == 1).where(F.col(value).isNotNull()).drop("_n")
 
 
-def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """side (left_only, right_only), key: keys that only one side has."""
-    a, b = left.select(key).distinct(), right.select(key).distinct()
-    return a.join(b, key, "left_anti").select(F.lit("left_only").alias("side"), key).unionByName(b.join(a, key, "left_anti").select(F.lit("right_only").alias("side"), key))
-
-
 def nearest_leg(prices: DataFrame, bars: DataFrame, key: str, price: str, tick: float, by: Sequence[str] = (), bin_width: float | None = None) -> DataFrame:
     """Each price with the nearest leg of all bars: field, bar_ts, leg_price and delta (ticks, rounded to cents first).
 
@@ -148,6 +144,16 @@ def nearest_leg(prices: DataFrame, bars: DataFrame, key: str, price: str, tick:
     return out.select(*by, key, price, F.get(names, F.col("m.ord")).alias("field"), F.col("m.bar_ts").alias("bar_ts"), F.col("m.leg_price").alias("leg_price"), F.col("m.delta").alias("delta"))
 
 
-def alias_hits(texts: DataFrame, text: str, patterns: dict[str, Sequence[str]], pattern_of) -> list[tuple[str, Column]]:
-    """(name, does any alias occur?) for each name, as conditions on the text: one pass, no join."""
-    return [(name, F.greatest(*[F.col(text).rlike(pattern_of(a)) for a in aliases]) if len(aliases) > 1 else F.col(text).rlike(pattern_of(aliases[0]))) for name, aliases in patterns.items()]
+def alias_hits(low: str, aliases: dict[str, Sequence[str]]) -> dict[str, Column]:
+    """Name to a condition: does any of its aliases stand in the lower-case column ``low``, untouched by letters or digits?
+
+    One pass, no join. The pattern, one for all aliases of a name, is tried only
+    where a plain search finds an alias at all.
+    """
+    low, out = F.col(low), {}
+    for name, some in aliases.items():
+        held = F.lit(False)
+        for a in some:
+            held |= F.contains(low, F.lit(a.lower()))
+        out[name] = held & low.rlike(alias_pattern([a.lower() for a in some], any_case=False))
+    return out

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.scans import numbered
+
 
 def allocation(sizes: DataFrame, name: str, size: str, n: int, floor: int) -> DataFrame:
     """name, size, quota: ``floor`` for each class (or all it has), then the rest by largest remainder; ties by name.
@@ -34,12 +36,6 @@ def allocation(sizes: DataFrame, name: str, size: str, n: int, floor: int) -> Da
     return taken.groupBy(name, "size").agg((F.max("_first") + F.sum("_one")).cast("bigint").alias("quota"))
 
 
-def numbered(frame: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Adds _i (from 0) and _n within each group."""
-    w = Window.partitionBy(*by)
-    return frame.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-
-
 def stride_sample(frame: DataFrame, by: Sequence[str], order: Sequence[str], k: int | str) -> DataFrame:
     """k rows of each group, evenly spread over its order (half-even places); all of a group with k rows or fewer.
 
@@ -60,19 +56,22 @@ def even_pick(frame: DataFrame, by: Sequence[str], order: Sequence[str], n: int)
     return rows.where(F.array_contains(places, F.col("_i").cast("bigint"))).drop("_i", "_n")
 
 
-def evenly_spaced(frame: DataFrame, by: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
-    """At most ``cap`` rows of each group at rounded, evenly spaced places."""
-    return stride_sample(frame, by, order, cap)
-
-
 def quota_sample(frame: DataFrame, by: Sequence[str], key: str, n: int, seed: str = "0") -> DataFrame:
     """n rows in all, shared evenly over groups (the first groups get one more), drawn by the digest of seed and key.
 
-    Only digests are ranked; groups with fewer rows than their share give all.
+    Only digests are ranked, in bins of their first characters; groups with fewer
+    rows than their share give all. Groups are few: they are numbered in one window.
     """
     groups = frame.select(*by).distinct()
     w = Window.orderBy(*by)
     quotas = groups.withColumn("_g", F.row_number().over(w)).withColumn("_all", F.count("*").over(Window.partitionBy()))
     quotas = quotas.withColumn("quota", F.expr(f"{n} div _all + if(_g <= {n} % _all, 1, 0)")).drop("_g", "_all")
-    order = Window.partitionBy(*by).orderBy(F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string"))), key)
-    return frame.withColumn("_turn", F.row_number().over(order)).join(quotas, list(by)).where("_turn <= quota").drop("_turn", "quota")
+    drawn = frame.withColumn("_draw", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string"))))
+    return numbered(drawn, by, ["_draw", key]).join(quotas, list(by)).where("_i < quota").drop("_draw", "_i", "_n", "quota")
+
+
+def preferred(frame: DataFrame, by: Sequence[str], prefer: Column) -> DataFrame:
+    """The rows of each group that ``prefer`` holds for; all of a group that has none."""
+    marked = frame.withColumn("_p", F.coalesce(prefer, F.lit(False)))
+    has = marked.where("_p").select(*by).distinct().withColumn("_has", F.lit(True))
+    return marked.join(has, list(by), "left").where("_p or _has is null").drop("_p", "_has").select(frame.columns)

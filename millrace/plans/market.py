@@ -26,11 +26,7 @@ def bars_1h(spark, sf_dir):
 
 @query("\nUNION ALL ".join(f"SELECT '{tf}' AS tf, * FROM {bars_sql(w)}" for tf, w in (("15m", "15 minutes"), ("1h", "1 hour"), ("D", "1 day"), ("W", "7 days"))))
 def bars_multi_tf(spark, sf_dir):
-    fine = B.bars(trades(spark, sf_dir), "15m")  # coarser ones are made from these
-    out = fine.select(F.lit("15m").alias("tf"), "*")
-    for tf in ("1h", "D", "W"):
-        out = out.unionByName(B.rolled_up(fine, tf).select(F.lit(tf).alias("tf"), "*"))
-    return out
+    return B.multi_timeframe(trades(spark, sf_dir), ("15m", "1h", "D", "W"))
 
 
 @query(f"SELECT * FROM {bars_sql('1 hour', 'symbol')}")

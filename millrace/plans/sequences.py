@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import prices as P
 from millrace.functions import text as X
-from millrace.operators import folds, incremental, joins, quality, sampling, stats
+from millrace.operators import folds, incremental, joins, quality, sampling, scans, stats
 from millrace.plans.registry import query
 from millrace.sources.readers import table
 
@@ -248,8 +248,7 @@ SELECT vec_id, len(list_filter(list_zip(e, p), lambda z: abs(z[1]::DOUBLE - z[2]
   len(list_filter(list_zip(e, p), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE) > 0.1)) / 64.0::DOUBLE AS share FROM o WHERE p IS NOT NULL
 """)
 def cell_diff(spark, sf_dir):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    rows = table(spark, sf_dir, "embeddings").withColumn("p", F.lag("embedding").over(w)).where("p is not null")
+    rows = scans.previous(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), ["label"], ["vec_id"], {"embedding": "p"}).where("p is not null")
     return rows.select("vec_id", X.changed_cells("embedding", "p", 0.1).alias("n_changed"), X.changed_share("embedding", "p", 0.1).alias("share"))
 
 
@@ -264,13 +263,25 @@ def sequence_checks(spark, sf_dir):
     return quality.sequence_report(rows, ["conv_id"], "turn", "ts", "5 minutes")
 
 
-@query("""
-WITH m AS (SELECT conv_id, trim(left(text, 2)) AS t, lag(trim(left(text, 2))) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)
-SELECT conv_id, count(*) AS n, count(*) FILTER (t = b AND t <> '') AS n_repeats, count(*) > 3 AND count(*) FILTER (t = b AND t <> '') > count(*) * 0.35::DOUBLE AS looping FROM m GROUP BY conv_id
+#: Conversations as transcripts, some with a loop of thirty turns that say the same (every tenth: the same blanks).
+_LOOPED_SQL = """(SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT conv_id, 1000 + k, role, CASE WHEN conv_id % 10 = 5 THEN '  ' ELSE text || ' ' END FROM conversations, (SELECT unnest(range(1, 31)) AS k) WHERE turn = 0 AND conv_id % 5 = 0)"""
+_STRIPPED_SQL = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def _looped(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.when(F.col("conv_id") % 10 == 5, "  ").otherwise(F.concat("text", F.lit(" ")))
+    turns = F.explode(F.sequence(F.lit(1001).cast("bigint"), F.lit(1030).cast("bigint")))
+    return rows.unionByName(rows.where("turn = 0 and conv_id % 5 = 0").select("conv_id", turns.alias("turn"), "role", said.alias("text")))
+
+
+@query(f"""
+WITH m AS (SELECT conv_id, t, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM (SELECT conv_id, turn, {_STRIPPED_SQL} AS t FROM {_LOOPED_SQL}))
+SELECT conv_id, count(*) AS n, count(*) FILTER (t = b AND t <> '') AS n_repeats, count(*) > 20 AND count(*) FILTER (t = b AND t <> '') > count(*) * 0.35::DOUBLE AS looping FROM m GROUP BY conv_id
 """)
 def repeat_ratio(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.left("text", F.lit(2)).alias("text"))
-    return quality.repeat_ratio(rows, ["conv_id"], ["turn"], "text", more_than=3)
+    return quality.repeat_ratio(_looped(spark, sf_dir), ["conv_id"], ["turn"], "text")
 
 
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
@@ -356,25 +367,39 @@ def progress_rate(spark, sf_dir):
     return incremental.progress(table(spark, sf_dir, "events"), F.date_format("ts", "yyyy-MM-dd"), F.col("event_type") != "error", 10000)
 
 
-@query("""
-WITH t AS (SELECT conv_id, turn, role, text, trim(left(text, 2)) = lag(trim(left(text, 2))) OVER (PARTITION BY conv_id ORDER BY turn) AS same FROM conversations),
-v AS (SELECT conv_id, count(*) AS n, max(turn) + 1 AS reached, count(*) FILTER (role = 'assistant') AS answers, min(length(text)) AS shortest, count(*) FILTER (same) AS repeats FROM t GROUP BY 1)
-SELECT conv_id, concat_ws(',', CASE WHEN n <> reached THEN 'gaps' END, CASE WHEN n < 3 THEN 'too_few' END, CASE WHEN shortest < 20 THEN 'tiny' END, CASE WHEN repeats * 100 > n * 35 THEN 'loop' END, CASE WHEN answers = 0 THEN 'unanswered' END) AS issues,
-  concat_ws(',', CASE WHEN n < 3 OR answers = 0 THEN 'keyframes' END, CASE WHEN n <> reached OR shortest < 20 OR repeats * 100 > n * 35 THEN 'transcribe' END) AS redo FROM v
+@query(f"""
+WITH s AS (SELECT conv_id, turn AS i, role, text, turn * 10 - CASE WHEN (conv_id + turn) % 23 = 0 THEN 12 ELSE 0 END AS start, turn * 10 + 8 AS "end" FROM {_LOOPED_SQL}),
+v AS (SELECT conv_id, CASE WHEN conv_id % 8 = 0 THEN ['keyframes'] ELSE [] END AS undone, (max(i) + 1) * CASE WHEN conv_id % 6 = 0 THEN 15 ELSE 10 END AS duration FROM s GROUP BY 1),
+l AS (SELECT conv_id, start, "end", {_STRIPPED_SQL} AS t, lag(start) OVER w AS before, lag({_STRIPPED_SQL}) OVER w AS same FROM s WHERE conv_id % 17 <> 0 WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+f AS (SELECT conv_id, count(*) AS n_segments, count(*) FILTER (start < before - 0.5) AS n_back, max("end") AS last_end, count(*) FILTER (t = same AND t <> '') AS n_repeats FROM l GROUP BY 1),
+o AS (SELECT conv_id, count(*) AS n_moments, count(*) FILTER (start - conv_id % 30 < 0) AS n_outside FROM s WHERE role = 'user' GROUP BY 1),
+k AS (SELECT conv_id, count(*) AS n_frames, count(*) - CASE WHEN conv_id % 7 = 0 THEN 1 ELSE 0 END AS n_files, count(*) FILTER (length(text) < 20) AS n_tiny,
+  count(*) FILTER (start < before) AS n_unsorted FROM (SELECT *, lag(start) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM s WHERE role = 'assistant') GROUP BY conv_id),
+z AS (SELECT conv_id, undone, duration, coalesce(n_segments, 0) AS n_segments, coalesce(n_back, 0) AS n_back, coalesce(last_end, 0) AS last_end, coalesce(n_repeats, 0) AS n_repeats, coalesce(n_moments, 0) AS n_moments,
+  coalesce(n_outside, 0) AS n_outside, coalesce(n_frames, 0) AS n_frames, coalesce(n_files, 0) AS n_files, coalesce(n_tiny, 0) AS n_tiny, coalesce(n_unsorted, 0) AS n_unsorted
+  FROM v LEFT JOIN f USING (conv_id) LEFT JOIN o USING (conv_id) LEFT JOIN k USING (conv_id)),
+g AS (SELECT *, n_segments > 0 AND last_end < duration * 0.85 AS uncovered, n_segments > 20 AND n_repeats > n_segments * 0.35::DOUBLE AS loop FROM z)
+SELECT conv_id, concat_ws(',', CASE WHEN len(undone) > 0 THEN 'undone' END, CASE WHEN n_segments = 0 THEN 'no_transcript' END, CASE WHEN n_back > 0 THEN 'back' END, CASE WHEN uncovered THEN 'uncovered' END,
+  CASE WHEN loop THEN 'loop' END, CASE WHEN n_outside > 0 THEN 'outside' END, CASE WHEN n_moments = 0 THEN 'silent' END, CASE WHEN n_frames = 0 THEN 'no_frames' END, CASE WHEN n_frames BETWEEN 1 AND 2 THEN 'few_frames' END,
+  CASE WHEN n_frames <> n_files THEN 'files_differ' END, CASE WHEN n_tiny > 0 THEN 'tiny_files' END, CASE WHEN n_unsorted > 0 THEN 'unsorted' END) AS issues,
+  concat_ws(',', CASE WHEN n_frames < 3 OR n_frames <> n_files OR n_tiny > 0 OR n_unsorted > 0 OR len(undone) > 0 THEN 'keyframes' END, CASE WHEN n_outside > 0 THEN 'moments' END,
+    CASE WHEN n_segments = 0 OR n_back > 0 OR uncovered OR loop THEN 'transcribe' END) AS redo FROM g
 """)
 def video_qa_redo(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    head = F.trim(F.left("text", F.lit(2)))
-    rows = table(spark, sf_dir, "conversations").withColumn("same", head == F.lag(head).over(w))
-    v = rows.groupBy("conv_id").agg(
-        F.count("*").alias("n"), (F.max("turn") + 1).alias("reached"), F.count_if(F.col("role") == "assistant").alias("answers"),
-        F.min(F.char_length("text")).alias("shortest"), F.count_if("same").alias("repeats"),
+    late = F.when((F.col("conv_id") + F.col("turn")) % 23 == 0, 12).otherwise(0)
+    rows = _looped(spark, sf_dir).select("conv_id", F.col("turn").alias("i"), "role", "text", (F.col("turn") * 10 - late).alias("start"), (F.col("turn") * 10 + 8).alias("end"))
+    undone = F.when(F.col("conv_id") % 8 == 0, F.array(F.lit("keyframes"))).otherwise(F.array().cast("array<string>"))
+    videos = rows.groupBy("conv_id").agg(((F.max("i") + 1) * F.when(F.col("conv_id") % 6 == 0, 15).otherwise(10)).alias("duration")).withColumn("undone", undone)
+    said = quality.transcript_facts(rows.where("conv_id % 17 <> 0"), ["conv_id"], "start", "end", "text")
+    moments = rows.where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("n_moments"), F.count_if(F.col("start") - F.col("conv_id") % 30 < 0).alias("n_outside"))
+    w = Window.partitionBy("conv_id").orderBy("i")
+    frames = rows.where("role = 'assistant'").withColumn("before", F.lag("start").over(w)).groupBy("conv_id").agg(
+        F.count("*").alias("n_frames"), (F.count("*") - F.when(F.col("conv_id") % 7 == 0, 1).otherwise(0)).alias("n_files"),
+        F.count_if(F.char_length("text") < 20).alias("n_tiny"), F.count_if(F.col("start") < F.col("before")).alias("n_unsorted"),
     )
-    gaps, few, tiny = F.col("n") != F.col("reached"), F.col("n") < 3, F.col("shortest") < 20
-    loop, silent = F.col("repeats") * 100 > F.col("n") * 35, F.col("answers") == 0
-    issues = quality.named_where({"gaps": gaps, "too_few": few, "tiny": tiny, "loop": loop, "unanswered": silent})
-    redo = quality.named_where({"keyframes": few | silent, "transcribe": gaps | tiny | loop})
-    return v.select("conv_id", F.array_join(issues, ",").alias("issues"), F.array_join(redo, ",").alias("redo"))
+    facts = videos.join(said, "conv_id", "left").join(moments, "conv_id", "left").join(frames, "conv_id", "left")
+    found = quality.recording_gates(facts)
+    return found.select("conv_id", F.array_join("issues", ",").alias("issues"), F.array_join("redo", ",").alias("redo"))
 
 
 @query("SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user, sum(length(text))::BIGINT AS n_chars, arg_min(left(text, 40), turn) AS title FROM conversations GROUP BY 1")

@@ -88,24 +88,47 @@ def _alias_sql(alias):
 _DATED_SQL = r"(regexp_matches(lower(text), '\b(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|jun(e)?|jul(y)?|aug(ust)?|sep(tember)?|oct(ober)?|nov(ember)?|dec(ember)?)\b[^\n]{0,18}\b(19|20)\d\d\b') OR regexp_matches(text, '\b(19|20)\d\d-\d\d-\d\d\b'))"
 
 
+#: Documents as records: some with a bar header printed below their text, an instrument for those of even length, the text of some also as narration.
+_RECORDS_SQL = """(SELECT doc_id, source, lang = 'en' AS chart, CASE WHEN doc_id % 3 = 0 THEN text || ' O1.5 H2 L1 C1.25' ELSE text END AS text, CASE WHEN n_chars % 2 = 0 THEN source ELSE '' END AS instrument,
+  CASE WHEN doc_id % 4 = 0 THEN text ELSE '' END AS narration FROM documents)"""
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    printed = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" O1.5 H2 L1 C1.25"))).otherwise(F.col("text"))
+    return documents(spark, sf_dir).select(
+        "doc_id", "source", (F.col("lang") == "en").alias("chart"), printed.alias("text"), F.when(F.col("n_chars") % 2 == 0, F.col("source")).otherwise("").alias("instrument"),
+        F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise("").alias("narration"),
+    )
+
+
+def _hit_sql(aliases, column="text"):
+    return "(" + " OR ".join(_alias_sql(a).replace("lower(text)", f"lower({column})") for a in aliases) + ")"
+
+
 @query(
     "\nUNION ALL ".join(
-        f"""SELECT '{name}' AS concept, count(*) FILTER (hit AND lang = 'en') AS printed_chart, count(*) FILTER (hit AND lang <> 'en') AS printed_slide, count(DISTINCT CASE WHEN hit THEN text END) AS n_distinct,
-  count(*) FILTER (hit AND dated) AS dated, min(doc_id) FILTER (hit) AS first_doc FROM (SELECT doc_id, lang, text, {' OR '.join(map(_alias_sql, aliases))} AS hit, {_DATED_SQL} AS dated FROM documents)"""
+        f"""SELECT '{name}' AS concept, count(*) FILTER (hit AND chart) AS printed_chart, count(*) FILTER (hit AND NOT chart) AS printed_slide, count(DISTINCT CASE WHEN hit AND chart THEN source || text END) AS n_distinct,
+  count(*) FILTER (hit AND dated) AS dated, count(*) FILTER (hit AND dated AND ohlc) AS via_ohlc, count(*) FILTER (hit AND dated AND NOT ohlc) AS via_title, count(*) FILTER (said) AS narrated, min(doc_id) FILTER (hit) AS first_doc
+  FROM (SELECT doc_id, source, chart, text, {_hit_sql(aliases)} AS hit, {_hit_sql(aliases, "narration")} AS said, chart AND instrument <> '' AND {_DATED_SQL} AS dated,
+    regexp_matches(text, '(?i)O\\s?([\\d,]+(?:\\.\\d+)?)\\s+H\\s?([\\d,]+(?:\\.\\d+)?)\\s+L\\s?([\\d,]+(?:\\.\\d+)?)\\s+C\\s?([\\d,]+(?:\\.\\d+)?)') AS ohlc FROM {_RECORDS_SQL})"""
         for name, aliases in ALIASES.items()
     )
 )
 def concept_coverage(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "lang", "text", X.has_date("text").alias("dated"), F.sha2("text", 256).alias("same"))
-    hits = joins.alias_hits(docs, "text", ALIASES, X.alias_pattern)
-    rows = docs.select("doc_id", "lang", "dated", "same", F.explode(quality.named_where(dict(hits))).alias("concept"))
-    chart = F.col("lang") == "en"
-    found = rows.groupBy("concept").agg(
-        F.count_if(chart).alias("printed_chart"), F.count_if(~chart).alias("printed_slide"), F.count_distinct("same").alias("n_distinct"),
-        F.count_if("dated").alias("dated"), F.min("doc_id").alias("first_doc"),
+    rows = _records(spark, sf_dir).withColumn("_text", F.lower("text")).withColumn("_narration", F.lower("narration"))
+    printed, said = joins.alias_hits("_text", ALIASES), joins.alias_hits("_narration", ALIASES)
+    dated = F.col("chart") & X.has_instrument("instrument") & X.has_date("text")
+    rows = rows.select("doc_id", "chart", F.sha2(F.concat("source", "text"), 256).alias("same"), dated.alias("dated"), X.has_bar_header("text").alias("ohlc"), quality.named_where(printed).alias("on"), quality.named_where(said).alias("heard"))
+    each = rows.select("*", F.explode(F.array_union("on", "heard")).alias("concept"))
+    each = each.withColumn("hit", F.array_contains("on", F.col("concept"))).withColumn("said", F.array_contains("heard", F.col("concept")))
+    hit, chart = F.col("hit"), F.col("chart")
+    found = each.groupBy("concept").agg(
+        F.count_if(hit & chart).alias("printed_chart"), F.count_if(hit & ~chart).alias("printed_slide"), F.count_distinct(F.when(hit & chart, F.col("same"))).alias("n_distinct"),
+        F.count_if(hit & F.col("dated")).alias("dated"), F.count_if(hit & F.col("dated") & F.col("ohlc")).alias("via_ohlc"), F.count_if(hit & F.col("dated") & ~F.col("ohlc")).alias("via_title"),
+        F.count_if("said").alias("narrated"), F.min(F.when(hit, F.col("doc_id"))).alias("first_doc"),
     )
     names = spark.createDataFrame([(n,) for n in ALIASES], "concept string")
-    zero = {c: 0 for c in ("printed_chart", "printed_slide", "n_distinct", "dated")}
+    zero = {c: 0 for c in ("printed_chart", "printed_slide", "n_distinct", "dated", "via_ohlc", "via_title", "narrated")}
     return F.broadcast(names).join(found, "concept", "left").fillna(zero)
 
 
@@ -115,10 +138,9 @@ def concept_coverage(spark, sf_dir):
     + ") WHERE n > 0"
 )
 def alias_usage(spark, sf_dir):
-    pairs = [(n, a) for n, aliases in ALIASES.items() for a in aliases]
-    docs = documents(spark, sf_dir)
-    found = F.filter(F.array(*[F.struct(F.lit(n).alias("concept"), F.lit(a).alias("alias"), F.col("text").rlike(X.alias_pattern(a)).alias("hit")) for n, a in pairs]), lambda x: x["hit"])
-    return docs.select(F.explode(found).alias("x")).groupBy("x.concept", "x.alias").agg(F.count("*").alias("n"))
+    single = {(n, a): joins.alias_hits("_text", {a: (a,)})[a] for n, aliases in ALIASES.items() for a in aliases}
+    found = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(n).alias("concept"), F.lit(a).alias("alias"))) for (n, a), hit in single.items()]))
+    return documents(spark, sf_dir).select(F.lower("text").alias("_text")).select(F.explode(found).alias("x")).groupBy("x.concept", "x.alias").agg(F.count("*").alias("n"))
 
 
 @query("""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,8 @@ def json_lines(spark: SparkSession, path: str, schema: str, mode: str = "torn_ta
     """JSON lines. mode: strict (any bad line raises), skip (bad lines go) or torn_tail.
 
     torn_tail drops a bad last line of a file, as an interrupted append leaves
-    it, and raises for any other. A file's last line is the one that ends at the
-    file's size, so no file is read by one task for that.
+    it, and raises for any other. Lines are placed by their block of the file and
+    their order in it, so no file is read whole by one task.
     """
     if mode == "strict":
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -46,14 +46,12 @@ def json_lines(spark: SparkSession, path: str, schema: str, mode: str = "torn_ta
     if mode != "torn_tail":
         raise ValueError(f"unknown mode {mode}")
     parsed_schema = T._parse_datatype_string(schema).add(CORRUPT, T.StringType())
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length")).alias("_until"), F.monotonically_increasing_id().alias("_line"))
     parsed = lines.where(F.trim("value") != "").withColumn("_row", F.from_json("value", parsed_schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
-    bad = parsed.where(F.col(f"_row.{CORRUPT}").isNotNull())
-    worst = bad.groupBy("_file").agg(F.count("*").alias("n"), F.max("value").alias("value"), F.max("_size").alias("_size"))
-    tails = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_file"), "content")
-    # Only files with a bad line are opened again, and only to look at their end.
-    torn = worst.join(tails, "_file").where((F.col("n") > 1) | ~F.endswith(F.col("content").cast("string"), F.col("value")))
-    if not torn.isEmpty():
+    # A file's last line is the last one of its last block: lines are numbered in order within a block, and a block is one task's.
+    place = F.struct("_until", "_line")
+    ends = parsed.groupBy("_file").agg(F.max(place).alias("_end"), F.max(F.when(F.col(f"_row.{CORRUPT}").isNotNull(), place)).alias("_bad"), F.count(F.col(f"_row.{CORRUPT}")).alias("_n"))
+    if not ends.where("_n > 1 or _bad <> _end").isEmpty():
         raise ValueError("a line other than a file's last one is corrupt")
     names = [f.name for f in parsed_schema if f.name != CORRUPT]
     return parsed.where(F.col(f"_row.{CORRUPT}").isNull()).select(*[F.col(f"_row.{n}").alias(n) for n in names])
@@ -84,6 +82,32 @@ def stale_outputs(inputs: DataFrame, outputs: DataFrame, key: str, ts: str) -> D
     return inputs.join(made, key, "left").where(F.col("_made").isNull() | (F.col(ts) > F.col("_made"))).drop("_made")
 
 
+def signature(size: Column | str, modified: Column | str) -> Column:
+    """Size and whole second of the last change, as size-seconds: another signature means another file."""
+    return F.concat_ws("-", F.col(size) if isinstance(size, str) else size, F.unix_seconds((F.col(modified) if isinstance(modified, str) else modified).cast("timestamp")))
+
+
+def changed_sources(listing: DataFrame, known: DataFrame, key: str, mark: str) -> DataFrame:
+    """Keys whose signature differs from the one that their output was made from; new keys are no change."""
+    made = known.select(key, F.col(mark).alias("_made"))
+    return listing.join(made, key).where(F.col(mark) != F.col("_made")).drop("_made")
+
+
+def array_shapes(rows: DataFrame, column: str) -> DataFrame:
+    """n_rows, n_null, least and most elements of an array column: its shape, without its values leaving the scan."""
+    n = F.size(column)
+    return rows.agg(F.count("*").alias("n_rows"), F.count_if(F.col(column).isNull()).alias("n_null"), F.min(F.when(F.col(column).isNotNull(), n)).alias("least"), F.max(F.when(F.col(column).isNotNull(), n)).alias("most"))
+
+
+def canonical_bars(rows: DataFrame, source: str, fixed_point: bool = True) -> DataFrame:
+    """ts_event, symbol, open, high, low, close, volume, source: canonical names and types, prices from integer fixed point, with where they come from."""
+    from millrace.functions.prices import fixed_point as floating
+
+    price = (lambda c: floating(c).alias(c)) if fixed_point else (lambda c: F.col(c).cast("double").alias(c))
+    legs = [price(c) for c in ("open", "high", "low", "close")]
+    return rows.select(F.col("ts_event").cast("timestamp_ntz"), F.col("symbol").cast("string"), *legs, F.col("volume").cast("bigint"), F.lit(source).alias("source"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

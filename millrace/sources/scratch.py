@@ -7,11 +7,37 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_MADE: dict[str, list[str]] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset, under a temporary folder of this machine."""
+    """A new path under ``spark.checkpoint.dir``.
+
+    Only in local mode, where that is unset (as in tests), is a temporary folder
+    made and remembered; on a cluster each executor would write to its own disk,
+    so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def cleared(spark: SparkSession) -> int:
+    """Deletes what this application put into the shared folder, and says how many folders that were.
+
+    For the end of a job: results that still read intermediate files must have
+    been written by then.
+    """
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in made:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(made)

@@ -146,7 +146,7 @@ def test_one_edit(spark, a, b, near):
 
 @pytest.mark.parametrize(("text", "hit"), [("B&R", True), ("xb&r", False), ("b&r2", False), ("a b&r.", True)])
 def test_alias_bounds(spark, text, hit):
-    assert one(spark, F.lit(text).rlike(X.alias_pattern("b&r"))) is hit
+    assert one(spark, F.lit(text).rlike(X.alias_pattern(["b&r"]))) is hit
 
 
 def test_repair_is_idempotent(spark):
