@@ -12,7 +12,10 @@ every member meets the bucket's first member. Where confirmed links leave
 members of a bucket in different components, an exact prefix-filtered join
 (``open_pairs``) finds every pair across them that can still reach the
 similarity. No key is capped, and equal sets are one class from the start,
-however many copies they have.
+however many copies they have. A bucket whose two small hashes are both shared
+by more than ``HOT`` classes is split into ``PARTS`` parts by a hash of the
+member: members meet the first of their part, and the parts' firsts meet the
+bucket's first, so no task sorts such a bucket whole.
 
 Defined cases: a null or blank text has an empty set and is linked with
 nothing; with fewer words than the shingle width the whole sequence is one
@@ -30,9 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
+from millrace.operators.scans import numbered
+
 from .common import blocks, by_keys, mixed, shingle_set, stored
 
 GROUPS, PER_GROUP = 9, 2
+#: Classes that share a small hash beyond which the buckets made of it are split, and into how many parts.
+HOT, PARTS = 1 << 20, 64
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int, m: int, h: int, seed: int = 11) -> DataFrame:
@@ -118,14 +125,27 @@ def components(links: DataFrame) -> DataFrame:
 def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, m: int) -> DataFrame:
     """id, label for every representative (id, n_shingles, g*) that is linked with another."""
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets link with equal ones only
-    keys = [F.xxhash64(F.lit(i * m + j), F.col(f"g{i}"), F.col(f"g{m + j}")) for i in range(m) for j in range(m)]
-    entries = reps.where(F.col("n_shingles") >= least).select("id", F.col("n_shingles").cast("int").alias("n"), F.explode(F.array(*keys)).alias("key"))
-    w = Window.partitionBy("key").orderBy("id")
+    keys = [(F.xxhash64(F.lit(i * m + j), F.col(f"g{i}"), F.col(f"g{m + j}")), i, m + j) for i in range(m) for j in range(m)]
+    able = reps.where(F.col("n_shingles") >= least)
+    crowded = _crowded(able, m)
+    if crowded is None:
+        each = F.array(*[F.struct(k.alias("key"), F.lit(0).alias("part")) for k, _, _ in keys])
+    else:
+        able = able.join(crowded, "id", "left")
+        own = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(PARTS)).cast("int") + 1
+        both = lambda i, j: F.coalesce(F.array_contains("hot", F.lit(i)) & F.array_contains("hot", F.lit(j)), F.lit(False))
+        each = F.array(*[F.struct(k.alias("key"), F.when(both(i, j), own).otherwise(0).alias("part")) for k, i, j in keys])
+    entries = able.select("id", F.col("n_shingles").cast("int").alias("n"), F.explode(each).alias("e")).select("id", "n", "e.key", "e.part")
+    w = Window.partitionBy("key", "part").orderBy("id")
     members = stored(
-        entries.select("key", "id", "n", F.first("id").over(w).alias("hub"), F.first("n").over(w).alias("hub_n"), F.lead("id").over(w).alias("next"))
-        .where("id <> hub or next is not null")
-        .select("key", "id", "n", "hub", "hub_n")
+        entries.select("key", "part", "id", "n", F.first("id").over(w).alias("hub"), F.first("n").over(w).alias("hub_n"), F.lead("id").over(w).alias("next"))
+        .where("id <> hub or next is not null or part > 0")
+        .select("key", "part", "id", "n", "hub", "hub_n")
     )
+    if crowded is not None:
+        firsts = Window.partitionBy("key").orderBy("id")  # at most PARTS rows
+        tops = members.where("part > 0 and id = hub").select("key", "part", "id", "n", F.first("id").over(firsts).alias("hub"), F.first("n").over(firsts).alias("hub_n"))
+        members = stored(members.unionByName(tops.where("id <> hub")))
 
     def near_in_size(x: str, y: str):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -146,6 +166,19 @@ def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, m: int)
     return stored(every.join(joined, every["label"] == joined["was"], "left").select("id", F.coalesce("now", "label").alias("label")))
 
 
+def _crowded(reps: DataFrame, m: int) -> DataFrame | None:
+    """id, hot: the numbers of those small hashes of each class that more than ``HOT`` classes share; None if there are none."""
+    if reps.count() <= HOT:
+        return None
+    small = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"g{t}").alias("g")) for t in range(2 * m)])).alias("x")
+    spread = reps.select("id", small).select("id", "x.t", "x.g")
+    many = stored(spread.groupBy("t", "g").count().where(F.col("count") > HOT).select("t", "g"))
+    if many.isEmpty():
+        return None
+    # At most 2 * m values for every HOT classes: some 2 MB for a billion classes.
+    return spread.join(F.broadcast(many), ["t", "g"]).groupBy("id").agg(F.collect_set("t").alias("hot"))
+
+
 def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs that may still be linked across the components that share a bucket.
 
@@ -157,7 +190,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     hold the overlap that is needed. So a member far from all others, whose first
     shingles are its own, makes no pair at all, however large its bucket.
     """
-    rest = members.where("id <> hub").select("key", "id").join(labels, "id", "left")
+    rest = members.where("id <> hub or part > 0").select("key", "id").distinct().join(labels, "id", "left")  # in split buckets no member has met all
     rest = rest.select("key", "id", F.coalesce("label", "id").alias("label"))
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     per_key = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
@@ -201,11 +234,24 @@ def near_duplicates(
     return found.select(F.col("id").alias(key), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, and one only where a key repeats."""
-    found = stored(near_duplicates(docs, key, **options))
-    dropped = found.where("not kept").select(key).distinct()
-    out = by_keys(docs, dropped, key, "left_anti").select(docs.columns)
-    if not found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-        out = out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
-    return out
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component.
+
+    Rows with a null key stay. Where keys repeat, rows are told apart by key and
+    text: of equal ones one stays, and different texts of one key are documents
+    of their own. Empty and blank texts are linked with nothing and stay, but for
+    repeated rows.
+    """
+    keys = docs.select(F.col(key).alias("k")).where("k is not null")
+    if keys.groupBy("k").count().where("count > 1").isEmpty():
+        found = near_duplicates(docs, key, text, **options)
+        return by_keys(docs, stored(found.where("not kept").select(key).distinct()), key, "left_anti").select(docs.columns)
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # no column of docs can clash with those added
+    k, t = (names[docs.columns.index(x)] for x in (key, text))
+    plain = docs.toDF(*names)
+    rows = plain.where(F.col(k).isNotNull()).withColumn("_sha", F.sha2(F.coalesce(t, F.lit("")), 256)).withColumn("_row", F.monotonically_increasing_id())
+    rows = stored(numbered(stored(rows), [], [k, "_sha", "_row"]))
+    found = stored(near_duplicates(rows, "_i", t, **options))
+    first = rows.groupBy(k, "_sha").agg(F.min("_i").alias("_i"))
+    stays = rows.join(found.where("kept").select("_i"), "_i", "left_semi").join(first.select("_i"), "_i", "left_semi")
+    return stays.select(*names).unionByName(plain.where(F.col(k).isNull())).toDF(*docs.columns)
