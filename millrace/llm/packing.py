@@ -2,7 +2,7 @@
 
 Every document gives whole windows and one remainder below the window. The
 histogram of remainder lengths is the only thing the driver sees: at most
-``window`` lengths in ``SPREAD`` buckets. Shallow combinations that fill a
+``window`` lengths in ``spread`` buckets (64, or as many as the cluster has cores, up to 4096). Shallow combinations that fill a
 window exactly (k pieces of one length and one of another) form the columns of a
 non-negative least squares problem; its repeat counts, rounded to what the
 histogram holds, say how many sequences of each combination are built. What
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .bpe import loaded
 from .common import blocks, stored
 
-WINDOW, SPREAD = 1024, 64
+WINDOW = 1024
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -186,11 +186,12 @@ def packed(docs: DataFrame, path: str | None = None, closing: int = 0, window: i
         "doc_id", (F.col("i").cast("bigint") * window).alias("start"), F.lit(window).cast("bigint").alias("length"), "ids_crc32",
         "doc_tokens", (-1 - F.col("first") - F.col("i")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"),
     )
-    salt = F.pmod(F.xxhash64("uid"), F.lit(SPREAD)).cast("int")
+    spread = min(4096, max(64, spark.sparkContext.defaultParallelism))
+    salt = F.pmod(F.xxhash64("uid"), F.lit(spread)).cast("int")
     rests = rows.where("rest > 0").withColumn("bucket", salt)
-    # At most (window - 1) * SPREAD rows, whatever the input.
+    # At most (window - 1) * spread rows, whatever the input.
     counts = rests.groupBy("rest", "bucket").count().toPandas()
-    grid = np.zeros((window, SPREAD), np.int64)
+    grid = np.zeros((window, spread), np.int64)
     grid[counts["rest"].to_numpy(), counts["bucket"].to_numpy()] = counts["count"].to_numpy()
     before = np.cumsum(grid, axis=1) - grid
     sent = spark.sparkContext.broadcast((Plan.of(grid.sum(1), window), before))
