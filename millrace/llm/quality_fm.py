@@ -8,7 +8,8 @@ low-rank and is scored in time linear in the features:
 
 Defined cases: null and empty texts have the features of an empty text and so
 one defined score; repeated rows score alike; rows whose labels contradict one
-another are not learned from; with no usable label the score is 0.5. Extra
+another are not learned from, and of rows with one key the text that sorts first
+is; with no usable label the score is 0.5. Extra
 columns pass through; columns named like an added one are replaced.
 """
 
@@ -26,22 +27,21 @@ from xxhash import xxh3_64_intdigest
 from .common import blocks, with_columns
 
 WORDS, ENDS, BINS = 1 << 14, 1 << 11, 16
-#: Structure statistics: each has BINS one-hot features.
-STATISTICS = (
-    "log_bytes", "word_bytes", "upper", "digit", "symbol", "bar", "mark", "blank", "line",
-    "beyond_ascii", "distinct", "repeated", "one_byte", "marked_ends", "upper_words",
-)
+#: Structure statistics: each has BINS one-hot features. Shares of the bytes of each class, then what words are like.
+BYTES = ("lower", "upper", "digit", "punctuation", "blank", "line", "control", "beyond_ascii")
+STATISTICS = ("log_bytes", "word_bytes", *BYTES, "distinct", "same_as_before", "one_byte", "no_letter", "begins_upper", "ends_punctuated")
 SIZE = WORDS + ENDS + BINS * len(STATISTICS)
 
 
 def _class_table() -> np.ndarray:
-    """Byte to class: 0 others, 1 upper, 2 digit, 3 symbol, 4 bar, 5 mark, 6 blank, 7 line feed, 8 beyond ASCII."""
-    table = np.zeros(256, np.int64)
-    for b in range(128, 256):
-        table[b] = 8
-    for chars, kind in (("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), ("0123456789", 2), ("#$%&*@+=<>^~\\/_", 3), ("|", 4), ("!?", 5), (" \t\r\v\f", 6), ("\n", 7)):
-        for c in chars:
-            table[ord(c)] = kind
+    """Byte to the number of its class in ``BYTES``."""
+    table = np.full(256, BYTES.index("beyond_ascii"))
+    table[:128] = BYTES.index("punctuation")
+    table[[*range(32), 127]] = BYTES.index("control")
+    table[[9, 11, 12, 13, 32]] = BYTES.index("blank")
+    table[10] = BYTES.index("line")
+    for chars, kind in (("abcdefghijklmnopqrstuvwxyz", "lower"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "upper"), ("0123456789", "digit")):
+        table[[ord(c) for c in chars]] = BYTES.index(kind)
     return table
 
 
@@ -55,22 +55,24 @@ class Features:
         data = (text or "").encode("utf-8", "surrogatepass")
         raw = data.split()
         n, size = len(raw), max(1, len(data))
-        kinds = np.bincount(self.classes, np.bincount(np.frombuffer(data, np.uint8), minlength=256), minlength=9) / size
+        shares = np.bincount(self.classes, np.bincount(np.frombuffer(data, np.uint8), minlength=256), minlength=len(BYTES)) / size
         lower = data.lower().split()
         h = np.fromiter(map(xxh3_64_intdigest, lower), np.uint64, n)
         ends = np.fromiter(map(xxh3_64_intdigest, [w[-2:] for w in raw]), np.uint64, n)
         per_word = max(1, n)
         own, counts = np.unique((h % np.uint64(WORDS)).astype(np.int64), return_counts=True)
         tail, tails = np.unique((ends % np.uint64(ENDS)).astype(np.int64), return_counts=True)
+        first, last = (self.classes[np.frombuffer(bytes([w[k] for w in raw]), np.uint8)] for k in (0, -1))
         stats = np.array([
             np.log2(size) / 20,
             min(1.0, sum(map(len, raw)) / per_word / 24),
-            kinds[1], kinds[2], kinds[3] * 2, kinds[4] * 4, kinds[5] * 2, kinds[6] * 2, kinds[7] * 8, kinds[8] * 2,
+            *np.sqrt(shares),  # the root spreads small shares over the bins
             len(set(lower)) / per_word,
             float((h[1:] == h[:-1]).mean()) if n > 1 else 0.0,
             sum(1 for w in raw if len(w) == 1) / per_word,
-            sum(1 for w in raw if w[-1] in b"*$%&#!?|") / per_word,
-            sum(1 for w in raw if len(w) > 1 and w.isupper()) / per_word,
+            sum(1 for w in lower if w.upper() == w and w[0] < 128) / per_word,
+            float((first == BYTES.index("upper")).sum()) / per_word,
+            float((last == BYTES.index("punctuation")).sum()) / per_word,
         ])
         at = np.minimum((np.clip(stats, 0, 1) * BINS).astype(np.int64), BINS - 1)
         return (
@@ -147,7 +149,9 @@ def fit(
     share = min(1.0, bound / max(1, n))
     chosen = agreed.where(F.pmod(F.xxhash64(key, F.lit(29)), F.lit(1 << 20)) < share * (1 << 20)).select(key, "y")
     # Size bounded by ``bound``, so it may be sent to all executors.
-    sample = docs.select(key, text).join(F.broadcast(chosen), key).select(F.col(key).alias("k"), F.col(text).alias("text"), F.col("y").cast("double").alias("y"))
+    drawn = docs.select(key, text).join(F.broadcast(chosen), key).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("y").cast("double").alias("y"))
+    # A key counts once, however many rows have it; rows of a task are combined before the shuffle.
+    sample = drawn.groupBy("k", "y").agg(F.min("text").alias("text")).select("k", "text", "y")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features()
