@@ -181,8 +181,11 @@ def brute_components(texts, width, percent):
     return {i: find(i) for i in ids}, {i: len(s) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates_equal_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "hot"), [(2, None), (5, None), (2, 3), (5, 3)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, hot):
+    if hot:  # nearly all buckets are split
+        monkeypatch.setattr(near_dedup, "HOT", hot)
+        monkeypatch.setattr(near_dedup, "PARTS", 4)
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     texts = {}
@@ -208,8 +211,10 @@ def test_near_duplicates_equal_brute_force(spark, width):
             assert (r.component_id, r.n_shingles, r.kept) == (want[r.doc_id], sizes[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
-def test_open_buckets_are_finished(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1 << 20, 2])
+def test_open_buckets_are_finished(spark, monkeypatch, hot):
     """A chain in which no member is near the bucket's first: later rounds must link it."""
+    monkeypatch.setattr(near_dedup, "HOT", hot)
     base = [f"w{i}" for i in range(200)]
     texts, own = {0: " ".join(base)}, list(base)
     for i in range(1, 30):
@@ -228,6 +233,16 @@ def test_deduplicated_keeps_one_of_each(spark):
     assert near_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_one_key_with_different_texts(spark):
+    """Texts of one key are told apart: a clean one stays although the other is a copy, and no group is lost with its first text."""
+    copy = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, copy, "a"), (5, "a clean text that nobody else has written", "b"), (5, copy, "c"), (3, copy, "d"), (9, "", "e"), (9, "", "f"), (9, None, "g"), (None, copy, "h"), (7, copy + " more", "i")]
+    docs = spark.createDataFrame(rows, DOCS + ", _i string")
+    got = sorted((r.doc_id or 0, r.text or "", r.text is None) for r in near_dedup.deduplicated(docs, width=5).collect())
+    assert [(k, t) for k, t, _ in got] == [(0, copy), (3, copy), (5, rows[1][1]), (9, "")]
+    assert near_dedup.deduplicated(docs).columns == docs.columns
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101)], "a bigint, b bigint")
     got = {r.id: r.label for r in near_dedup.components(links).collect()}

@@ -110,6 +110,43 @@ def test_quality_is_learned_and_scored_in_linear_time(spark):
     assert np.isclose(y[0], model.bias + model.linear[index] @ value + pairs)
 
 
+def test_quality_training_follows_the_slope():
+    """One step of the fit against numerical derivatives of the loss, and the loss falls."""
+    rng = np.random.default_rng(3)
+    f = quality_fm.Features()
+    texts = [f.one(" ".join(rng.choice(["good", "fine", "bad", "***", "x1"], 6))) for _ in range(24)]
+    labels = rng.integers(0, 2, 24).astype(float)
+
+    def loss(model):
+        index, value = (np.concatenate([t[j] for t in texts]) for j in (0, 1))
+        y, _ = model.margins(index, value, np.cumsum([0, *(len(t[0]) for t in texts)])[:-1])
+        return float(np.mean(np.log1p(np.exp(-np.where(labels > 0, y, -y)))))
+
+    step = 1e-6  # the first step of Adam moves each weight by the rate against the sign of its slope
+    before = quality_fm.FactorisationMachine.fit(texts, labels, rank=2, epochs=0, size=24, decay=0)
+    after = quality_fm.FactorisationMachine.fit(texts, labels, rank=2, epochs=1, size=24, rate=step, decay=0)
+    for i in np.unique(texts[0][0])[:12]:
+        for place in [(before.linear, after.linear, (i,)), (before.factors, after.factors, (i, 0)), (before.factors, after.factors, (i, 1))]:
+            was, now, at = place
+            kept = was[at]
+            was[at] = kept + 1e-4
+            up = loss(before)
+            was[at] = kept - 1e-4
+            slope = (up - loss(before)) / 2e-4
+            was[at] = kept
+            if abs(slope) > 1e-5:
+                assert np.sign(now[at] - kept) == -np.sign(slope)
+    fitted = quality_fm.FactorisationMachine.fit(texts, labels, rank=2, epochs=30, size=8)
+    assert loss(fitted) < 0.7 * loss(before)
+
+
+def test_quality_learns_a_key_once(spark):
+    rows = [(1, "good text", None, "x")] * 40 + [(2, "bad *** text", None, "x"), (1, "another text of that key", None, "x")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    once = quality_fm.fit(documents(spark, [(1, "another text of that key", None, "x"), (2, "bad *** text", None, "x")]), labels)
+    assert np.allclose(quality_fm.fit(documents(spark, rows), labels).linear, once.linear)
+
+
 def test_quality_edge_cases(spark):
     labels = spark.createDataFrame([(5, 1, 0), (6, 0, 0)], "doc_id bigint, quality int, toxic int")
     model = quality_fm.fit(documents(spark, EDGE), labels)
@@ -212,7 +249,8 @@ def test_packing_plan_solves_least_squares():
 def test_packing_edge_cases(spark):
     assert packing.packed(documents(spark, []), PATH).count() == 0
     rows = packing.packed(documents(spark, EDGE), PATH).collect()
-    assert sum(r.length for r in rows if r.doc_id == 6) == 2 * sum(r.length for r in rows if r.doc_id == 6) // 2
+    whole = len(Tokenizer.from_file(PATH).encode("the the", add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in rows if r.doc_id == 6) == 2 * whole and {r.doc_tokens for r in rows if r.doc_id == 6} == {whole}
     assert sum(r.length for r in rows if r.doc_id == 1) == 1 and any(r.doc_id is None for r in rows)
 
 
@@ -230,6 +268,25 @@ def test_licences(spark):
     assert licences.scanned(documents(spark, [])).count() == 0
 
 
+def test_own_columns_replace_clashing_ones(spark):
+    docs = documents(spark, [(1, "Released under the MIT License.", None, "x"), (2, None, None, "x")])
+    from pyspark.sql import functions as F
+
+    for c in ("licence", "dice", "n_matches", "n_tokens", "ids", "decoded", "ids_sha256"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    got = licences.scanned(docs).orderBy("doc_id").collect()
+    assert (got[0].licence, got[0].dice, got[0].n_matches, got[0].ids) == ("MIT", 1.0, 1, "clash") and got[1].licence is None
+    got = bpe.encoded(docs, PATH).orderBy("doc_id").collect()
+    assert got[0].decoded == got[0].text and got[0].licence == "clash" and got[1].n_tokens == 0
+    assert bpe.digests(docs, PATH).count() == 2 and len(bpe.digests(docs, PATH).columns) == 4
+
+
+def test_licences_of_equal_score(spark):
+    same = {"B": "one two three four", "A": "one two three four", "C": "three four five six"}
+    got = licences.scanned(documents(spark, [(1, "one two three four", None, "x"), (2, "three four five six\none two three four", None, "x")]), same, further={}).orderBy("doc_id").collect()
+    assert [(r.licence, r.dice, r.n_matches) for r in got] == [("A", 1.0, 2), ("A", 1.0, 3)]
+
+
 def wrapped(text, width=9):
     words = text.split()
     return "\n * ".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
