@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import alias_pattern
+from millrace.operators.scans import FINE
 
 
 def k_of_n(left: DataFrame, right: DataFrame, legs: Sequence[str], k: int, left_key: str, right_key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -54,24 +55,23 @@ def nearest(left: DataFrame, right: DataFrame, left_value: str, right_value: str
     """``left`` with nearest_below and nearest_above (values of ``right`` at or around its own) and distance.
 
     Both sides are put in one order and look to the last value before and the
-    first after; no pair is made. Equal values count on both sides. With a
-    ``bin_width`` the order is kept within bins of values, so neither a hot group
-    nor the lack of groups puts all rows in one task: every bin gets the last
-    value before it and the first after it, from one pass over the bins' own
+    first after; no pair is made. Equal values count on both sides. The order is
+    kept within bins of values (of ``bin_width``, or by magnitude), so neither a
+    hot group nor the lack of groups puts all rows in one task: every bin gets the
+    last value before it and the first after it, from one pass over the bins' own
     smallest and largest values.
     """
-    slot = (lambda v: F.floor(F.col(v) / bin_width)) if bin_width else (lambda v: F.lit(0))
+    slot = (lambda v: F.floor(F.col(v) / bin_width)) if bin_width else (lambda v: F.floor(F.signum(F.col(v).cast("double")) * F.log1p(F.abs(F.col(v).cast("double"))) * FINE))
     marks = right.where(F.col(right_value).isNotNull()).select(*by, slot(right_value).alias("_bin"), F.col(right_value).alias("_v")).distinct()
     rows = left.select(*by, slot(left_value).alias("_bin"), F.col(left_value).alias("_v"), F.struct(*left.columns).alias("_row"))
-    if bin_width:
-        bins = marks.groupBy(*by, "_bin").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        empty = rows.where(F.col("_bin").isNotNull()).select(*by, "_bin").distinct()
-        bins = bins.unionByName(empty, allowMissingColumns=True).groupBy(*by, "_bin").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-        w = Window.partitionBy(*by).orderBy("_bin")
-        before = F.last("_hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        after = F.first("_lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-        borders = bins.select(*by, "_bin", F.array(before, after).alias("_b")).select(*by, "_bin", F.explode(F.array_compact("_b")).alias("_v"))
-        marks = marks.unionByName(borders)
+    bins = marks.groupBy(*by, "_bin").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    empty = rows.where(F.col("_bin").isNotNull()).select(*by, "_bin").distinct()
+    bins = bins.unionByName(empty, allowMissingColumns=True).groupBy(*by, "_bin").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    w = Window.partitionBy(*by).orderBy("_bin")
+    before = F.last("_hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    borders = bins.select(*by, "_bin", F.array(before, after).alias("_b")).select(*by, "_bin", F.explode(F.array_compact("_b")).alias("_v"))
+    marks = marks.unionByName(borders)
     both = rows.unionByName(marks.withColumn("_mark", F.col("_v")), allowMissingColumns=True)
     w = Window.partitionBy(*by, "_bin").orderBy(F.col("_v").asc_nulls_first())
     below = F.last("_mark", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))

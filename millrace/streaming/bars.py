@@ -31,17 +31,25 @@ def run_to_files(bars: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return bars.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upserted(stream: DataFrame, key: str, order: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Last-wins compaction batch by batch: each batch rewrites the table next to the old one and then takes its place by version."""
+def upserted(stream: DataFrame, key: str, order: str, out: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Last-wins compaction batch by batch into Parquet in ``buckets`` folders (column _bucket): a batch rewrites only those that its keys fall into.
+
+    The merged rows are written beside the table first; a batch that is done again
+    after a failure merges the same rows into what it left, with the same result.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         from millrace.operators.incremental import last_wins
+        from millrace.sources.scratch import scratch_dir
 
         spark = batch.sparkSession
-        before = f"{out}/version={number - 1}"
-        known = batch
-        if number > 0:
-            known = spark.read.schema(batch.schema).parquet(before).unionByName(batch)
-        last_wins(known, [key], [order]).write.mode("overwrite").parquet(f"{out}/version={number}")
+        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # ``buckets`` numbers at most
+        spark.createDataFrame([], rows.schema).write.mode("append").partitionBy("_bucket").parquet(out)  # the table exists from the first batch on
+        known = spark.read.schema(rows.schema).parquet(out).where(F.col("_bucket").isin(touched)).unionByName(rows)
+        beside = scratch_dir(spark)
+        last_wins(known, [key], [order]).write.parquet(beside)
+        merged = spark.read.schema(rows.schema).parquet(beside).repartition("_bucket")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(out)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
