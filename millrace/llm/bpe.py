@@ -53,7 +53,7 @@ SEGMENT = 1 << 20
 #: Characters of a run of blanks beyond which its fragment is encoded by the tokenizers library.
 BLANKS = 1 << 16
 #: Fragments that a task remembers, and the longest such fragment.
-REMEMBERED, SHORT = 1 << 18, 64
+REMEMBERED, SHORT = 1 << 17, 64
 #: The pre-tokeniser's pattern, as published with byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Classes of characters.
