@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from brute import PlainKneserNey
 from millrace.llm import bpe, language_id, licences, packing, quality_fm
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -339,51 +340,6 @@ def test_licence_pruning_loses_nothing():
         assert scanner.matches(text) == [(n, s) for n, s in brute if s >= 0.6]
 
 
-class PlainKneserNey:
-    """Interpolated Kneser-Ney by dictionaries and the textbook's sums, for one language."""
-
-    def __init__(self, texts, alphabet, order=4):
-        self.alphabet, self.order, self.counts = alphabet, order, {}
-        grams = {}
-        for t in texts:
-            units = self.units(t)
-            for i in range(len(units)):
-                g = tuple(([" "] * order + units)[i + 1 : i + 1 + order])
-                grams[g] = grams.get(g, 0) + 1
-        self.counts[order] = grams
-        for n in range(order - 1, 0, -1):
-            kinds = {}
-            for g in self.counts[n + 1]:
-                kinds[g[1:]] = kinds.get(g[1:], 0) + 1
-            self.counts[n] = kinds
-
-    @staticmethod
-    def units(text):
-        out = []
-        for c in text or "":
-            c = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
-            if c != " " or (out and out[-1] != " "):
-                out.append(c)
-        return out
-
-    def p(self, n, gram):
-        if n == 0:
-            return 1 / self.alphabet
-        counts = self.counts[n]
-        n1, n2 = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
-        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        after = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
-        if not after:
-            return self.p(n - 1, gram[1:])
-        total = sum(after.values())
-        return max(after.get(gram, 0) - d, 0) / total + d * len(after) / total * self.p(n - 1, gram[1:])
-
-    def entropy(self, text):
-        units = self.units(text)
-        padded = [" "] * self.order + units
-        return sum(-math.log(self.p(self.order, tuple(padded[i + 1 : i + 1 + self.order]))) for i in range(len(units))) / len(units)
-
-
 def test_language_id_equals_brute_force(spark):
     """Cross-entropies, predictions and scores of a fitted table against dictionaries; ties go to the language that sorts first."""
     rng = np.random.default_rng(12)
