@@ -65,11 +65,6 @@ def crosstab(frame: DataFrame, a: str, b: str) -> DataFrame:
     return found.select(F.when(F.col("_ga") == 1, "ALL").otherwise(F.col(a)).alias(a), F.when(F.col("_gb") == 1, "ALL").otherwise(F.col(b)).alias(b), "n")
 
 
-def top_frequent(frame: DataFrame, by: Sequence[str], k: int) -> DataFrame:
-    """The k most frequent values; ties by the values themselves."""
-    return frame.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by).limit(k)
-
-
 def first_examples(frame: DataFrame, by: Sequence[str], key: str, n: int) -> DataFrame:
     """``by``, the n smallest keys in order, and how many there are: ranked, not collected whole."""
     w = Window.partitionBy(*by).orderBy(key)
@@ -92,8 +87,3 @@ def stable_lines(lines: DataFrame, group: str, member: str, line: str, min_membe
     seen = lines.select(group, member, line).distinct().groupBy(group, line).agg(F.count("*").alias("_in"))
     both = seen.join(members.where(F.col("n_members") >= min_members), group)
     return both.groupBy(group).agg(F.max("n_members").alias("n_members"), F.count_if(F.col("_in") == F.col("n_members")).alias("n_core"), F.count_if(F.col("_in") < F.col("n_members")).alias("n_varying"))
-
-
-def extrapolated(n: int, measured: float, total: float) -> float | None:
-    """What ``n`` on a measured share means for the whole; null without a measure."""
-    return None if not measured else n * total / measured

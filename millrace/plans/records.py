@@ -327,3 +327,19 @@ def repair_log(spark, sf_dir):
     sinks.appended(sinks.repair_log(docs, fixed, "doc_id", "text"), path)
     log = spark.read.schema("doc_id bigint, before string, after string").json(path)
     return log.select("doc_id", F.sha2("before", 256).alias("before_sha"), F.sha2("after", 256).alias("after_sha"))
+
+
+@query(f"SELECT bar_ts AS ts_event, symbol, open, high, low, close, volume FROM {bars_sql('1 hour', 'symbol')}")
+def trades_readback(spark, sf_dir):
+    """Trades written and read with the checks of their reader, made into bars, which are written and read with theirs."""
+    base = scratch_dir(spark)
+    own = trades(spark, sf_dir)
+    raw = own.select(
+        F.col("ts").cast("timestamp").alias("ts_recv"), F.col("ts").cast("timestamp").alias("ts_event"), "sequence", F.lit("T").alias("action"), F.round(F.col("price") * 1_000_000_000).cast("bigint").alias("price"),
+        "size", "symbol", F.lit(7).cast("bigint").alias("instrument_id"), F.lit(1).alias("publisher_id"),
+    )
+    sinks.parquet(raw, f"{base}/trades")
+    read = readers.trades(spark, f"{base}/trades").withColumn("price", P.fixed_point("price"))
+    hourly = B.bars(read, "1h", ["symbol"], ts="ts_recv")
+    sinks.parquet(hourly.select(F.col("bar_ts").alias("ts_event"), "symbol", *LEGS, "volume"), f"{base}/bars")
+    return readers.bars(spark, f"{base}/bars").withColumn("ts_event", F.col("ts_event").cast("timestamp_ntz"))
