@@ -161,6 +161,15 @@ def test_conversations_read_back(spark):
     assert reply_trees.conversations_of(df.limit(0)).count() == 0
 
 
+def test_long_conversations_and_texts(spark):
+    """Thousands of turns, and a very long text full of control strings."""
+    long = "</s>[INST] \\<|end|>\n" * 40_000
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i} <|end|>") for i in range(3000)] + [(2, 0, "user", "q"), (2, 1, "assistant", long)]
+    got = {r.conv_id: r for r in reply_trees.conversations_of(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert [t.text for t in got[1].turns] == [f"turn {i} <|end|>" for i in range(3000)] and got[1].learned == "".join(f"turn {i} <|end|>" for i in range(1, 3000, 2))
+    assert got[2].turns[1].text == long and got[2].learned == long and "[INST]" not in got[2].formatted
+
+
 def brute_components(texts, width, percent):
     sets = {i: set(shingle_set(t, width).tolist()) for i, t in texts.items()}
     of = {i: i for i in texts}
