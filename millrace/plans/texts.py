@@ -9,7 +9,7 @@ from millrace.functions import replies
 from millrace.functions import text as X
 from millrace.operators import folds, joins, quality, stats
 from millrace.plans.registry import query
-from millrace.sources.readers import table
+from millrace.sources.readers import spread, table
 
 #: Aliases of a few things that the documents mention.
 ALIASES = {
@@ -115,7 +115,7 @@ def _hit_sql(aliases, column="text"):
     )
 )
 def concept_coverage(spark, sf_dir):
-    rows = _records(spark, sf_dir).withColumn("_text", F.lower("text")).withColumn("_narration", F.lower("narration"))
+    rows = spread(_records(spark, sf_dir)).withColumn("_text", F.lower("text")).withColumn("_narration", F.lower("narration"))
     printed, said = joins.alias_hits("_text", ALIASES), joins.alias_hits("_narration", ALIASES)
     dated = F.col("chart") & X.has_instrument("instrument") & X.has_date("text")
     rows = rows.select("doc_id", "chart", F.sha2(F.concat("source", "text"), 256).alias("same"), dated.alias("dated"), X.has_bar_header("text").alias("ohlc"), quality.named_where(printed).alias("on"), quality.named_where(said).alias("heard"))
@@ -140,7 +140,7 @@ def concept_coverage(spark, sf_dir):
 def alias_usage(spark, sf_dir):
     single = {(n, a): joins.alias_hits("_text", {a: (a,)})[a] for n, aliases in ALIASES.items() for a in aliases}
     found = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(n).alias("concept"), F.lit(a).alias("alias"))) for (n, a), hit in single.items()]))
-    return documents(spark, sf_dir).select(F.lower("text").alias("_text")).select(F.explode(found).alias("x")).groupBy("x.concept", "x.alias").agg(F.count("*").alias("n"))
+    return spread(documents(spark, sf_dir).select(F.lower("text").alias("_text"))).select(F.explode(found).alias("x")).groupBy("x.concept", "x.alias").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -265,7 +265,7 @@ SELECT doc_id, len(regexp_extract_all(text, '\bthe\b')) AS n_repairs, sha256(reg
 """)
 def token_repair(spark, sf_dir):
     fixed, n = quality.repaired(F.col("text"), X.token_pattern("the"), "THE")
-    rows = documents(spark, sf_dir).select("doc_id", n.cast("bigint").alias("n_repairs"), fixed.alias("fixed"))
+    rows = spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", n.cast("bigint").alias("n_repairs"), fixed.alias("fixed"))
     again = quality.repaired(F.col("fixed"), X.token_pattern("the"), "THE")[1]
     return rows.select("doc_id", "n_repairs", F.sha2("fixed", 256).alias("repaired_sha"), again.cast("bigint").alias("second_pass"))
 

@@ -108,6 +108,17 @@ def canonical_bars(rows: DataFrame, source: str, fixed_point: bool = True) -> Da
     return rows.select(F.col("ts_event").cast("timestamp_ntz"), F.col("symbol").cast("string"), *legs, F.col("volume").cast("bigint"), F.lit(source).alias("source"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as the cluster has cores, for work that outweighs a shuffle of its rows.
+
+    Only scans with fewer partitions (few or unsplittable files) are dealt anew,
+    so large inputs never are. For plain scans: a plan with shuffles would run
+    its stages to count partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
