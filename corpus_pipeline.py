@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import language_id, near_dedup, packing, quality_fm
 from millrace.llm.common import stored
+from millrace.sources.readers import spread, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -70,7 +71,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(table(spark, sf_dir, "documents"))
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

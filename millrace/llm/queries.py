@@ -7,19 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, language_id, licences, near_dedup, ogg, packing, quality_fm, reply_trees, warc
-
+from millrace.sources.readers import spread, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from . import bpe, exact_topk, language_id, licences, near_dedup, ogg, packing, quality_fm, reply_trees, warc
 
 
 def _crc(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+
+
 def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg.features(table(spark, sf_dir, "documents"))
+    return ogg.features(documents(spark, sf_dir))
 
 
 def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +44,11 @@ def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return near_dedup.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", _crc("doc_id", 4) == 2)
+    docs = documents(spark, sf_dir, "lang").withColumn("held_out", _crc("doc_id", 4) == 2)
     models = language_id.fit(docs.where("not held_out"))
     found = language_id.identify(docs.select("doc_id", "text", "held_out"), models)
     return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
@@ -59,7 +61,7 @@ def vocabulary() -> str:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return licences.scanned(documents(spark, sf_dir)).drop("text")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +78,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _crc("doc_id", 5) == 0)
+    docs = documents(spark, sf_dir).withColumn("held_out", _crc("doc_id", 5) == 0)
     model = quality_fm.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(_crc("doc_id", 5) != 0))
     return quality_fm.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
+    return packing.packed(documents(spark, sf_dir), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
