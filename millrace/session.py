@@ -9,10 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows that Python workers are given at a time: texts are long, and a batch is held on both sides. Spark's own default is 10,000.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000", "10000")
 
 
 def shipped(spark: SparkSession) -> SparkSession:
-    """Sends the package's code to the executors, once per application, through Spark's own file server."""
+    """Sends the package's code to the executors, once per application, through Spark's own file server; bounds batches unless they have been set."""
+    name, rows, default = BATCH
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, rows)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent
@@ -36,6 +41,7 @@ def session(name: str = "millrace", master: str | None = None, partitions: int |
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        BATCH[0]: BATCH[1],
         **conf,
     }
     if partitions:
