@@ -40,6 +40,8 @@ from .common import blocks, by_keys, mixed, shingle_set, stored
 GROUPS, PER_GROUP = 9, 2
 #: Classes that share a small hash beyond which the buckets made of it are split, and into how many parts.
 HOT, PARTS = 1 << 20, 64
+#: Open members that share a shingle beyond which that shingle's part of the last join is split as well.
+SHARED = 10_000
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int, m: int, h: int, seed: int = 11) -> DataFrame:
@@ -203,14 +205,17 @@ def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     common = spread.where("minor").groupBy("s").agg(F.count("*").alias("f"))
     ranked = spread.join(common, "s", "left").groupBy("id", "label", "minor", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "s"))).alias("all"))
     prefix = F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    heads = stored(ranked.select("id", "label", "minor", "n", F.posexplode(prefix).alias("at", "x")).where("x.f > 0").select("id", "label", "minor", "n", "at", F.col("x.s").alias("s")))
-    left = heads.where("minor").select("s", *[F.col(c).alias(f"a_{c}") for c in ("id", "label", "n", "at")])
-    right = heads.select("s", *[F.col(c).alias(f"b_{c}") for c in ("id", "label", "n", "at", "minor")])
+    heads = stored(ranked.select("id", "label", "minor", "n", F.posexplode(prefix).alias("at", "x")).where("x.f > 0").select("id", "label", "minor", "n", "at", F.col("x.s").alias("s"), F.col("x.f").alias("f")))
+    # Of a shingle that many share, every part holds all minors and a share of the members.
+    much, every = F.col("f") > SHARED, F.sequence(F.lit(1), F.lit(PARTS))
+    left = heads.where("minor").select("s", F.explode(F.when(much, every).otherwise(F.array(F.lit(0)))).alias("part"), *[F.col(c).alias(f"a_{c}") for c in ("id", "label", "n", "at")])
+    part = F.when(much, F.pmod(F.xxhash64("id", F.lit(43)), F.lit(PARTS)).cast("int") + 1).otherwise(0)
+    right = heads.select("s", part.alias("part"), *[F.col(c).alias(f"b_{c}") for c in ("id", "label", "n", "at", "minor")])
     once = ~F.col("b_minor") | (F.col("a_id") < F.col("b_id"))
     # 100 * overlap >= percent * union  <=>  (100 + percent) * overlap >= percent * (sum of the sizes)
     room = (100 + percent) * (1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1)
     fits = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (room >= percent * (F.col("a_n") + F.col("b_n")))
-    met = left.join(right, (left["s"] == right["s"]) & (F.col("a_label") != F.col("b_label")) & once & fits)
+    met = left.join(right, (left["s"] == right["s"]) & (left["part"] == right["part"]) & (F.col("a_label") != F.col("b_label")) & once & fits)
     return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 

@@ -194,6 +194,7 @@ def brute_components(texts, width, percent):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, hot):
     if hot:  # nearly all buckets are split
         monkeypatch.setattr(near_dedup, "HOT", hot)
+        monkeypatch.setattr(near_dedup, "SHARED", 1)
         monkeypatch.setattr(near_dedup, "PARTS", 4)
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
@@ -224,6 +225,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, hot):
 def test_open_buckets_are_finished(spark, monkeypatch, hot):
     """A chain in which no member is near the bucket's first: later rounds must link it."""
     monkeypatch.setattr(near_dedup, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "SHARED", hot)
     base = [f"w{i}" for i in range(200)]
     texts, own = {0: " ".join(base)}, list(base)
     for i in range(1, 30):
