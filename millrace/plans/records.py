@@ -293,16 +293,17 @@ def frame_coverage(spark, sf_dir):
     return both.select("conv_id", "n_frames", "expected", (F.abs(F.col("n_frames") - F.col("expected")) <= 2).alias("counts_agree"), F.coalesce(whole, F.lit(False)).alias("contiguous"))
 
 
-@query("SELECT 'all' AS mode, user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY user_id UNION ALL SELECT 'skip', user_id, count(*), sum(event_id)::BIGINT FROM events WHERE event_id % 10 <> 0 GROUP BY user_id")
+@query("SELECT mode, user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events, (SELECT unnest(['torn_tail', 'strict']) AS mode) GROUP BY ALL UNION ALL SELECT 'skip', user_id, count(*), sum(event_id)::BIGINT FROM events WHERE event_id % 10 <> 0 GROUP BY user_id")
 def json_lines_modes(spark, sf_dir):
-    """The events as JSON lines, read strictly and, from a file with bad lines, by skipping them."""
+    """The events as JSON lines, read strictly, with a torn tail allowed and, from files with bad lines, by skipping them."""
     base = scratch_dir(spark)
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     sinks.json_lines(rows, f"{base}/good")
     broken = F.when(F.col("event_id") % 10 == 0, F.left("line", F.char_length("line") - 1)).otherwise(F.col("line"))
     rows.select("event_id", F.to_json(F.struct("event_id", "user_id")).alias("line")).select(broken.alias("value")).write.text(f"{base}/bad")
     out = None
-    for mode, found in (("all", readers.json_lines(spark, f"{base}/good", "event_id bigint, user_id bigint", "torn_tail")), ("skip", readers.json_lines(spark, f"{base}/bad", "event_id bigint, user_id bigint", "skip"))):
+    for mode, folder in (("torn_tail", "good"), ("strict", "good"), ("skip", "bad")):
+        found = readers.json_lines(spark, f"{base}/{folder}", "event_id bigint, user_id bigint", mode)
         one = found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).select(F.lit(mode).alias("mode"), "user_id", "n", "ids")
         out = one if out is None else out.unionByName(one)
     return out
@@ -343,3 +344,50 @@ def trades_readback(spark, sf_dir):
     hourly = B.bars(read, "1h", ["symbol"], ts="ts_recv")
     sinks.parquet(hourly.select(F.col("bar_ts").alias("ts_event"), "symbol", *LEGS, "volume"), f"{base}/bars")
     return readers.bars(spark, f"{base}/bars").withColumn("ts_event", F.col("ts_event").cast("timestamp_ntz"))
+
+
+@query("""
+SELECT source, source NOT LIKE '%3' AS readable, CASE WHEN source NOT LIKE '%3' THEN n ELSE -1 END AS n, CASE WHEN source NOT LIKE '%3' THEN first_doc ELSE -1 END AS first_doc FROM (SELECT source, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY source)
+""")
+def json_documents(spark, sf_dir):
+    """One JSON document a folder; those cut short give nulls."""
+    path = f"{scratch_dir(spark)}/documents"
+    facts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    whole = F.concat(F.lit("{\n  "), F.substr(F.to_json(F.struct("n", "first_doc")), F.lit(2)))
+    facts.select("source", F.when(F.endswith("source", F.lit("3")), F.left(whole, F.char_length(whole) - 3)).otherwise(whole).alias("value")).write.partitionBy("source").text(path)
+    found = readers.json_document(spark, path, "source string, n bigint, first_doc bigint")
+    return found.select("source", F.col("n").isNotNull().alias("readable"), F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("first_doc", F.lit(-1)).alias("first_doc"))
+
+
+@query("SELECT source, 1::BIGINT AS n_files FROM (SELECT DISTINCT source FROM documents WHERE source NOT LIKE '%1')")
+def media_listing(spark, sf_dir):
+    """Files below a folder, one a source, but for those in the folder of outputs."""
+    path = scratch_dir(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    for folder, part in (("raw", ~F.endswith("source", F.lit("1"))), ("derived", F.endswith("source", F.lit("1")))):
+        docs.where(part).repartition("source").write.partitionBy("source").parquet(f"{path}/{folder}")
+    found = readers.media_files(spark, path, ("parquet",))
+    return found.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(F.count("*").alias("n_files"))
+
+
+_GREY_SQL = "list_transform(embedding, lambda x: least(greatest(floor((x::DOUBLE + 3) * 40), 0), 255)::INTEGER)"
+
+
+@query(f"""
+WITH g AS (SELECT vec_id, {_GREY_SQL} AS q FROM embeddings WHERE vec_id % 9 <> 0)
+SELECT vec_id, array_to_string([printf('%02x', list_sum([CASE WHEN q[r * 8 + c + 1] > q[r * 8 + c + 2] THEN (128 >> c) ELSE 0 END for c in range(0, 7)])::INTEGER) for r in range(0, 8)], '') AS dhash_hex,
+  (list_sum([q[r * 8 + c + 1] * CASE WHEN c = 7 THEN 8 ELSE 4 END for r in range(0, 8) for c in range(0, 8)]) * 2.5)::DOUBLE AS fine_sum FROM g
+UNION ALL SELECT vec_id, NULL, NULL FROM embeddings WHERE vec_id % 9 = 0
+""".replace("list_sum([q[r * 8 + c + 1] * CASE WHEN c = 7 THEN 8 ELSE 4 END for r in range(0, 8) for c in range(0, 8)])", "list_sum(list_transform(range(0, 64), lambda i: q[i + 1] * CASE WHEN i % 8 = 7 THEN 8 ELSE 4 END))"))
+def frame_hashes(spark, sf_dir):
+    """Embeddings drawn as small grey frames (40 x 36), then hashed and reduced to their grid; some have no pixels."""
+    from millrace.operators.frames import hashed
+
+    grey = F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 3) * 40), F.lit(0)), F.lit(255)))
+    cell = lambda q, i: F.get(q, (F.floor(i / 180) * 8 + F.least(F.floor(i % 36 / 4), F.lit(7))).cast("int"))
+    text = lambda q: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1439)), lambda i: F.lpad(F.hex(cell(q, i)), 2, "0")), "")
+    drawn = F.get(F.transform(F.array(grey), text), F.lit(0))  # the lambda has the grey values worked out once
+    frames = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 9 != 0, F.unhex(drawn)).alias("px"))
+    found = hashed(frames, "px", 40, 36)
+    total = F.aggregate("fine", F.lit(0.0), lambda s, x: s + x)
+    return found.select("vec_id", "dhash_hex", total.alias("fine_sum"))

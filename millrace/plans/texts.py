@@ -211,20 +211,23 @@ def topk_longest(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(15)
 
 
-@query("""
-WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents),
-t AS (SELECT doc_id, trim(string_split(text, chr(10))[1], ' ') AS title FROM documents),
-r AS (SELECT DISTINCT t.title, l.doc_id, l.line FROM l JOIN t USING (doc_id) WHERE l.line <> '' AND t.title <> '' AND upper(left(t.title, 1)) = left(t.title, 1)),
+#: Documents under a heading: most have their source's name in capitals, some one that is no heading.
+_HEADED_SQL = "(SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'notes of ' || source ELSE upper(source) END || chr(10) || text AS text FROM documents)"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11))), lambda x: x <> '') AS lines FROM {_HEADED_SQL}),
+r AS (SELECT DISTINCT lines[1] AS title, doc_id, unnest(lines) AS line FROM d WHERE regexp_matches(lines[1], '\\p{{Lu}}') AND NOT regexp_matches(lines[1], '[\\p{{Ll}}\\p{{Lt}}]')),
 m AS (SELECT title, count(DISTINCT doc_id) AS n_members FROM r GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
 s AS (SELECT title, line, count(*) AS c FROM r GROUP BY ALL)
-SELECT sha256(title) AS title_sha, n_members, count(*) FILTER (c = n_members) AS n_core, count(*) FILTER (c < n_members) AS n_varying FROM s JOIN m USING (title) GROUP BY title, n_members
+SELECT title, n_members, count(*) FILTER (c = n_members) AS n_core, count(*) FILTER (c < n_members) AS n_varying FROM s JOIN m USING (title) GROUP BY title, n_members
 """)
 def template_line_stability(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", F.split("text", "\n", -1).alias("lines"))
-    rows = docs.select("doc_id", F.trim(F.get("lines", F.lit(0))).alias("title"), F.explode("lines").alias("line")).withColumn("line", F.trim("line"))
-    rows = rows.where((F.col("line") != "") & (F.col("title") != "") & (F.upper(F.left("title", F.lit(1))) == F.left("title", F.lit(1))))
-    found = stats.stable_lines(rows, "title", "doc_id", "line", 3)
-    return found.select(F.sha2("title", 256).alias("title_sha"), "n_members", "n_core", "n_varying")
+    head = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("notes of "), "source")).otherwise(F.upper("source"))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(head, F.lit("\n"), "text").alias("text"))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.trim(x, F.lit(quality.BLANKS)))
+    rows = docs.select("doc_id", X.first_line("text").alias("title"), F.explode(lines).alias("line"))
+    return stats.stable_lines(rows.where(X.title_shaped("title") & (F.col("line") != "")), "title", "doc_id", "line", 3)
 
 
 _LADDER_SQL = """
