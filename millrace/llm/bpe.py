@@ -39,7 +39,8 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,9 @@ from pyspark.sql import DataFrame
 
 from .common import with_columns
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: Bytes of one text that are cut and encoded at a time.
 SEGMENT = 1 << 20
 #: Characters of a run of blanks beyond which its fragment is encoded by the tokenizers library.
@@ -115,16 +119,13 @@ class Bpe:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
         if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             raise ValueError("only byte-level BPE without normaliser and prefix space")
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         alphabet = byte_alphabet()
         added = {x["content"].encode(): x["id"] for x in spec["added_tokens"]}
         tokens = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t.encode() not in added}
@@ -147,6 +148,16 @@ class Bpe:
         self.plain = plain
         self.remembered: dict[bytes, bytes] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The tokenizers library's encoder, loaded only where a fragment needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def cuts(self, data: bytes) -> np.ndarray:
         """All certain cuts of UTF-8 ``data``: offsets above 0 and below its length."""
         b = np.frombuffer(data, np.uint8)
