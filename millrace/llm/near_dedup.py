@@ -131,16 +131,18 @@ def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, m: int)
     able = reps.where(F.col("n_shingles") >= least)
     crowded = _crowded(able, m)
     if crowded is None:
-        each = F.array(*[F.struct(k.alias("key"), F.lit(0).alias("part")) for k, _, _ in keys])
+        entries = able.select("id", F.col("n_shingles").cast("int").alias("n"), F.explode(F.array(*[k for k, _, _ in keys])).alias("key"))
+        bucket, part = ["key"], F.lit(0).alias("part")
     else:
         able = able.join(crowded, "id", "left")
         own = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(PARTS)).cast("int") + 1
         both = lambda i, j: F.coalesce(F.array_contains("hot", F.lit(i)) & F.array_contains("hot", F.lit(j)), F.lit(False))
         each = F.array(*[F.struct(k.alias("key"), F.when(both(i, j), own).otherwise(0).alias("part")) for k, i, j in keys])
-    entries = able.select("id", F.col("n_shingles").cast("int").alias("n"), F.explode(each).alias("e")).select("id", "n", "e.key", "e.part")
-    w = Window.partitionBy("key", "part").orderBy("id")
+        entries = able.select("id", F.col("n_shingles").cast("int").alias("n"), F.explode(each).alias("e")).select("id", "n", "e.key", "e.part")
+        bucket, part = ["key", "part"], F.col("part")
+    w = Window.partitionBy(*bucket).orderBy("id")
     members = stored(
-        entries.select("key", "part", "id", "n", F.first("id").over(w).alias("hub"), F.first("n").over(w).alias("hub_n"), F.lead("id").over(w).alias("next"))
+        entries.select("key", part, "id", "n", F.first("id").over(w).alias("hub"), F.first("n").over(w).alias("hub_n"), F.lead("id").over(w).alias("next"))
         .where("id <> hub or next is not null or part > 0")
         .select("key", "part", "id", "n", "hub", "hub_n")
     )
