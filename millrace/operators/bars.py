@@ -135,7 +135,7 @@ def moving_sums(frame: DataFrame, by: Sequence[str], key: str, value: str, width
 
 def trade_statistics(trades: DataFrame, by: Sequence[str], r: str, order: Sequence[str]) -> DataFrame:
     """n, wins, total R and the deepest fall of running R below its highest value so far (start included)."""
-    run = scans.running(scans.running(trades, by, order, r, "_run"), by, order, "_run", "_peak", "max")
+    run = scans.running(scans.running(scans.placed(trades, by, order), by, order, r, "_run"), by, order, "_run", "_peak", "max")
     run = run.withColumn("_peak", F.greatest("_peak", F.lit(0).cast(run.schema["_run"].dataType)))
     return run.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(F.col(r) > 0).alias("wins"), F.sum(r).alias("total_r"), F.max(F.col("_peak") - F.col("_run")).alias("max_drawdown")

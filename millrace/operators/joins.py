@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import alias_pattern
-from millrace.operators.scans import FINE
+from millrace.operators.scans import magnitude_bin
 
 
 def k_of_n(left: DataFrame, right: DataFrame, legs: Sequence[str], k: int, left_key: str, right_key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -61,7 +61,7 @@ def nearest(left: DataFrame, right: DataFrame, left_value: str, right_value: str
     last value before it and the first after it, from one pass over the bins' own
     smallest and largest values.
     """
-    slot = (lambda v: F.floor(F.col(v) / bin_width)) if bin_width else (lambda v: F.floor(F.signum(F.col(v).cast("double")) * F.log1p(F.abs(F.col(v).cast("double"))) * FINE))
+    slot = (lambda v: F.floor(F.col(v) / bin_width)) if bin_width else (lambda v: magnitude_bin(F.col(v), 256))
     marks = right.where(F.col(right_value).isNotNull()).select(*by, slot(right_value).alias("_bin"), F.col(right_value).alias("_v")).distinct()
     rows = left.select(*by, slot(left_value).alias("_bin"), F.col(left_value).alias("_v"), F.struct(*left.columns).alias("_row"))
     bins = marks.groupBy(*by, "_bin").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))

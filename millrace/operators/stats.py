@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.scans import magnitude_bin
+
 
 def order_statistics(frame: DataFrame, by: Sequence[str], value: str, picks: dict[str, str]) -> DataFrame:
     """``by``, n, and for each name the value at a place of the sorted values.
@@ -18,7 +20,7 @@ def order_statistics(frame: DataFrame, by: Sequence[str], value: str, picks: dic
     groups puts all values in one task, and no list is collected.
     """
     v = F.col(value)
-    magnitude = F.floor(F.signum(v.cast("double")) * F.log1p(F.abs(v.cast("double"))) * 64)
+    magnitude = magnitude_bin(v, 64)
     counts = frame.where(v.isNotNull()).groupBy(*by, magnitude.alias("_bin"), v.alias("_v")).agg(F.count("*").alias("_c"))
     bins = counts.groupBy(*by, "_bin").agg(F.sum("_c").alias("_m"))
     before = F.sum("_m").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))

@@ -41,6 +41,20 @@ def test_scans_of_texts_and_times(spark):
     same(scans.previous(times, [], ["ts"], {"id": "p"}), times.withColumn("p", F.lag("id").over(Window.orderBy("ts"))))
 
 
+def test_nan_and_common_prefixes(spark):
+    values = [-3.0, 1.0, 5.0, float("inf"), float("nan"), None, float("-inf"), float("nan")]
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate(values)], "x double, i int")
+    w = Window.orderBy("x", "i")
+    same(scans.numbered(rows, [], ["x", "i"]).select("i", "_i"), rows.select("i", (F.row_number().over(w) - 1).alias("_i")))
+    same(scans.previous(rows, [], ["x", "i"], {"i": "p"}), rows.withColumn("p", F.lag("i").over(w)))
+    names = spark.range(1000).select(F.format_string("live_%05d", "id").alias("key"), F.lit("g").alias("g"))
+    where = scans.placed(names, ["g"], ["key"])
+    assert where.select("_bin").distinct().count() > 1 and where.groupBy("_bin").count().agg(F.max("count")).first()[0] < 700
+    tied = scans.placed(spark.range(1000).select(F.lit("g").alias("g"), F.lit(1).alias("at")), ["g"], ["at"])
+    assert tied.select("_bin").distinct().count() > 1
+    assert sorted(r._i for r in scans.numbered(tied, ["g"], ["at"]).collect()) == list(range(1000))
+
+
 def test_no_row_is_ranked_in_a_window_of_one_key(rows):
     """Windows by the key alone see one row per bin; rows are only in windows by key and bin."""
     for found in (scans.numbered(rows, ["k"], ["at", "id"]), folds.cut_at_gaps(rows, ["k"], ["at", "id"], "at", 50), sampling.stride_sample(rows, ["k"], ["id"], 5)):
