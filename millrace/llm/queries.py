@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.readers import spread, table
 
-from . import bpe, exact_topk, language_id, licences, near_dedup, ogg, packing, quality_fm, reply_trees, warc
+from . import bpe, exact_topk, language_id, licences, near_dedup, ogg, packing, quality_fm, reply_trees, resampling, warc
 
 
 def _crc(column: str, modulus: int):
@@ -87,11 +87,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary())
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ogg_media, op2_reply_trees, op3_near_dedup, op4_language_id, op5_bpe, op6_exact_topk, op7_licence_scan, op8_warc,
-        op9_quality_fm, op10_packing,
+        op9_quality_fm, op10_packing, op13_importance_resampling,
     )
 }
 
@@ -176,3 +180,40 @@ FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND k.at = 1
 
 
 ORACLE_SQL["op7_licence_scan"] = _licence_sql()
+
+
+def crc32_sql(value: str, table: str = "crc.t") -> str:
+    """CRC-32 of a text's UTF-8 bytes over the table of ``CRC_SQL``."""
+    data = f"list_transform(range(0, strlen({value})), lambda i: ('0x' || substr(hex(encode({value})), 2 * i + 1, 2))::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {data}), lambda c, b: xor(c >> 8, {table}[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT"
+
+
+#: One row with the remainders of all bytes, from the polynomial.
+_STEP = "CASE WHEN {0} % 2 = 1 THEN xor({0} >> 1, 3988292384::UBIGINT) ELSE {0} >> 1 END"
+CRC_SQL = f"SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT for k in range(8)]), lambda c, k: {_STEP.format('c')})) AS t"
+
+ORACLE_SQL["op13_importance_resampling"] = f"""
+WITH crc AS ({CRC_SQL}),
+w AS (
+  SELECT 0 AS side, doc_id, row_number() OVER () AS uid, text FROM documents UNION ALL SELECT 1, NULL, row_number() OVER (), text FROM benchmark),
+v AS (
+  SELECT side, doc_id, uid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM w),
+f AS (
+  SELECT side, uid, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM v),
+d AS (SELECT DISTINCT feature FROM f),
+b AS (SELECT feature, {crc32_sql("feature")} % 10000 AS bucket FROM d, crc),
+c AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN b USING (feature) GROUP BY 1),
+n AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM c),
+g AS (
+  SELECT bucket, floor(1000 * ln(((c.t + 1)::DOUBLE * (n.s + 10000)) / ((c.s + 1)::DOUBLE * (n.t + 10000))))::BIGINT AS gain FROM c, n),
+m AS (SELECT uid, count(*) AS n_features, sum(gain)::BIGINT AS gain FROM f JOIN b USING (feature) JOIN g USING (bucket) WHERE side = 0 GROUP BY 1),
+x AS (
+  SELECT doc_id, uid, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+    coalesce((gain - (gain % n_features + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM v LEFT JOIN m USING (uid) WHERE side = 0),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM x),
+z AS (SELECT uid, row_number() OVER (ORDER BY score DESC, doc_id, uid) AS rank, count(*) OVER () AS n FROM y WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM y LEFT JOIN z USING (uid)
+"""
