@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.readers import spread, table
 
-from . import bpe, exact_topk, language_id, licences, near_dedup, ogg, packing, quality_fm, reply_trees, resampling, warc
+from . import bpe, exact_topk, language_id, licences, merkle, near_dedup, ogg, packing, quality_fm, reply_trees, resampling, warc
 
 
 def _crc(column: str, modulus: int):
@@ -87,6 +87,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary())
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "source", "lang", "n_chars")
+    return merkle.proofs(docs, tampered=_crc("doc_id", 7) == 0, changed={"n_chars": F.col("n_chars") + 1})
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -95,7 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ogg_media, op2_reply_trees, op3_near_dedup, op4_language_id, op5_bpe, op6_exact_topk, op7_licence_scan, op8_warc,
-        op9_quality_fm, op10_packing, op13_importance_resampling,
+        op9_quality_fm, op10_packing, op11_merkle_manifest, op13_importance_resampling,
     )
 }
 
@@ -192,6 +197,37 @@ def crc32_sql(value: str, table: str = "crc.t") -> str:
 _STEP = "CASE WHEN {0} % 2 = 1 THEN xor({0} >> 1, 3988292384::UBIGINT) ELSE {0} >> 1 END"
 CRC_SQL = f"SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT for k in range(8)]), lambda c, k: {_STEP.format('c')})) AS t"
 
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = " || ".join(_FIELD.format(f) for f in merkle.FIELDS)
+_UP = "list_transform(range(0, (len(h) + 1) // 2), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], '')))"
+_SIBLING = "CASE WHEN h[xor({0} >> level, 1) + 1] IS NULL THEN '-' ELSE (CASE WHEN ({0} >> level) % 2 = 1 THEN 'L' ELSE 'R' END) || h[xor({0} >> level, 1) + 1] END"
+
+ORACLE_SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE crc AS ({CRC_SQL}),
+d AS (SELECT row_number() OVER () AS uid, * FROM documents),
+l AS (
+  SELECT uid, doc_id, lang, sha256({_LEAF}) AS leaf, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 7 = 0 THEN sha256({_LEAF.replace("n_chars", "(n_chars + 1)")}) END AS changed
+  FROM d, crc),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, uid) - 1 AS pos FROM l),
+t AS (
+  SELECT lang, list(leaf ORDER BY pos) AS h, 0 AS level FROM p GROUP BY lang
+  UNION ALL SELECT lang, {_UP}, level + 1 FROM t WHERE len(h) > 1),
+g AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM t WHERE len(h) = 1),
+u AS (
+  SELECT list(subroot ORDER BY place) AS h, 0 AS level FROM g HAVING count(*) > 0
+  UNION ALL SELECT {_UP}, level + 1 FROM u WHERE len(h) > 1),
+s AS (
+  SELECT uid, level AS k, {_SIBLING.format("pos")} AS sib FROM p JOIN t ON t.lang IS NOT DISTINCT FROM p.lang AND len(h) > 1
+  UNION ALL SELECT uid, 1000 + level, {_SIBLING.format("place")} FROM p JOIN g ON g.lang IS NOT DISTINCT FROM p.lang JOIN u ON len(h) > 1),
+x AS (SELECT uid, list(sib ORDER BY k) AS sibs FROM s GROUP BY uid),
+r AS (SELECT h[1] AS root FROM u WHERE len(h) = 1),
+f AS (
+  SELECT p.doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(coalesce(sibs, []), lambda v: substr(v, 2)), '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(changed, leaf), coalesce(sibs, [])), lambda a, v: sha256(CASE WHEN v[1] = 'L' THEN substr(v, 2) || a ELSE a || substr(v, 2) END)) AS folded_root
+  FROM p JOIN g ON g.lang IS NOT DISTINCT FROM p.lang LEFT JOIN x USING (uid), r)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
 ORACLE_SQL["op13_importance_resampling"] = f"""
 WITH crc AS ({CRC_SQL}),
 w AS (
