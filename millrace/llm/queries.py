@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.readers import spread, table
 
-from . import bpe, exact_topk, language_id, licences, merkle, near_dedup, ogg, packing, quality_fm, reply_trees, resampling, warc
+from . import bpe, class_lm, exact_topk, language_id, licences, merkle, near_dedup, ogg, packing, quality_fm, reply_trees, resampling, warc
 
 
 def _crc(column: str, modulus: int):
@@ -92,6 +92,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(docs, tampered=_crc("doc_id", 7) == 0, changed={"n_chars": F.col("n_chars") + 1})
 
 
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(_crc("doc_id", 7) == 2, F.lit(False)))
+    model, counts = class_lm.fit(docs.where("not held_out"))
+    return class_lm.scored(docs, model, counts, ["doc_id", "held_out"])
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -100,7 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ogg_media, op2_reply_trees, op3_near_dedup, op4_language_id, op5_bpe, op6_exact_topk, op7_licence_scan, op8_warc,
-        op9_quality_fm, op10_packing, op11_merkle_manifest, op13_importance_resampling,
+        op9_quality_fm, op10_packing, op11_merkle_manifest, op12_class_lm, op13_importance_resampling,
     )
 }
 
