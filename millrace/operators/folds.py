@@ -1,17 +1,18 @@
 """Order-dependent operators.
 
 What depends on earlier *decisions* (an anchor, the last kept row) is folded row
-by row over sorted partitions: groups are dealt by key, sorted by Spark (with
-spill) and streamed through, so a group is never held in memory, however long.
-Where a gap alone decides (a row too far from its predecessor always begins
-anew) groups are first cut at such gaps, which also spreads a hot group.
-What only looks at neighbours stays in window functions.
+by row, in chunks that are worked on in parallel and stitched together
+(``chunks.py``), so one hot group keeps many tasks busy. Greedy groups, whose
+state is every decision before, are folded in one stream a group. What only looks
+at neighbours stays in window functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import pairwise, repeat
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,47 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators import scans
-
-Step = Callable[[Any, tuple], tuple[Any, tuple]]
-
-
-def folded(frame: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], start: Any, step: Step, added: str) -> DataFrame:
-    """``frame`` with the columns of the DDL ``added``: ``step(state, row)`` gives the next state and the row's new values.
-
-    ``row`` holds ``columns``; ``state`` begins as ``start`` in every group.
-    """
-    new = T._parse_datatype_string(added)
-    schema = T.StructType([*frame.schema.fields, *new.fields])
-    by, columns = list(by), list(columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        fields = list(to_arrow_schema(new))
-        group, state = object(), start
-        for batch in batches:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True)) if by else [()] * batch.num_rows
-            rows = zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
-            out = []
-            for key, row in zip(keys, rows, strict=True):
-                if key != group:
-                    group, state = key, start
-                state, values = step(state, row)
-                out.append(values)
-            made = list(zip(*out, strict=True)) if out else [[] for _ in fields]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(v, f.type) for v, f in zip(made, fields, strict=True))], names=[*batch.schema.names, *(f.name for f in fields)]
-            )
-
-    dealt = frame.repartition(*by) if by else frame.coalesce(1)
-    return dealt.sortWithinPartitions(*by, *order).mapInArrow(run, schema)
-
-
-def cut_at_gaps(frame: DataFrame, by: Sequence[str], order: Sequence[str], position: str, gap: float, name: str = "segment") -> DataFrame:
-    """Numbers the stretches of each group between which the position jumps by ``gap`` or more."""
-    before = scans.previous(frame, by, order, {position: "_before"})
-    jump = F.when(F.col(position) - F.col("_before") >= gap, 1).otherwise(0)
-    return scans.running(before, by, order, jump, name).drop("_before")
+from millrace.operators.chunks import folded
 
 
 def anchored_runs(frame: DataFrame, by: Sequence[str], order: Sequence[str], value: str, limit: float) -> DataFrame:
@@ -68,14 +29,13 @@ def anchored_runs(frame: DataFrame, by: Sequence[str], order: Sequence[str], val
     Adds run (from 0) and starts.
     """
 
-    def step(state, row):
-        run, anchor = state
+    def step(anchor, row):
         x = row[0]
         if anchor is None or (x is not None and abs(x - anchor) > limit):
-            return (run + 1, x), (run + 1, True)
-        return state, (run, False)
+            return x, (True,)
+        return anchor, (False,)
 
-    return folded(frame, by, order, [value], (-1, None), step, "run bigint, starts boolean")
+    return folded(frame, by, order, [value], None, step, "starts boolean", ("starts", "run"))
 
 
 def clustered_runs(frame: DataFrame, by: Sequence[str], order: Sequence[str], dhash: str, cells: str, hamming_max: int = 4, delta: float = 6.0, share_max: float = 0.005) -> DataFrame:
@@ -87,18 +47,17 @@ def clustered_runs(frame: DataFrame, by: Sequence[str], order: Sequence[str], dh
     share (of changed cells against the anchor).
     """
 
-    def step(state, row):
-        run, anchor = state
+    def step(anchor, row):
         h, c = row
         if anchor is None:
-            return (0, row), (0, True, None, 0.0)
+            return row, (True, None, 0.0)
         share = sum(abs(x - y) > delta for x, y in zip(c, anchor[1], strict=True)) / max(1, len(c))
         reason = "dhash" if ((h ^ anchor[0]) & (1 << 64) - 1).bit_count() > hamming_max else "fine" if share > share_max else None
         if reason:
-            return (run + 1, row), (run + 1, True, reason, 0.0)
-        return state, (run, False, None, share)
+            return row, (True, reason, 0.0)
+        return anchor, (False, None, share)
 
-    return folded(frame, by, order, [dhash, cells], (-1, None), step, "run bigint, starts boolean, reason string, share double")
+    return folded(frame, by, order, [dhash, cells], None, step, "starts boolean, reason string, share double", ("starts", "run"))
 
 
 def run_spans(runs: DataFrame, by: Sequence[str], position: str) -> DataFrame:
@@ -119,59 +78,79 @@ def drift_kept(frame: DataFrame, by: Sequence[str], order: Sequence[str], positi
 
 
 def restarting_windows(frame: DataFrame, by: Sequence[str], order: Sequence[str], position: str, width: float) -> DataFrame:
-    """Adds window_start: a row ``width`` or more after the window's first row begins a new window there.
-
-    A row ``width`` after its predecessor begins one whatever came before, so
-    groups are cut there and folded in parts.
-    """
+    """Adds window_start: a row ``width`` or more after the window's first row begins a new window there."""
 
     def step(state, row):
         at = row[0]
         state = at if state is None or at - state >= width else state
         return state, (state,)
 
-    kind = frame.schema[position].dataType.simpleString()
-    parts = cut_at_gaps(frame, by, order, position, width, "_segment")
-    return folded(parts, [*by, "_segment"], order, [position], None, step, f"window_start {kind}").drop("_segment")
+    return folded(frame, by, order, [position], None, step, f"window_start {frame.schema[position].dataType.simpleString()}")
 
 
 def thinned(frame: DataFrame, by: Sequence[str], order: Sequence[str], position: str, priority: str, min_gap: float = 6) -> DataFrame:
     """The rows that survive thinning: a row closer than ``min_gap`` to the last selected is dropped, unless it has priority and the last one has not: then it takes its place.
 
-    A replaced row is only known later, so the fold marks when a row replaces its
-    predecessor among the selected, and a look ahead drops that one.
+    A replaced row is only known later, so a row that replaces one names its place, and
+    those named are taken out.
     """
 
     def step(state, row):
-        at, first = row
+        at, first, place = row
         if state is None or at - state[0] >= min_gap:
-            return row, ("new",)
+            return row, (place, None)
         if first and not state[1]:
-            return row, ("replace",)
-        return state, (None,)
+            return row, (place, state[2])
+        return state, (None, None)
 
-    parts = cut_at_gaps(frame, by, order, position, min_gap, "_segment")
-    marked = folded(parts, [*by, "_segment"], order, [position, priority], None, step, "_mark string").where("_mark is not null")
-    w = Window.partitionBy(*by, "_segment").orderBy(*order)
-    after = marked.withColumn("_after", F.lead("_mark").over(w))
-    return after.where("_after is null or _after <> 'replace'").drop("_mark", "_after", "_segment")
+    marked = folded(frame, by, order, [position, priority], None, step, "_place bigint, _instead_of bigint", place=True).where("_place is not null")
+    gone = marked.where("_instead_of is not null").select(F.col("_instead_of").alias("_place"))
+    return marked.join(gone, "_place", "left_anti").select(frame.columns)
 
 
 def greedy_groups(frame: DataFrame, by: Sequence[str], order: Sequence[str], dhash: str, hamming_max: int = 4) -> DataFrame:
-    """Adds recur_group: the first earlier group whose anchor (its first row) is within ``hamming_max`` bits, else a new one.
+    """Adds recur_group: the first earlier group whose anchor (its first row) is within ``hamming_max`` bits, else a new one. A null hash has none.
 
-    The state is the list of anchors of one group of rows: it grows with the
-    number of distinct looks, not with rows.
+    Equal hashes fall into the same group as their first one, so only first ones
+    are folded, a stream per group of rows. Anchors are indexed by bands: of
+    ``hamming_max`` + 1 bands of the 64 bits two hashes that close have at least one
+    in common, so only anchors of a common band are tried. The index grows with
+    the number of anchors, not with rows.
     """
+    by = list(by)
+    edges = [64 * i // (hamming_max + 1) for i in range(hamming_max + 2)]
+    bands = [(i, lo, (1 << hi - lo) - 1) for i, (lo, hi) in enumerate(pairwise(edges))]
 
-    def step(state, row):
-        h = row[0]
-        for k, anchor in enumerate(state):
-            if ((h ^ anchor) & (1 << 64) - 1).bit_count() <= hamming_max:
-                return state, (k,)
-        return (*state, h), (len(state),)
-
-    return folded(frame, by, order, [dhash], (), step, "recur_group bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, index, n = object(), {}, 0
+        for batch in batches:
+            found = []
+            keys = zip(*[batch.column(c).to_pylist() for c in by], strict=True) if by else repeat(())
+            for key, h in zip(keys, batch.column(dhash).to_pylist(), strict=False):
+                if key != group:
+                    group, index, n = key, {}, 0
+                own = [(i, h >> lo & mask) for i, lo, mask in bands]
+                best = n
+                for band in own:
+                    for k, anchor in index.get(band, ()):  # in order of their numbers
+                        if k >= best:
+                            break
+                        if ((h ^ anchor) & (1 << 64) - 1).bit_count() <= hamming_max:
+                            best = k
+                            break
+                if best == n:
+                    n += 1
+                    for band in own:
+                        index.setdefault(band, []).append((best, h))
+                found.append(best)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*by, dhash]), pa.array(found, pa.int64())], names=[*by, dhash, "recur_group"])
+
+    firsts = frame.where(F.col(dhash).isNotNull()).groupBy(*by, dhash).agg(F.min(F.struct(*order)).alias("_first"))
+    dealt = (firsts.repartition(*by) if by else firsts.coalesce(1)).sortWithinPartitions(*by, "_first").select(*by, dhash)
+    schema = T.StructType([*frame.select(*by, dhash).schema.fields, T.StructField("recur_group", T.LongType())])
+    groups = dealt.mapInArrow(run, schema).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, dhash])], "recur_group")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, dhash])])
+    return frame.join(groups, same, "left").select(*frame.columns, "recur_group")
 
 
 def gap_points(picks: DataFrame, by: Sequence[str], position: str, end: str, every: int) -> DataFrame:

@@ -73,9 +73,8 @@ def threshold_sweep(spark, sf_dir):
         x, limit = row
         return (state, (False,)) if state is not None and abs(x - state) <= limit else (x, (True,))
 
-    marked = folds.folded(rows, ["threshold", "user_id"], ["ts", "event_id"], ["value", "threshold"], None, step, "starts boolean")
-    w = Window.partitionBy("threshold", "user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    runs = marked.withColumn("run", F.sum(F.col("starts").cast("int")).over(w)).groupBy("threshold", "user_id", "run").agg(F.count("*").alias("n"))
+    marked = folds.folded(rows, ["threshold", "user_id"], ["ts", "event_id"], ["value", "threshold"], None, step, "starts boolean", ("starts", "run"))
+    runs = marked.groupBy("threshold", "user_id", "run").agg(F.count("*").alias("n"))
     places = stats.order_statistics(runs, ["threshold"], "n", {"median_rows": stats.nearest_rank(0.5)}).drop("n")
     sums = runs.groupBy("threshold").agg(F.count("*").alias("n_states"), F.count_if(F.col("n") == 1).alias("n_single"))
     return sums.join(places, "threshold").withColumn("extrapolated", F.col("n_states") * F.lit(8.0))
