@@ -252,11 +252,11 @@ def exchanged(neighbours: DataFrame, classes: np.ndarray, free: int, rounds: int
     return classes, table, course
 
 
-def transitions(table: np.ndarray) -> np.ndarray:
-    """log10 P(class | class before), interpolated with the class's own frequency."""
-    own = (table.sum(0) + 1) / (table.sum() + len(table))
+def transitions(table: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before), interpolated with the class's own frequency; ``alive`` says which classes have words."""
+    own = (table.sum(0) + alive) / (table.sum() + alive.sum())
     kinds = np.maximum((table > 0).sum(1, keepdims=True), 1)
-    return np.log10((table + kinds * own) / (table.sum(1, keepdims=True) + kinds))
+    return np.log10(np.maximum((table + kinds * own) / (table.sum(1, keepdims=True) + kinds), 1e-300))
 
 
 def fit(docs: DataFrame, text: str = "text", classes: int = CLASSES, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
@@ -285,8 +285,10 @@ def fit(docs: DataFrame, text: str = "text", classes: int = CLASSES, rounds: int
     empty = F.array().cast("array<struct<w: int, n: bigint>>")
     both = side("a", "b", "after").join(side("b", "a", "before"), "word", "full").select("word", *[F.coalesce(c, empty).alias(c) for c in ("after", "before")])
     found, table, _ = exchanged(stored(both), start, free, rounds)
-    model.classes, model.follow = found, transitions(table)
     mass = np.bincount(found, model.counts, free + 2)
+    alive = mass > 0
+    alive[free] = True  # there is always an unseen word
+    model.classes, model.follow = found, transitions(table, alive)
     model.within = np.log10(np.maximum(model.counts, 1) / np.maximum(mass[found], 1))
     model.within[size] = 0.0
     return model, counts
