@@ -57,16 +57,14 @@ def test_nan_and_common_prefixes(spark):
 
 def test_no_row_is_ranked_in_a_window_of_one_key(rows):
     """Windows by the key alone see one row per bin; rows are only in windows by key and bin."""
-    for found in (scans.numbered(rows, ["k"], ["at", "id"]), folds.cut_at_gaps(rows, ["k"], ["at", "id"], "at", 50), sampling.stride_sample(rows, ["k"], ["id"], 5)):
+    for found in (scans.numbered(rows, ["k"], ["at", "id"]), sampling.stride_sample(rows, ["k"], ["id"], 5)):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         windows = [line for line in plan.splitlines() if "Window [" in line]
         assert windows and all("_bin" in line or "_part" in line for line in windows)
 
 
-def test_gaps_and_drawdown_of_one_key(spark):
-    rows = spark.createDataFrame([("k", i * 3 + (400 if i > 60 else 0), (-1) ** i * i) for i in range(120)], "k string, at bigint, r bigint")
-    cut = folds.cut_at_gaps(rows, ["k"], ["at"], "at", 50).groupBy("segment").count().collect()
-    assert sorted(r["count"] for r in cut) == [59, 61]
+def test_drawdown_of_one_key(spark):
+    rows = spark.createDataFrame([("k", i * 3, (-1) ** i * i) for i in range(120)], "k string, at bigint, r bigint")
     run, peak, deepest = 0, 0, 0
     for i in range(120):
         run += (-1) ** i * i
