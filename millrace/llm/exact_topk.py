@@ -21,9 +21,10 @@ Python's integers that certainly holds them.
 Defined cases: vectors that are null, empty, or hold null or non-finite
 components, and rows with a null key, take no part; a query meets the vectors of
 its own length, with any key but its own; ties go to the smaller key; with fewer
-than k such rows all are returned; repeated rows are repeated candidates. A
-component beyond a long once scaled, and a returned score beyond a long, fail
-with an overflow error.
+than k such rows all are returned; repeated rows are repeated candidates. Rows of
+one key that ask are queries of their own, each with its own ranks; equal ones
+have equal results. A component of 2**63 or more once scaled, and a returned score
+beyond a long, fail with an error.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from .common import stored
 
 #: Components of a shard at most; and how many each must have before shards are made for the sake of parallelism.
 MOST, LEAST = 1 << 22, 1 << 18
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+FOUND = "ask bigint, query_id bigint, vec_id bigint, score bigint"
 
 
 def exact_type(vectors: np.ndarray, weights: np.ndarray) -> type:
@@ -134,57 +135,58 @@ def _search(k: int):
                     raise OverflowError("an inner product is beyond a long")
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.repeat(part.column("ask").to_numpy(), [len(x) for x, _ in found])),
                         pa.array(np.repeat(ids, [len(x) for x, _ in found])),
                         pa.array(np.concatenate([x for x, _ in found])),
                         pa.array(np.array(scores, np.int64)),
                     ],
-                    names=["query_id", "vec_id", "score"],
+                    names=["ask", "query_id", "vec_id", "score"],
                 )
 
     return run
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """id, v: floor(scale * component), of the rows that take part."""
+    """id, v: floor(scale * component), of the rows that take part; fails where that is no long."""
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x")).where("id is not null and x is not null")
+    floor = lambda c: F.when(F.abs(c * scale) < float(1 << 63), F.floor(c * scale)).otherwise(F.raise_error(F.lit("a scaled component is beyond a long")).cast("bigint"))
     fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return rows.where(fine & (F.size("x") > 0)).select("id", F.transform("x", lambda c: F.floor(c * scale).cast("bigint")).alias("v"))
+    return rows.where(fine & (F.size("x") > 0)).select("id", F.transform("x", floor).alias("v"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of every query. ``is_query`` is a condition on ``id``."""
     spark = vectors.sparkSession
-    rows = stored(quantised(vectors, key, vector, scale)).withColumn("dims", F.size("v"))
+    rows = stored(quantised(vectors, key, vector, scale).withColumn("number", F.monotonically_increasing_id())).withColumn("dims", F.size("v"))
     # Shards of each length. D lengths take D * D / 2 components at least, so this table is small beside any vectors.
     spread = F.least(F.ceil(F.col("n") * F.col("dims") / LEAST), F.lit(spark.sparkContext.defaultParallelism))
     shards = F.greatest(F.ceil(F.col("n") * F.col("dims") / MOST), spread, F.lit(1)).cast("int")
     sizes = rows.groupBy("dims").agg(F.count("*").alias("n")).select("dims", shards.alias("shards"))
     most = sizes.agg(F.max("shards")).first()[0] or 0
     rows = rows.join(F.broadcast(sizes), "dims")
-    # Rows, not keys, are dealt: a key may hold many rows. Stored rows are numbered alike whenever they are read.
-    dealt = rows.withColumn("number", F.monotonically_increasing_id())
-    dealt = dealt.select("dims", F.pmod(F.xxhash64("id", "number"), "shards").cast("int").alias("turn"), "id", "v")
-    asking = rows.where(is_query).select("dims", "shards", "id", "v")
+    # Rows, not keys, are dealt and ask: a key may hold many rows.
+    dealt = rows.select("dims", F.pmod(F.xxhash64("id", "number"), "shards").cast("int").alias("turn"), "id", "v")
+    asking = rows.where(is_query).select("dims", "shards", F.col("number").alias("ask"), "id", "v")
     best, low, high = None, 0, min(spark.sparkContext.defaultParallelism, most)
     while low < high or best is None:
         asks = asking
         if best is not None:
-            floors = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == k)
-            asks = asking.join(floors.select(F.col("query_id").alias("id"), "floor"), "id", "left")
+            floors = best.groupBy("ask").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == k)
+            asks = asking.join(floors.select("ask", "floor"), "ask", "left")
         else:
             asks = asks.withColumn("floor", F.lit(None).cast("bigint"))
         asks = asks.where(F.col("shards") > low).select(
-            "dims", F.explode(F.sequence(F.lit(low), F.least(F.col("shards"), F.lit(high)) - 1)).alias("turn"), F.lit(True).alias("asks"), "id", "v", "floor"
+            "dims", F.explode(F.sequence(F.lit(low), F.least(F.col("shards"), F.lit(high)) - 1)).alias("turn"), F.lit(True).alias("asks"), "ask", "id", "v", "floor"
         )
-        here = dealt.where(F.col("turn").between(low, high - 1)).select("dims", "turn", F.lit(False).alias("asks"), "id", "v", F.lit(None).cast("bigint").alias("floor"))
+        here = dealt.where(F.col("turn").between(low, high - 1)).select("dims", "turn", F.lit(False).alias("asks"), F.lit(0).cast("bigint").alias("ask"), "id", "v", F.lit(None).cast("bigint").alias("floor"))
         shard = (F.col("dims").cast("bigint") * (1 << 31) + F.col("turn")).alias("shard")
-        both = here.unionByName(asks).select(shard, "asks", "id", "v", "floor").repartition("shard").sortWithinPartitions("shard", "asks")
+        both = here.unionByName(asks).select(shard, "asks", "ask", "id", "v", "floor").repartition("shard").sortWithinPartitions("shard", "asks")
         found = both.mapInArrow(_search(k), FOUND)
         if best is not None:
-            found = found.unionByName(best.select("query_id", "vec_id", "score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        best = found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+            found = found.unionByName(best.select("ask", "query_id", "vec_id", "score"))
+        order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
+        best = found.select("ask", "query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
         low, high = high, min(most, 8 * high)
         if low < high:
             best = stored(best)
-    return best
+    return best.drop("ask")

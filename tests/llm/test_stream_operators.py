@@ -390,3 +390,22 @@ def test_warc_damage_is_seen():
 
 def test_stored_keeps_rows(spark):
     assert stored(spark.range(5)).count() == 5
+
+
+def test_top_k_of_repeated_query_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(0, [0.5, 1.0]), (0, [0.5, 1.0]), (0, [-1.0, 0.25])] + [(i, [float(x) for x in rng.normal(size=2)]) for i in range(1, 30) if i % 20]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = exact_topk.top_k(df, F.col("id") % 20 == 0).collect()
+    want = []
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    for i, v in (r for r in whole if r[0] % 20 == 0):
+        ranked = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in whole if j != i)[:20]
+        want += [(i, k, j, -s) for k, (s, j) in enumerate(ranked, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want) and len(got) == 60
+
+
+def test_top_k_fails_where_a_component_is_no_long(spark):
+    df = spark.createDataFrame([(0, [1 / 64]), (1, [1e30]), (2, [0.5])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        exact_topk.top_k(df, F.col("id") % 20 == 0).collect()
