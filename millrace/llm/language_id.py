@@ -2,14 +2,16 @@
 
 One character model of order four per language, fitted on a bounded sample of
 labelled documents. All models share sorted arrays of packed n-grams (a
-collision-free 64-bit hash: four code units of 16 bits), so a text is scored
-against every language with one binary search per order and position. The
+collision-free 64-bit hash: four code units of 16 bits); an n-gram lists only the
+languages that have seen it, so models grow with what was fitted and not with the
+square of the languages. A distinct n-gram of a text is looked up once per order
+for all languages. The
 chosen language has the lowest cross-entropy per character; texts whose
 cross-entropy lies too near to that of shuffled calibration texts are rejected.
 A language with few held-back texts is calibrated on those and on its fitted
 texts, each scored by the others; so every language rejects, however rare it is.
 
-Defined cases: a text that is null or has no letter gets ``und``, score 0 and
+Defined cases: a text that is null or has no letter (marks alone are none) gets ``und``, score 0 and
 ``rejected`` true; with no labelled document at all every text does. Ties go to
 the language that sorts first. Repeated rows are scored alike, each once. Extra
 columns pass through; columns named like an added one are replaced.
@@ -54,29 +56,32 @@ class Units:
 
     def __init__(self) -> None:
         self.table = _unit_table()
+        self.letter = np.array([chr(cp).isalpha() for cp in range(1 << 16)])
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed n-grams (order four) of all texts, their text's number, and letters per text.
 
-        Runs of anything but letters count as one space. Letters beyond the
-        basic plane share one unit.
+        Runs of anything but letters and marks count as one space. Letters beyond
+        the basic plane share one unit.
         """
         lengths = np.array([len(t) if t else 0 for t in texts], np.int64)
         cp = np.frombuffer("".join(t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = self.table[np.minimum(cp, 0xFFFF)]
+        basic = np.minimum(cp, 0xFFFF)
+        c, letter = self.table[basic], self.letter[basic]
         beyond = np.flatnonzero(cp >= 1 << 16)
         if len(beyond):
             found, which = np.unique(cp[beyond], return_inverse=True)
             c[beyond] = np.array([0xFFFF if chr(x).isalpha() else SPACE for x in found], np.uint64)[which]
+            letter[beyond] = c[beyond] != SPACE
         of = np.repeat(np.arange(len(texts)), lengths)
         first = np.ones(len(c), bool)
         first[1:] = of[1:] != of[:-1]
         blank = c == SPACE
         after_blank = first.copy()
         after_blank[1:] |= blank[:-1]
+        letters = np.bincount(of[letter], minlength=len(texts))
         kept = ~(blank & after_blank)
         c, of = c[kept], of[kept]
-        letters = np.bincount(of[c != SPACE], minlength=len(texts))
         starts = np.searchsorted(of, np.arange(len(texts)))
         at = np.arange(len(c)) - starts[of] if len(c) else np.zeros(0, np.int64)
         packed = c.copy()
@@ -133,18 +138,46 @@ class KneserNey:
         return own + self.back_off(n, keys >> np.uint64(16)) * self.probability(n - 1, _tail(keys, n - 1))
 
 
+class Listed:
+    """Sorted keys, each with the languages that have a value for it."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """``parts``: for each language its distinct keys and their values."""
+        keys = np.concatenate([k for k, _ in parts])
+        order = np.argsort(keys, kind="stable")  # languages stay in order within a key
+        keys = keys[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        self.keys, self.offsets = keys[starts], np.append(starts, len(keys))
+        self.who = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(k) for k, _ in parts])[order]
+        self.values = np.concatenate([v for _, v in parts]).astype(np.float32)[order]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.offsets, self.who, self.values))
+
+    def found(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of ``wanted``, languages and values, of all that is listed."""
+        at, seen = _at(self.keys, wanted)
+        rows = np.flatnonzero(seen)
+        first = self.offsets[at[rows]]
+        sizes = self.offsets[at[rows] + 1] - first
+        ends = np.cumsum(sizes)
+        flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
+        return np.repeat(rows, sizes), self.who[flat], self.values[flat]
+
+
 @dataclass
 class LanguageModels:
     """The models of all languages in shared sorted arrays.
 
-    ``grams[n]`` holds the n-grams that any language has seen and the log
-    probability that each language gives them; ``contexts[n]`` the log weights
-    of backing off. ``limits`` are the calibrated cross-entropies.
+    ``grams[n]`` lists the n-grams with the log probability that each language
+    gives those it has seen; ``contexts[n]`` the log weights of backing off.
+    ``limits`` are the calibrated cross-entropies.
     """
 
     languages: list[str]
-    grams: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    grams: dict[int, Listed] = field(default_factory=dict)
+    contexts: dict[int, Listed] = field(default_factory=dict)
     unseen: float = 0.0
     limits: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -154,34 +187,31 @@ class LanguageModels:
         if not names:
             return cls([])
         alphabet = len(np.unique(np.concatenate([_tail(k, 1) for k, _ in counts.values()]))) + 1
-        models = [KneserNey(*counts[x], alphabet) for x in names]
         out = cls(names, unseen=-float(np.log(alphabet)))
-        for n in range(ORDER, 0, -1):
-            union = np.unique(np.concatenate([m.levels[n][0] for m in models]))
-            logs = np.stack([np.log(np.maximum(m.probability(n, union), 1e-12)) for m in models], 1)
-            out.grams[n] = (union, logs.astype(np.float32))
-            ctx = np.unique(np.concatenate([m.levels[n][2] for m in models]))
-            out.contexts[n] = (ctx, np.log(np.stack([m.back_off(n, ctx) for m in models], 1)).astype(np.float32))
+        grams, contexts = {n: [] for n in range(1, ORDER + 1)}, {n: [] for n in range(1, ORDER + 1)}
+        for name in names:
+            model = KneserNey(*counts[name], alphabet)
+            for n in grams:
+                own, _, ctx, weight = model.levels[n]
+                grams[n].append((own, np.log(np.maximum(model.probability(n, own), 1e-12))))
+                contexts[n].append((ctx, np.log(weight)))
+        out.grams = {n: Listed(parts) for n, parts in grams.items()}
+        out.contexts = {n: Listed(parts) for n, parts in contexts.items()}
         return out
 
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (*self.grams.values(), *self.contexts.values()))
+
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """Log P of each position in each language: the longest known n-gram, after the weights of longer contexts."""
-        union, logs = self.grams[ORDER]
-        at, seen = _at(union, keys)
-        out, left = logs[at], np.flatnonzero(~seen)
-        out[left] = 0
-        for n in range(ORDER, 0, -1) if len(left) else ():
-            union, logs = self.grams[n]
-            own = _tail(keys[left], n)
-            at, seen = _at(union, own)
-            out[left[seen]] += logs[at[seen]]
-            left, own = left[~seen], own[~seen]
-            if not len(left):
-                return out
-            ctx, weights = self.contexts[n]
-            at, seen = _at(ctx, own >> np.uint64(16))
-            out[left[seen]] += weights[at[seen]]
-        out[left] += self.unseen  # no-op where nothing is left
+        """Log P of n-grams in each language: that of the longest one it knows, after the weights of longer contexts; from short to long."""
+        out = np.full((len(keys), len(self.languages)), self.unseen, np.float32)
+        for n in range(1, ORDER + 1):
+            own = _tail(keys, n)
+            rows, who, weights = self.contexts[n].found(own >> np.uint64(16))
+            out[rows, who] += weights
+            rows, who, logs = self.grams[n].found(own)
+            out[rows, who] = logs
         return out
 
     def entropies(self, units: Units, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,11 +221,12 @@ class LanguageModels:
         total = np.zeros((len(texts), max(1, len(self.languages))))
         if len(keys) and self.languages:
             some = np.flatnonzero(n)
-            step = 1 << 18  # positions at a time, so that memory is bounded for texts of any length
+            step = max(1 << 12, (1 << 20) // len(self.languages))  # positions at a time, so that memory is bounded for texts of any length
             for start in range(0, len(keys), step):
                 part = of[start : start + step]
                 heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                logs = self.log_probabilities(keys[start : start + step])
+                distinct, which = np.unique(keys[start : start + step], return_inverse=True)
+                logs = self.log_probabilities(distinct)[which]
                 total[part[heads]] -= np.add.reduceat(logs, heads, axis=0, dtype=np.float64)
             total[some] /= n[some, None]
         return total, n, letters
@@ -272,11 +303,12 @@ def left_out(texts: list[str], alphabet: int) -> list[tuple[float, float]]:
     return out
 
 
-def labelled_sample(docs: DataFrame, lang: str, per_language: int, key: Column, languages: int) -> DataFrame:
-    """About ``per_language`` rows of each of the ``languages`` most frequent labels at most, by a hash of ``key``: the bound of what is fitted on."""
+def labelled_sample(docs: DataFrame, lang: str, per_language: int, key: Column, languages: int, documents: int) -> DataFrame:
+    """About ``per_language`` rows of each of the ``languages`` most frequent labels at most, or an equal share of ``documents`` rows, by a hash of ``key``: the bound of what is fitted on."""
     docs = docs.where(F.col(lang).isNotNull())
     counts = docs.groupBy(F.col(lang).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(languages)
-    share = counts.select("_lang", F.least(F.lit(1.0), F.lit(per_language) / F.col("count")).alias("_share"))
+    each = F.least(F.lit(per_language), F.lit(documents) / F.count("*").over(Window.partitionBy()))  # one row a language
+    share = counts.select("_lang", F.least(F.lit(1.0), each / F.col("count")).alias("_share"))
     drawn = docs.join(F.broadcast(share), F.col(lang) == F.col("_lang"))  # as many rows as languages
     return drawn.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).drop("_lang", "_share")
 
@@ -290,20 +322,21 @@ def fit(
     strictness: float = 0.5,
     key: str = "doc_id",
     languages: int = 500,
+    documents: int = 20_000,
 ) -> LanguageModels:
     """Fit the models on about ``per_language`` documents of each language.
 
     ``held_back`` further documents of each calibrate the rejection; of labels
-    only the ``languages`` most frequent are learned. These bound what is fitted
-    on. Texts stay in tasks: n-gram counts and two numbers a calibration text
+    only the ``languages`` most frequent are learned, and with many of them each
+    has a like share of ``documents`` in all. These bound what is fitted on and
+    with it the models' size. Texts stay in tasks: n-gram counts and two numbers a calibration text
     reach the driver. Of languages with few of these, up to ``LEFT_OUT`` fitted
     documents calibrate as well. A language whose only documents are held back
     has no model.
     """
-    sample = labelled_sample(docs, lang, per_language + held_back, F.col(key), languages).select(
-        F.col(lang).alias("lang"),
-        F.col(text).alias("text"),
-        (F.pmod(F.xxhash64(F.col(key), F.lit(23)), F.lit(1000)) < 1000 * held_back // (per_language + held_back)).alias("back"),
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))  # no other column can clash with those added
+    sample = labelled_sample(rows, "lang", per_language + held_back, F.col("key"), languages, documents).select(
+        "lang", "text", (F.pmod(F.xxhash64(F.col("key"), F.lit(23)), F.lit(1000)) < 1000 * held_back // (per_language + held_back)).alias("back")
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,12 +356,12 @@ def fit(
         sample.where(~F.col("back")).select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
-    found = grams.toPandas()
-    counts = {}
-    for name, rows in found.groupby("lang"):
-        keys = rows["gram"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        counts[name] = (keys[order], rows["n"].to_numpy(np.int64)[order])
+    found = grams.toArrow()  # bounded by the fitted sample
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    of, keys, n = names.indices.to_numpy(), found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.lexsort((keys, of))
+    edges = np.searchsorted(of[order], np.arange(len(names.dictionary) + 1))
+    counts = {name: (keys[order[a:b]], n[order[a:b]]) for name, a, b in zip(names.dictionary.to_pylist(), edges[:-1], edges[1:], strict=True)}
     models = LanguageModels.of_counts(counts)
     if not models.languages:
         return models

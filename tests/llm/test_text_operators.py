@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brute import PlainKneserNey
@@ -372,3 +373,36 @@ def test_languages_learned_are_bounded(spark, languages):
     dirty = [(5000 + i, "one text of its own label", f"label{i}", "x") for i in range(30)]
     models = language_id.fit(documents(spark, languages + dirty), languages=3)
     assert models.languages == ["aa", "bb", "cc"]
+
+
+def test_marks_alone_are_no_language(spark, languages):
+    models = language_id.fit(documents(spark, languages))
+    got = {r.doc_id: r for r in language_id.identify(documents(spark, [(1, "́̂ ́", None, "x"), (2, "́ ka", None, "x"), (3, "𐐀", None, "x"), (4, "😀 ٣", None, "x")]), models).collect()}
+    assert [(got[i].lang_pred, got[i].score, got[i].rejected) for i in (1, 4)] == [("und", 0.0, True)] * 2
+    assert got[2].lang_pred != "und" and got[3].lang_pred != "und"
+
+
+def test_languages_of_tables_with_helper_names(spark, languages):
+    docs = documents(spark, languages).withColumns({x: F.lit(1) for x in ("_lang", "_share", "key", "back", "count")})
+    plain, other = language_id.fit(documents(spark, languages)), language_id.fit(docs)
+    assert plain.languages == other.languages
+    assert language_id.identify(docs, other).select("doc_id", "lang_pred", "score").collect() == language_id.identify(documents(spark, languages), plain).select("doc_id", "lang_pred", "score").collect()
+
+
+def test_model_bytes_grow_with_languages_and_not_their_square(spark):
+    rng = np.random.default_rng(4)
+    size = {}
+    for n in (10, 20, 40):
+        counts = {}
+        for i in range(n):  # every language in letters of its own
+            units = (rng.integers(0, 20, (4, 3000)) + 500 + 40 * i).astype(np.uint64)
+            keys = np.unique(units[0] << np.uint64(48) | units[1] << np.uint64(32) | units[2] << np.uint64(16) | units[3])
+            counts[f"l{i:02}"] = keys, np.ones(len(keys), np.int64)
+        size[n] = language_id.LanguageModels.of_counts(counts).nbytes
+    assert size[20] < 2.1 * size[10] and size[40] < 2.1 * size[20]
+
+
+def test_fitted_documents_are_bounded_over_all_languages(spark, languages):
+    drawn = language_id.labelled_sample(documents(spark, languages), "lang", 1000, F.col("doc_id"), 500, 60)
+    counts = {r.lang: r["count"] for r in drawn.groupBy("lang").count().collect()}
+    assert set(counts) == {"aa", "bb", "cc"} and sum(counts.values()) < 120
