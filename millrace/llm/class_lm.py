@@ -9,10 +9,10 @@ them a round, and counts are taken anew after it; a round that does not raise th
 likelihood is undone, and fewer words move in the next.
 
 Counts are of all training texts: words in a table of any size, bigrams of the
-words that make up at least one in 2**18 of all tokens and occur twice. By that
-share such words are at most 2**18, however large the corpus, so their ids can be
-sent to every task, and a word's neighbours fit in a row. All rarer words form one
-class with those never seen, and the end of a text is a class of its own.
+most frequent words, 2**16 at most, that occur twice or more. So their ids can be sent
+to every task, and a word's neighbours fit in a row, however large the corpus. All
+rarer words form one class with those never seen, and the end of a text is a class
+of its own.
 
 Within the rare class a word has its share of the counts, and unseen words that of
 words seen once (Good-Turing). Transitions are interpolated with the class's own
@@ -43,8 +43,8 @@ from .common import blocks, stored, words
 
 #: The end of a text as a token: no word holds a blank.
 END = " "
-#: Frequent words are those with a share of 1 / FREQUENT of all tokens, thus at most so many.
-FREQUENT = 1 << 18
+#: Words with an id at most. Words of like counts (within a twelfth of a doubling) have one all or none.
+FREQUENT = 1 << 16
 #: Distinct bigrams that a task adds up before it hands them on.
 HELD = 1 << 21
 CLASSES, ROUNDS = 64, 12
@@ -265,9 +265,15 @@ def fit(docs: DataFrame, text: str = "text", classes: int = CLASSES, rounds: int
     counts = word_counts(docs, text)
     total = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("known"), F.sum(F.when(F.col("n") == 1, 1)).alias("single")).first()
     tokens = total.tokens or 0
-    least = max(2, -(-tokens // frequent))
-    # A share of 1 / frequent each: at most ``frequent`` rows.
-    top = sorted(((-r.n, r.word) for r in counts.where((F.col("n") >= least) & (F.col("word") != END)).collect()))
+    size_class = F.floor(F.log2("n") * 12)
+    several = counts.where((F.col("n") > 1) & (F.col("word") != END))
+    least, room = 0, frequent
+    for r in several.groupBy(size_class.alias("k")).agg(F.count("*").alias("m")).orderBy(F.desc("k")).collect():  # some hundred rows
+        least, room = r.k, room - r.m
+        if room < 0:
+            least += 1
+            break
+    top = sorted((-r.n, r.word) for r in several.where(size_class >= least).collect())  # at most ``frequent`` rows
     names = {w.encode("utf-8", "surrogatepass"): i for i, (_, w) in enumerate(top)}
     size, free = len(names), classes
     n_end = (counts.where(F.col("word") == END).first() or {"n": 0})["n"] if tokens else 0
