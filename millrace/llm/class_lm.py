@@ -233,22 +233,25 @@ def exchanged(neighbours: DataFrame, classes: np.ndarray, free: int, rounds: int
     """Classes after exchange, their bigram counts, and the likelihood after each round that was kept."""
     n = free + 2
     table = _table(neighbours, classes, n)
-    course, share, idle = [likelihood(table)], 2, 0
+    course, share = [likelihood(table)], 2
     for turn in range(rounds):
         moves = _moves(neighbours, classes, table, free, turn, share)
+        if not moves:  # nobody of these wants to; does anybody?
+            if share == 1:
+                break
+            share = 1
+            continue
         trial = classes.copy()
         trial[[m.word for m in moves]] = [m["class"] for m in moves]
-        counts = _table(neighbours, trial, n) if moves else table
+        counts = _table(neighbours, trial, n)
         now = likelihood(counts)
-        if now > course[-1]:
-            classes, table, idle = trial, counts, 0
-            course.append(now)
-            if now - course[-2] < 1e-4 * abs(now):
-                break
-        else:  # too many moved at once, or nobody wants to
-            share, idle = share * 2, idle + 1
-            if idle > 2:
-                break
+        if now <= course[-1]:  # too many moved at once
+            share *= 2
+            continue
+        classes, table = trial, counts
+        course.append(now)
+        if now - course[-2] < 1e-4 * abs(now):
+            break
     return classes, table, course
 
 
