@@ -6,13 +6,15 @@ made into keys first, so none plans a nested loop over two large sides.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.text import alias_pattern
+from millrace.functions import text as X
 from millrace.operators.scans import magnitude_bin
 
 
@@ -144,16 +146,92 @@ def nearest_leg(prices: DataFrame, bars: DataFrame, key: str, price: str, tick:
     return out.select(*by, key, price, F.get(names, F.col("m.ord")).alias("field"), F.col("m.bar_ts").alias("bar_ts"), F.col("m.leg_price").alias("leg_price"), F.col("m.delta").alias("delta"))
 
 
-def alias_hits(low: str, aliases: dict[str, Sequence[str]]) -> dict[str, Column]:
-    """Name to a condition: does any of its aliases stand in the lower-case column ``low``, untouched by letters or digits?
+#: Aliases that one automaton holds; a larger vocabulary takes several, each in a pass of its own over the texts.
+AUTOMATON = 200_000
+_WORDLIKE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
-    One pass, no join. The pattern, one for all aliases of a name, is tried only
-    where a plain search finds an alias at all.
+
+def alias_matches(frame: DataFrame, aliases: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds, for each column of lower-case text, which aliases stand in it untouched by letters or digits.
+
+    aliases: name, alias (lower-case; empty ones never match). ``columns`` maps a
+    new column to its text, which is dropped; it holds a name and alias for each
+    match, each once, in the order of names and aliases, and is empty for null texts.
+    All aliases are looked for in one pass of an automaton, so the cost does
+    not grow with their number. The vocabulary is counted before it is sent.
+    """
+    known = aliases.select("name", "alias").where("alias <> ''").distinct()
+    slices = -(-known.count() // AUTOMATON) or 1
+    out = frame
+    for k in range(slices):
+        part = known if slices == 1 else known.where(F.pmod(F.xxhash64("name", "alias"), F.lit(slices)) == k)
+        out = _matched(out, sorted((r.name, r.alias) for r in part.collect()), {f"_{name}{k}": text for name, text in columns.items()})
+    joined = {name: F.array_sort(F.concat(*[F.col(f"_{name}{k}") for k in range(slices)])) for name in columns}
+    return out.select(*[c for c in frame.columns if c not in columns.values()], *[c.alias(name) for name, c in joined.items()])
+
+
+def _matched(frame: DataFrame, terms: list[tuple[str, str]], columns: dict[str, str]) -> DataFrame:
+    new = T.StructType([T.StructField(name, T._parse_datatype_string("array<struct<name: string, alias: string>>")) for name in columns])
+    sent = frame.sparkSession.sparkContext.broadcast(terms)  # AUTOMATON terms or so
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        numbers: dict[str, list[int]] = {}
+        for i, (_, alias) in enumerate(sent.value):
+            numbers.setdefault(alias, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for alias, own in numbers.items():
+            automaton.add_word(alias, (len(alias), own))
+        automaton.make_automaton()
+        made = [pa.array([t[j] for t in sent.value], pa.string()) for j in (0, 1)]
+
+        def hits(text: str | None) -> list[int]:
+            found: set[int] = set()
+            for end, (n, own) in automaton.iter(text) if text and numbers else ():
+                start, after = end - n + 1, end + 1
+                if (not start or text[start - 1] not in _WORDLIKE) and (after == len(text) or text[after] not in _WORDLIKE):
+                    found.update(own)
+            return sorted(found)
+
+        for batch in batches:
+            arrays = []
+            for text in columns.values():
+                found = [hits(x) for x in batch.column(text).to_pylist()]
+                flat = pa.array([i for own in found for i in own], pa.int32())
+                offsets = pa.array([0, *accumulate(map(len, found))], pa.int32())
+                arrays.append(pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([m.take(flat) for m in made], ["name", "alias"])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *columns])
+
+    return frame.mapInArrow(run, T.StructType([*frame.schema.fields, *new.fields]))
+
+
+#: Longer strings are keyed by their ends instead of their deletions.
+SHORT, ENDS = 32, 12
+
+
+def _edit_keys(x: Column) -> Column:
+    """Keys of which two strings have one in common if one edit turns one into the other.
+
+    Short strings: themselves and all strings with one character less (a
+    substitution or a swap leaves one of these in common too). Longer ones: their first
+    and last characters, of which an edit changes one only. Lengths at the border have both.
+    """
+    n = F.char_length(x)
+    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("-"), F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, n)))
+    short = F.when(n <= SHORT + 1, F.array_append(F.when(n > 0, F.array_distinct(without)).otherwise(F.array().cast("array<string>")), F.concat(F.lit("-"), x)))
+    long_ = F.when(n >= SHORT, F.array(F.concat(F.lit("<"), F.substring(x, F.lit(1), F.lit(ENDS))), F.concat(F.lit(">"), F.substring(x, n - ENDS + 1, F.lit(ENDS)))))
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(short, none), F.coalesce(long_, none))
+
+
+def within_one_edit(left: DataFrame, token: str, right: DataFrame, term: str) -> DataFrame:
+    """Pairs of distinct ``token`` and ``term``: at most one insertion, deletion, substitution or swap of neighbours apart.
+
+    An equi-join on deletion neighbourhoods finds the candidates, an exact check
+    decides. Nulls match nothing.
     """
-    low, out = F.col(low), {}
-    for name, some in aliases.items():
-        held = F.lit(False)
-        for a in some:
-            held |= F.contains(low, F.lit(a.lower()))
-        out[name] = held & low.rlike(alias_pattern([a.lower() for a in some], any_case=False))
-    return out
+    sides = [f.select(F.col(c).alias(n)).where(F.col(n).isNotNull()).distinct().select(n, F.explode(F.array_distinct(_edit_keys(F.col(n)))).alias("_key")) for f, c, n in ((left, token, "_a"), (right, term, "_b"))]
+    near = F.abs(F.char_length("_a") - F.char_length("_b")) <= 1
+    met = sides[0].join(sides[1], "_key").where(near).select("_a", "_b").distinct()
+    return met.where(X.within_one_edit("_a", "_b")).select(F.col("_a").alias(token), F.col("_b").alias(term))

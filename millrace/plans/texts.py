@@ -10,6 +10,7 @@ from millrace.functions import text as X
 from millrace.operators import folds, joins, quality, stats
 from millrace.plans.registry import query
 from millrace.sources.readers import spread, table
+from millrace.sources.scratch import stored
 
 #: Aliases of a few things that the documents mention.
 ALIASES = {
@@ -68,9 +69,8 @@ def _terms(spark, words) -> DataFrame:
 @query(f"WITH {_TOKENS_SQL} SELECT token, n_docs, first_doc, string_agg(term, ',' ORDER BY term) AS near FROM c, {_VOCABULARY_SQL} WHERE token NOT IN ({_KNOWN_SQL}) AND damerau_levenshtein(token, term) <= 1 GROUP BY ALL")
 def osa_suspects(spark, sf_dir):
     census = _census(spark, sf_dir).where(~F.col("token").isin(*VOCABULARY, *EXEMPT))
-    # The vocabulary is a fixed list; lengths differ by one at most within one edit.
-    close = F.abs(F.char_length("token") - F.char_length("term")) <= 1
-    met = census.join(F.broadcast(_terms(spark, VOCABULARY)), close & X.within_one_edit("token", "term"))
+    pairs = joins.within_one_edit(census, "token", _terms(spark, VOCABULARY), "term")
+    met = census.join(pairs, "token")
     return met.groupBy("token", "n_docs", "first_doc").agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("near"))
 
 
@@ -80,6 +80,10 @@ def oov_topn(spark, sf_dir):
     return unknown.select("token", "n_docs").orderBy(F.desc("n_docs"), "token").limit(20)
 
 
+def _aliases(spark) -> DataFrame:
+    return spark.createDataFrame([(n, a.lower()) for n, some in ALIASES.items() for a in some], "name string, alias string")
+
+
 def _alias_sql(alias):
     safe = "".join("\\" + c if c in ".-+*?()[]" else c for c in alias)
     return f"regexp_matches(lower(text), '(^|[^a-z0-9]){safe}($|[^a-z0-9])')"
@@ -116,9 +120,10 @@ def _hit_sql(aliases, column="text"):
 )
 def concept_coverage(spark, sf_dir):
     rows = spread(_records(spark, sf_dir)).withColumn("_text", F.lower("text")).withColumn("_narration", F.lower("narration"))
-    printed, said = joins.alias_hits("_text", ALIASES), joins.alias_hits("_narration", ALIASES)
     dated = F.col("chart") & X.has_instrument("instrument") & X.has_date("text")
-    rows = rows.select("doc_id", "chart", F.sha2(F.concat("source", "text"), 256).alias("same"), dated.alias("dated"), X.has_bar_header("text").alias("ohlc"), quality.named_where(printed).alias("on"), quality.named_where(said).alias("heard"))
+    rows = rows.select("doc_id", "chart", F.sha2(F.concat("source", "text"), 256).alias("same"), dated.alias("dated"), X.has_bar_header("text").alias("ohlc"), "_text", "_narration")
+    rows = joins.alias_matches(rows, _aliases(spark), {"on": "_text", "heard": "_narration"})
+    rows = rows.withColumns({c: F.array_distinct(F.col(c)["name"]) for c in ("on", "heard")})
     each = rows.select("*", F.explode(F.array_union("on", "heard")).alias("concept"))
     each = each.withColumn("hit", F.array_contains("on", F.col("concept"))).withColumn("said", F.array_contains("heard", F.col("concept")))
     hit, chart = F.col("hit"), F.col("chart")
@@ -138,9 +143,39 @@ def concept_coverage(spark, sf_dir):
     + ") WHERE n > 0"
 )
 def alias_usage(spark, sf_dir):
-    single = {(n, a): joins.alias_hits("_text", {a: (a,)})[a] for n, aliases in ALIASES.items() for a in aliases}
-    found = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(n).alias("concept"), F.lit(a).alias("alias"))) for (n, a), hit in single.items()]))
-    return spread(documents(spark, sf_dir).select(F.lower("text").alias("_text"))).select(F.explode(found).alias("x")).groupBy("x.concept", "x.alias").agg(F.count("*").alias("n"))
+    rows = joins.alias_matches(spread(documents(spark, sf_dir).select(F.lower("text").alias("_text"))), _aliases(spark), {"found": "_text"})
+    return rows.select(F.explode("found").alias("x")).groupBy(F.col("x.name").alias("concept"), "x.alias").agg(F.count("*").alias("n"))
+
+
+_WORDS_SQL = "SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents"
+
+
+@query(f"""
+WITH t AS ({_WORDS_SQL}), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM benchmark)
+SELECT left(word, 1) AS initial, word, count(*) AS n_docs, min(doc_id) AS first_doc FROM t JOIN b USING (word) GROUP BY word
+""")
+def vocabulary_usage(spark, sf_dir):
+    """A vocabulary that is a table (the words of all benchmark texts, thousands of aliases): in how many documents does each stand?"""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("alias")).distinct()
+    rows = spread(documents(spark, sf_dir).select("doc_id", F.lower("text").alias("_text")))
+    found = joins.alias_matches(rows, words.select(F.left("alias", F.lit(1)).alias("name"), "alias"), {"found": "_text"})
+    return found.select("doc_id", F.explode("found").alias("x")).groupBy(F.col("x.name").alias("initial"), F.col("x.alias").alias("word")).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"""
+WITH t AS ({_WORDS_SQL}), c AS (SELECT word, count(*) AS n, min(doc_id) AS first_doc FROM t WHERE length(word) > 3 GROUP BY word),
+a AS (SELECT * FROM c WHERE n = 1), v AS (SELECT word FROM c WHERE n >= 20),
+k AS (SELECT word, unnest(list_append(list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1)), word)) AS key FROM (SELECT word FROM a UNION ALL SELECT word FROM v)),
+p AS (SELECT DISTINCT x.word AS token, y.word AS term FROM k x JOIN k y USING (key) JOIN v ON v.word = y.word JOIN a ON a.word = x.word)
+SELECT token, first_doc, count(*) AS n_near, min(term) AS nearest FROM p JOIN a ON a.word = token WHERE damerau_levenshtein(token, term) <= 1 GROUP BY ALL
+""")
+def vocabulary_suspects(spark, sf_dir):
+    """Words of one document that are one edit away from a word of the corpus's own vocabulary (in 20 documents or more)."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token")
+    census = stored(documents(spark, sf_dir).select("doc_id", words).where(F.char_length("token") > 3).groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")))
+    rare = census.where("n = 1").select("token", "first_doc")
+    pairs = joins.within_one_edit(rare, "token", census.where("n >= 20").select(F.col("token").alias("term")), "term")
+    return rare.join(pairs, "token").groupBy("token", "first_doc").agg(F.count("*").alias("n_near"), F.min("term").alias("nearest"))
 
 
 @query("""
