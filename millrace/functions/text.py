@@ -138,12 +138,12 @@ def reply_verdict(reply: Column | str) -> Column:
 def within_one_edit(a: Column | str, b: Column | str) -> Column:
     """At most one insertion, deletion, substitution or swap of neighbours."""
     a, b = col(a), col(b)
-    n = F.char_length(a)
-    swap = F.exists(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda i: F.concat(F.substr(a, F.lit(1), i - 1), F.substr(a, i + 1, F.lit(1)), F.substr(a, i, F.lit(1)), F.substr(a, i + 2)) == b,
-    )
-    return (F.levenshtein(a, b, 1) >= 0) | ((n == F.char_length(b)) & (n > 1) & swap)
+    left, right = F.split(a, ""), F.split(b, "")
+    p = F.array_position(F.zip_with(left, right, lambda x, y: ~x.eqNullSafe(y)), True).cast("int")  # the first difference; 0 if there is none
+    rest = lambda x, skip: F.substr(x, p + skip)
+    swap = (F.get(left, p - 1) == F.get(right, p)) & (F.get(left, p) == F.get(right, p - 1)) & (rest(a, 2) == rest(b, 2))
+    one = (rest(a, 1) == rest(b, 1)) | (rest(a, 1) == rest(b, 0)) | (rest(a, 0) == rest(b, 1)) | F.coalesce(swap, F.lit(False))
+    return F.when(p == 0, True).otherwise(one)
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:
