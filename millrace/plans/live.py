@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.plans.records import _STAGES
 from millrace.plans.registry import query
 from millrace.sources.scratch import scratch_dir
+from millrace.sources.versions import Versions
 from millrace.streaming import bars as live
 from millrace.streaming import sessions as S
 from millrace.streaming import watch
@@ -92,3 +93,12 @@ def live_stage_states(spark, sf_dir):
     status = F.when(F.col("value") < 45, "done").when(F.col("value") < 75, "running").otherwise("failed")
     marks = feed(spark, sf_dir).where("event_type <> 'error'").select("user_id", F.col("event_type").alias("stage"), "ts", status.alias("status"))
     return watch.latest(worked_off(watch.stages(marks, "user_id", _STAGES, "10 days")), "user_id")
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def live_upserts(spark, sf_dir):
+    """The last event of every user, from a table of versions that a feed is merged into (it runs when this is called)."""
+    out = scratch_dir(spark)
+    rows = feed(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", "value", F.struct("ts", "event_id").alias("at"))
+    live.upserted(rows, "user_id", "at", f"{out}/table", f"{out}/checkpoint", 16).awaitTermination()
+    return _plain(Versions(spark, f"{out}/table").read(rows.schema).drop("at"), "ts")

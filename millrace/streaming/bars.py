@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace import schemas
+from millrace.operators.incremental import last_wins
+from millrace.sources.versions import PART, Versions, upsert
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
@@ -31,25 +35,18 @@ def run_to_files(bars: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return bars.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upserted(stream: DataFrame, key: str, order: str, out: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
-    """Last-wins compaction batch by batch into Parquet in ``buckets`` folders (column _bucket): a batch rewrites only those that its keys fall into.
+def upserted(stream: DataFrame, key: str, order: str, out: str, checkpoint: str, buckets: int = 64, step: Callable[[str], None] = lambda name: None) -> StreamingQuery:
+    """Last-wins compaction batch by batch into a table of versions (``sources.versions``) in ``buckets`` parts: a batch rewrites only those that its keys fall into.
 
-    The merged rows are written beside the table first; a batch that is done again
-    after a failure merges the same rows into what it left, with the same result.
+    A version is published by one rename and remembers its batch, so a batch
+    that is done again after a failure at any point is merged once.
     """
+    part = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias(PART)
 
     def merge(batch: DataFrame, number: int) -> None:
-        from millrace.operators.incremental import last_wins
-        from millrace.sources.scratch import scratch_dir
-
-        spark = batch.sparkSession
-        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # ``buckets`` numbers at most
-        spark.createDataFrame([], rows.schema).write.mode("append").partitionBy("_bucket").parquet(out)  # the table exists from the first batch on
-        known = spark.read.schema(rows.schema).parquet(out).where(F.col("_bucket").isin(touched)).unionByName(rows)
-        beside = scratch_dir(spark)
-        last_wins(known, [key], [order]).write.parquet(beside)
-        merged = spark.read.schema(rows.schema).parquet(beside).repartition("_bucket")
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(out)
+        def last(rows: DataFrame) -> DataFrame:
+            return last_wins(rows, [key], [order]).select("*", part).repartition(PART)
+
+        upsert(Versions(batch.sparkSession, out), batch.select("*", part), checkpoint, number, last, step)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

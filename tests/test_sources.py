@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import bars as B
 from millrace.sources import readers, sinks
+from millrace.sources.versions import Conflict, Manifest, Versions, upsert
 from millrace.streaming import bars as live
 
 SF = "/root/testdata/sf0.001"
@@ -91,13 +92,65 @@ def test_live_bars_equal_batch_bars(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(got)
 
 
-def test_live_upsert(spark, tmp_path):
-    folder = tmp_path / "in"
+UPSERTS = [[("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z"), ("c", 1, "u")], [("b", 0, "late"), ("d", 5, "w")]]
+
+
+def upserts(spark, tmp_path, step=lambda name: None, batches=UPSERTS):
+    """Feeds the batches one file after the other, going on after each failure; gives the rows after every run."""
     schema = "id string, at int, v string"
-    for rows in ([("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z")]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
-        stream = spark.readStream.schema(schema).parquet(str(folder))
-        live.upserted(stream, "id", "at", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-        got = sorted((r.id, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [("a", "z"), ("b", "y")]
-    assert len(list((tmp_path / "out").glob("_bucket=*"))) == 2
+    for i, rows in enumerate(batches):
+        folder = tmp_path / f"part{i}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next(folder.glob("*.parquet")).rename(tmp_path / "in" / f"{i}.parquet")
+        while True:
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            try:
+                live.upserted(stream, "id", "at", str(tmp_path / "out"), str(tmp_path / "cp"), 4, step).awaitTermination()
+                break
+            except Exception as e:
+                assert "lost" in str(e)
+                yield sorted((r.id, r.v) for r in Versions(spark, str(tmp_path / "out")).read(schema).collect())
+        yield sorted((r.id, r.v) for r in Versions(spark, str(tmp_path / "out")).read(schema).collect())
+
+
+def test_live_upsert(spark, tmp_path):
+    seen = list(upserts(spark, tmp_path))
+    assert seen == [[("a", "x"), ("b", "y")], [("a", "z"), ("b", "y"), ("c", "u")], [("a", "z"), ("b", "y"), ("c", "u"), ("d", "w")]]
+    table = Versions(spark, str(tmp_path / "out"))
+    assert table.numbers() == [1, 2, 3]
+    assert sorted(r.v for r in table.read("id string, at int, v string", 1).collect()) == ["x", "y"]  # readers keep their version
+    assert table.vacuum() >= 1 and table.read("id string, at int, v string").count() == 4 and table.numbers() == [3]
+
+
+@pytest.mark.parametrize("where", ["read", "write", "publish", "done"])
+def test_a_driver_lost_between_any_two_steps_loses_no_row(spark, tmp_path, where):
+    met = []
+
+    def step(name):
+        met.append(name)
+        if name == where and met.count(name) % 2:  # the first time, and again after each batch
+            raise RuntimeError("lost")
+
+    seen = list(upserts(spark, tmp_path, step))
+    whole = [[], [("a", "x"), ("b", "y")], [("a", "z"), ("b", "y"), ("c", "u")], [("a", "z"), ("b", "y"), ("c", "u"), ("d", "w")]]
+    assert all(rows in whole for rows in seen) and [whole.index(r) for r in seen] == sorted(whole.index(r) for r in seen) and seen[-1] == whole[-1]
+    assert Versions(spark, str(tmp_path / "out")).numbers() == [1, 2, 3] and met.count(where) >= 3
+
+
+def test_one_of_two_writers_of_a_version_starts_anew(spark, tmp_path):
+    table = Versions(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", 1)], "id string, x int").withColumn("_part", F.lit(0))
+    other = spark.createDataFrame([("b", 2)], "id string, x int").withColumn("_part", F.lit(0))
+    merge = lambda df: df.withColumn("_part", F.lit(0))
+    first = []
+
+    def step(name):
+        if name == "publish" and not first:
+            first.append(upsert(table, other, "two", 0, merge))
+
+    assert upsert(table, rows, "one", 0, merge, step).version == 2
+    assert sorted(r.id for r in table.read("id string, x int").collect()) == ["a", "b"] and table.manifest().batches == {"one": 0, "two": 0}
+    with pytest.raises(Conflict):
+        table.publish(Manifest(2))
+    assert upsert(table, rows, "one", 0, merge).version == 2  # given again, left alone
