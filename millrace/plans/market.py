@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from millrace.functions import prices as P
 from millrace.functions import text as X
 from millrace.operators import bars as B
-from millrace.operators import incremental, joins, quality, stats
+from millrace.operators import incremental, joins, patterns, quality, stats
+from millrace.operators.patterns import Step
 from millrace.plans.registry import TRADES_SQL, bars_sql, query
 from millrace.sources.readers import table, trades_of_events
+from millrace.sources.scratch import stored
 
 LEGS = ("open", "high", "low", "close")
 
@@ -406,3 +408,24 @@ def higher_timeframe(spark, sf_dir):
     own = trades(spark, sf_dir)
     low, high = B.bars(own, "1h", ["symbol"]), B.bars(own, "D", ["symbol"])
     return B.higher_timeframe(low, high, ["symbol"], "1 day").select("symbol", "bar_ts", "close", "high_ts", "high_close")
+
+
+@query(f"""
+WITH b AS {bars_sql('1 hour', 'symbol')},
+l AS (SELECT *, lag(close) OVER w AS was, lag(high) OVER w AS top FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts)),
+k AS (SELECT *, CASE WHEN close > top THEN 't' WHEN close > was THEN 'u' WHEN close < was THEN 'd' ELSE 'n' END AS letter FROM l),
+s AS (SELECT symbol, list(bar_ts ORDER BY bar_ts) AS times, list(close ORDER BY bar_ts) AS closes, regexp_replace(string_agg(letter, '' ORDER BY bar_ts), '([tu]{{2,}}d{{1,3}}t)', '<\\1>', 'g') AS marked FROM k GROUP BY symbol),
+c AS (SELECT symbol, times, closes, marked, unnest(range(1, length(marked) + 1)) AS i FROM s),
+p AS (SELECT symbol, times, closes, marked[i] AS c, length(translate(left(marked, i), '<>', '')) AS n FROM c WHERE marked[i] IN ('<', '>')),
+o AS (SELECT symbol, times, closes, n + 1 AS a, lead(n) OVER (PARTITION BY symbol ORDER BY n, c DESC) AS z, c FROM p)
+SELECT symbol, times[a] AS first, times[z] AS last, closes[z] AS trigger_close FROM o WHERE c = '<'
+""")
+def pullback_entries(spark, sf_dir):
+    """The three-step entry, on hourly bars of each symbol: two or more bars that close above the one before (the push), one to three that close below it (the pullback), then one that closes above the high of the one before (the trigger)."""
+    w = Window.partitionBy("symbol").orderBy("bar_ts")
+    bars = stored(B.bars(trades(spark, sf_dir), "1h", ["symbol"]).withColumns({"was": F.lag("close").over(w), "top": F.lag("high").over(w)}))
+    close = F.col("close")
+    conditions = {"push": (close > F.col("was")) | (close > F.col("top")), "pullback": (close < F.col("was")) & ~(close > F.col("top")), "trigger": close > F.col("top")}
+    found = patterns.matches(bars, ["symbol"], "bar_ts", conditions, [Step("push", 2, None), Step("pullback", 1, 3), Step("trigger")])
+    ends = bars.select("symbol", F.col("bar_ts").alias("last"), close.alias("trigger_close"))
+    return found.join(ends, ["symbol", "last"]).select("symbol", "first", "last", "trigger_close")

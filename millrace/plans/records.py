@@ -16,7 +16,7 @@ from millrace.plans.sequences import _V_SQL, vectors
 from millrace.plans.texts import _LADDER_SQL, _line_table
 from millrace.sources import readers, sinks
 from millrace.sources.readers import table
-from millrace.sources.scratch import scratch_dir
+from millrace.sources.scratch import scratch_dir, stored
 
 _CHANGED_SQL = "len(list_filter(list_zip({0}, {1}), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE) > 0.1)) / 64.0::DOUBLE"
 
@@ -55,7 +55,7 @@ def level_crosscheck(spark, sf_dir):
     text = F.concat(F.lit("$"), ((F.col("p_partkey") % 400) * F.lit(1.25)).cast("decimal(9,2)").cast("string"))
     raw = F.when(F.col("p_partkey") % 11 == 0, "n/a").otherwise(text)
     levels = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), P.price(raw).alias("parsed"), (F.col("p_partkey") % 5 != 0).alias("has_bars"))
-    found = quality.level_verdicts(levels, B.bars(trades(spark, sf_dir), "D"), "p_partkey", "parsed", "has_bars", 40, 8)
+    found = quality.level_verdicts(levels, stored(B.bars(trades(spark, sf_dir), "D")), "p_partkey", "parsed", "has_bars", 40, 8)
     match = F.col("verdict") == "ohlc_match"
     return found.select("p_partkey", "raw", "parsed", F.coalesce("in_range", F.lit(False)).alias("in_range"), F.when(match, F.col("bar_ts")).alias("match_ts"), F.when(match, F.col("field")).alias("match_field"), "verdict")
 
@@ -293,30 +293,66 @@ def frame_coverage(spark, sf_dir):
     return both.select("conv_id", "n_frames", "expected", (F.abs(F.col("n_frames") - F.col("expected")) <= 2).alias("counts_agree"), F.coalesce(whole, F.lit(False)).alias("contiguous"))
 
 
-@query("SELECT mode, user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events, (SELECT unnest(['torn_tail', 'strict']) AS mode) GROUP BY ALL UNION ALL SELECT 'skip', user_id, count(*), sum(event_id)::BIGINT FROM events WHERE event_id % 10 <> 0 GROUP BY user_id")
+@query("""
+SELECT 'strict' AS mode, user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY user_id
+UNION ALL SELECT 'skip', user_id, count(*), sum(event_id)::BIGINT FROM events WHERE event_id % 10 <> 0 GROUP BY user_id
+UNION ALL SELECT 'torn_tail', user_id, count(*), sum(event_id)::BIGINT FROM events WHERE event_id NOT IN (SELECT max(event_id) FROM events GROUP BY event_id % 8) GROUP BY user_id
+UNION ALL SELECT 'refused', NULL, 1, NULL
+""")
 def json_lines_modes(spark, sf_dir):
-    """The events as JSON lines, read strictly, with a torn tail allowed and, from files with bad lines, by skipping them."""
+    """The events as JSON lines, read strictly, by skipping bad lines, and with the last line of each file torn off; a bad line in the middle is refused.
+
+    Files are written, and the refusal is tried, when this is called.
+    """
     base = scratch_dir(spark)
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    sinks.json_lines(rows, f"{base}/good")
-    broken = F.when(F.col("event_id") % 10 == 0, F.left("line", F.char_length("line") - 1)).otherwise(F.col("line"))
-    rows.select("event_id", F.to_json(F.struct("event_id", "user_id")).alias("line")).select(broken.alias("value")).write.text(f"{base}/bad")
+    sinks.json_lines(rows, f"{base}/strict")
+    lines = rows.select("event_id", (F.col("event_id") % 8).alias("file"), F.to_json(F.struct("event_id", "user_id")).alias("line"))
+    cut = F.left("line", F.char_length("line") - 1)
+    lines.select(F.when(F.col("event_id") % 10 == 0, cut).otherwise(F.col("line")).alias("value")).write.text(f"{base}/skip")
+    ends = lines.groupBy("file").agg(F.max("event_id").alias("last"))
+    torn = lines.join(ends, "file").select("file", "event_id", F.when(F.col("event_id") == F.col("last"), cut).otherwise(F.col("line")).alias("value"))
+    torn.repartition("file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(f"{base}/torn_tail")
     out = None
-    for mode, folder in (("torn_tail", "good"), ("strict", "good"), ("skip", "bad")):
-        found = readers.json_lines(spark, f"{base}/{folder}", "event_id bigint, user_id bigint", mode)
+    for mode in ("strict", "skip", "torn_tail"):
+        found = readers.json_lines(spark, f"{base}/{mode}", "event_id bigint, user_id bigint", mode)
         one = found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).select(F.lit(mode).alias("mode"), "user_id", "n", "ids")
         out = one if out is None else out.unionByName(one)
-    return out
+    try:
+        readers.json_lines(spark, f"{base}/skip", "event_id bigint, user_id bigint", "torn_tail")
+        refused = 0
+    except ValueError:
+        refused = 1
+    return out.unionByName(spark.createDataFrame([("refused", None, refused, None)], out.schema))
 
 
-@query("SELECT 'source=' || source AS video, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE starts_with(source, 'w') OR ends_with(source, '1') GROUP BY source HAVING starts_with(source, 'w') OR starts_with(source, 's')")
+@query("SELECT 'source=' || source AS video, count(*) AS n, min(doc_id) AS first_doc, starts_with(source, 'src1') OR starts_with(source, 'src4') AS chosen FROM documents GROUP BY source")
 def partitioned_scan(spark, sf_dir):
-    """Documents written in a folder per source and read back with the folder's name, only folders of some prefixes."""
+    """All documents written in a folder per source and read back with the folder's name; ``chosen`` are the folders that a second reading by prefixes takes. It writes when called."""
     path = f"{scratch_dir(spark)}/sources"
-    rows = table(spark, sf_dir, "documents").where(F.startswith("source", F.lit("w")) | F.endswith("source", F.lit("1")))
-    rows.select("doc_id", "source").write.partitionBy("source").json(path)
-    found = readers.partitioned_lines(spark, path, "doc_id bigint", "*.json", ("source=w", "source=s"))
-    return found.groupBy("video").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    table(spark, sf_dir, "documents").select("doc_id", "source").write.partitionBy("source").json(path)
+    every = readers.partitioned_lines(spark, path, "doc_id bigint", "*.json").groupBy("video").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    some = readers.partitioned_lines(spark, path, "doc_id bigint", "*.json", ("source=src1", "source=src4")).groupBy("video").agg(F.lit(True).alias("chosen"))
+    return every.join(some, "video", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+
+
+@query("SELECT source, count(*) AS n_before FROM documents GROUP BY source HAVING sum(n_chars) % 2 = 0")
+def changed_files(spark, sf_dir):
+    """Sources whose files have changed since their signatures were taken, by size and time of the files themselves: those with an even number of characters are appended to in between (when this is called)."""
+    path = f"{scratch_dir(spark)}/files"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    docs.write.partitionBy("source").json(path)
+
+    def listing():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
+        own = files.select(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("source"), "length", "modificationTime")
+        return own.groupBy("source").agg(readers.signature(F.sum("length"), F.max("modificationTime")).alias("mark"))
+
+    before = stored(listing())
+    counts = docs.groupBy("source").agg(F.count("*").alias("n_before"), F.sum("n_chars").alias("_chars"))
+    even = counts.where("_chars % 2 = 0")
+    docs.join(even.select("source"), "source", "left_semi").write.mode("append").partitionBy("source").json(path)
+    return readers.changed_sources(listing(), before, "source", "mark").join(counts, "source").select("source", "n_before")
 
 
 @query(r"""SELECT doc_id, sha256(text) AS before_sha, sha256(regexp_replace(text, '\bof\b', 'OF', 'g')) AS after_sha FROM documents WHERE text <> regexp_replace(text, '\bof\b', 'OF', 'g')""")
