@@ -9,7 +9,7 @@ them a round, and counts are taken anew after it; a round that does not raise th
 likelihood is undone, and fewer words move in the next.
 
 Counts are of all training texts: words in a table of any size, bigrams of the
-most frequent words, 2**16 at most, that occur twice or more. So their ids can be sent
+most frequent words, 2**14 at most, that occur twice or more. So their ids can be sent
 to every task, and a word's neighbours fit in a row, however large the corpus. All
 rarer words form one class with those never seen, and the end of a text is a class
 of its own.
@@ -31,6 +31,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,8 @@ from .common import blocks, stored, words
 #: The end of a text as a token: no word holds a blank.
 END = " "
 #: Words with an id at most. Words of like counts (within a twelfth of a doubling) have one all or none.
-FREQUENT = 1 << 16
-#: Distinct bigrams that a task adds up before it hands them on.
+FREQUENT = 1 << 14
+#: Bigrams that a task adds up before it hands them on.
 HELD = 1 << 21
 CLASSES, ROUNDS = 64, 12
 
@@ -75,8 +76,8 @@ class Model:
     def ids(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         """Ids of a text's tokens with the end, and its words."""
         found = words(text)
-        get, rare = self.names.get, self.size
-        out = np.fromiter((get(w, rare) for w in found), np.int32, len(found))
+        rare = self.size
+        out = np.fromiter(map(self.names.get, found, repeat(rare)), np.int32, len(found))
         return np.append(out, np.int32(rare + 1)), found
 
 
@@ -106,13 +107,10 @@ def _pairs(sent: Broadcast, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         base, end = model.size + 2, model.size + 1
-        held, sums, waiting, n_waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        waiting, n_waiting = [], 0
 
-        def merged():
-            keys, inverse = np.unique(np.concatenate([held, *waiting]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([sums, np.ones(n_waiting, np.int64)]), len(keys)).astype(np.int64)
-
-        def made(keys, counts):
+        def made():
+            keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array((keys // base).astype(np.int32)), pa.array((keys % base).astype(np.int32)), pa.array(counts)], names=["a", "b", "n"])
 
         for batch in batches:
@@ -122,13 +120,10 @@ def _pairs(sent: Broadcast, text: str):
                     waiting.append(np.r_[end, ids[:-1]] * base + ids)
                     n_waiting += len(ids)
                 if n_waiting > HELD:
-                    held, sums = merged()
+                    yield made()
                     waiting, n_waiting = [], 0
-                    if len(held) > HELD:
-                        yield made(held, sums)
-                        held, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if n_waiting or len(held):
-            yield made(*merged())
+        if n_waiting:
+            yield made()
 
     return run
 
@@ -322,7 +317,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], te
         unigram[model.size] = 0.0
         for batch in batches:
             for block in blocks(batch, "text"):
-                sums, rare = [], []
+                sums, uids, rare, times = [], [], [], []
                 for uid, x in zip(block.column("uid").to_pylist(), block.column("text").to_pylist(), strict=True):
                     ids, found = model.ids(x)
                     c = model.classes[ids]
@@ -330,18 +325,17 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str], te
                     follow = model.follow[np.r_[model.classes[end], c[:-1]], c].sum()
                     known = seen & (model.counts[ids] > 0)
                     sums.append((len(ids), int(known.sum()), float(unigram[ids].sum()), float(follow + model.within[ids].sum())))
-                    if not seen.all():
-                        tally: dict[bytes, int] = {}
-                        for i in np.flatnonzero(~seen).tolist():
-                            tally[found[i]] = tally.get(found[i], 0) + 1
-                        rare += [(uid, w.decode("utf-8", "surrogatepass"), k) for w, k in tally.items()]
+                    tally = Counter(compress(found, (~seen).tolist()))
+                    uids += [uid] * len(tally)
+                    rare += tally
+                    times += tally.values()
                 n, m = block.num_rows, len(rare)
                 none = lambda c: pa.nulls(m, block.column(c).type)
-                columns = [pa.chunked_array([block.column("uid"), pa.array([r[0] for r in rare], pa.int64())]).combine_chunks()]
+                columns = [pa.chunked_array([block.column("uid"), pa.array(uids, pa.int64())]).combine_chunks()]
                 columns += [pa.chunked_array([block.column(c), none(c)]).combine_chunks() for c in names]
                 for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64())):
                     columns.append(pa.array([s[i] for s in sums] + [None] * m, kind))
-                columns += [pa.array([None] * n + [r[1] for r in rare], pa.string()), pa.array([None] * n + [r[2] for r in rare], pa.int64())]
+                columns += [pa.array([None] * n + rare, pa.binary()).cast(pa.string()), pa.array([None] * n + times, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["uid", *names, "n_tokens", "n_known", "base", "model", "word", "times"])
 
     made = stored(rows.mapInArrow(run, ", ".join(["uid bigint", *kept, "n_tokens bigint, n_known bigint, base double, model double, word string, times bigint"])))
