@@ -14,7 +14,7 @@ from millrace.plans.market import LEGS
 from millrace.plans.registry import bars_sql, query
 from millrace.plans.sequences import _V_SQL, vectors
 from millrace.plans.texts import _LADDER_SQL, _line_table
-from millrace.sources import readers, sinks
+from millrace.sources import dbn, readers, sinks
 from millrace.sources.readers import table
 from millrace.sources.scratch import scratch_dir, stored
 
@@ -366,6 +366,19 @@ def repair_log(spark, sf_dir):
     return log.select("doc_id", F.sha2("before", 256).alias("before_sha"), F.sha2("after", 256).alias("after_sha"))
 
 
+@query(f"SELECT bar_ts AS ts_event, symbol, open, high, low, close, volume FROM {bars_sql('1 hour', 'symbol', where='ts >= TIMESTAMP ' + repr('2024-01-03'))}")
+def dbn_bars(spark, sf_dir):
+    """Trades written as DBN files (when this is called), and bars of those from the third day on, which the reader chooses among raw records."""
+    dbn.registered(spark)
+    path = f"{scratch_dir(spark)}/trades"
+    ts = F.col("ts").cast("timestamp")
+    number = F.array_position(F.array(*[F.lit(x) for x in (*_STAGES, "error")]), F.col("symbol")).cast("bigint")
+    raw = trades(spark, sf_dir).select(ts.alias("ts_recv"), ts.alias("ts_event"), "sequence", F.lit("T").alias("action"), F.round(F.col("price") * 1_000_000_000).cast("bigint").alias("price"), "size", "symbol", number.alias("instrument_id"), F.lit(1).alias("publisher_id"))
+    raw.write.format("dbn").mode("append").save(path)
+    read = spark.read.format("dbn").load(path).where("ts_recv >= timestamp'2024-01-03 00:00:00'").withColumn("price", P.fixed_point("price"))
+    return B.bars(read, "1h", ["symbol"], ts="ts_recv").select(F.col("bar_ts").cast("timestamp_ntz").alias("ts_event"), "symbol", *LEGS, "volume")
+
+
 @query(f"SELECT bar_ts AS ts_event, symbol, open, high, low, close, volume FROM {bars_sql('1 hour', 'symbol')}")
 def trades_readback(spark, sf_dir):
     """Trades written and read with the checks of their reader, made into bars, which are written and read with theirs."""

@@ -7,8 +7,10 @@ marks and on the watermark alone, not on how they were cut into batches.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -18,7 +20,11 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def with_large_state(spark: SparkSession) -> SparkSession:
-    """Keyed state of any kind needs the RocksDB store; set for the queries that start from now on."""
+    """Keyed state of any kind needs the RocksDB store; set for the queries that start from now on.
+
+    The workers that prepare such queries are not given the package's archive, so this module is sent by value.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.conf.set(PROVIDER, ROCKS)
     return spark
 
