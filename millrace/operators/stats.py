@@ -89,3 +89,30 @@ def stable_lines(lines: DataFrame, group: str, member: str, line: str, min_membe
     seen = lines.select(group, member, line).distinct().groupBy(group, line).agg(F.count("*").alias("_in"))
     both = seen.join(members.where(F.col("n_members") >= min_members), group)
     return both.groupBy(group).agg(F.max("n_members").alias("n_members"), F.count_if(F.col("_in") == F.col("n_members")).alias("n_core"), F.count_if(F.col("_in") < F.col("n_members")).alias("n_varying"))
+
+
+#: Values that a sketch keeps (its accuracy), and the error of a quantile's rank, as a share of all rows, that holds with room to spare (the sketch's own bound at 99 % is a third of it).
+SKETCH_K, RANK_ERROR = 400, 0.02
+
+
+def sketched(frame: DataFrame, by: Sequence[str], value: str, name: str = "sketch") -> DataFrame:
+    """``by`` and a quantile sketch (KLL) of each part: a few kilobytes, to be stored and merged without the rows. Nulls are left out."""
+    return frame.where(F.col(value).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_K).alias(name))
+
+
+def merged_sketches(parts: DataFrame, by: Sequence[str], name: str = "sketch") -> DataFrame:
+    """Sketches of parts merged by ``by``; parts may be merged in any order and in several steps."""
+    return parts.groupBy(*by).agg(F.kll_merge_agg_double(name, SKETCH_K).alias(name))
+
+
+def sketch_quantiles(sketches: DataFrame, by: Sequence[str], picks: dict[str, float], name: str = "sketch") -> DataFrame:
+    """``by``, n, and for each name a value whose rank is within ``RANK_ERROR`` of the share asked for."""
+    return sketches.select(*by, F.kll_sketch_get_n_double(name).alias("n"), *[F.kll_sketch_get_quantile_double(name, F.lit(p)).alias(c) for c, p in picks.items()])
+
+
+def rank_within(frame: DataFrame, by: Sequence[str], value: str, found: DataFrame, picks: dict[str, float], error: float = RANK_ERROR) -> DataFrame:
+    """``by`` and, for each name, whether the rank of its value among all rows is within ``error`` of the share asked for. ``found`` has one row a group."""
+    rows = frame.select(*by, F.col(value).alias("_v")).where("_v is not null").join(found.select(*by, *picks), list(by))
+    total = F.count("*")
+    near = [((F.count_if(F.col("_v") < F.col(c)) / total <= p + error) & (F.count_if(F.col("_v") <= F.col(c)) / total >= p - error)).alias(c) for c, p in picks.items()]
+    return rows.groupBy(*by).agg(*near)

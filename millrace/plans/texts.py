@@ -219,6 +219,19 @@ def nearest_rank_percentiles(spark, sf_dir):
     return stats.order_statistics(events, ["event_type"], "value", picks).join(means, "event_type")
 
 
+@query("SELECT event_type, count(*) AS n, true AS p05, true AS p50, true AS p95, true AS other_order FROM events GROUP BY event_type")
+def mergeable_quantiles(spark, sf_dir):
+    """Sketches of each day, stored and merged by event type: are their quantiles within the stated rank error of the exact ones, and also if they are merged by weekday first?"""
+    events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    picks = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    days = stored(stats.sketched(events, ["event_type", "day"], "value"))
+    weekdays = stats.merged_sketches(days.withColumn("weekday", F.dayofweek("day")), ["event_type", "weekday"])
+    one, two = (stats.sketch_quantiles(stats.merged_sketches(s, ["event_type"]), ["event_type"], picks) for s in (days, weekdays))
+    near, again = (stats.rank_within(events, ["event_type"], "value", q, picks) for q in (one, two))
+    other = again.select("event_type", (F.col("p05") & F.col("p50") & F.col("p95")).alias("other_order"))
+    return one.select("event_type", "n").join(near, "event_type").join(other, "event_type")
+
+
 @query("SELECT n_chars // 500 AS bin, count(*) AS n FROM documents GROUP BY 1")
 def value_histogram(spark, sf_dir):
     return documents(spark, sf_dir).groupBy(F.expr("n_chars div 500").alias("bin")).agg(F.count("*").alias("n"))

@@ -219,3 +219,20 @@ def test_drawdown_and_daylight_saving(spark):
     assert (r.n, r.wins, r.total_r, r.max_drawdown) == (4, 2, 3.0, 4.0)
     z = spark.createDataFrame([(dt.datetime(2024, 3, 10, 9, 59),), (dt.datetime(2024, 3, 10, 10, 1),)], "ts timestamp_ntz")
     assert [r.x.hour for r in z.select(B.local_clock(F.col("ts")).alias("x")).collect()] == [1, 3]
+
+
+def test_sketches_merge_in_any_order_within_their_error(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.operators import stats
+
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), (F.col("id") % 17).alias("part"), F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(5000)).cast("double")).alias("x"))
+    picks = {"p1": 0.01, "p50": 0.5, "p99": 0.99}
+    parts = stats.sketched(rows, ["g", "part"], "x")
+    for merged in (parts, stats.merged_sketches(parts.withColumn("half", F.col("part") % 2), ["g", "half"]), parts.orderBy(F.desc("part"))):
+        found = stats.sketch_quantiles(stats.merged_sketches(merged, ["g"]), ["g"], picks)
+        assert {r.g: r.n for r in found.collect()} == {r.g: r.n for r in rows.groupBy("g").agg(F.count("x").alias("n")).collect()}
+        assert all(all(r[c] for c in picks) for r in stats.rank_within(rows, ["g"], "x", found, picks).collect())
+    off = stats.sketch_quantiles(stats.merged_sketches(parts, ["g"]), ["g"], {"p50": 0.7})
+    assert not any(r.p50 for r in stats.rank_within(rows, ["g"], "x", off, {"p50": 0.5}).collect())
+    assert stats.sketched(rows.where("x < 0"), ["g"], "x").count() == 0
