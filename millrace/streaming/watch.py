@@ -96,7 +96,8 @@ class _Failures(StatefulProcessor):
             return
         new = [(r.at, r.id, r.failed) for r in rows]
         self.open.appendList(new)
-        self.handle.registerTimer(max(x[0] for x in new) + 1)
+        for at in {at for at, _, failed in new if failed} | {max(x[0] for x in new)}:  # each failure is settled as soon as the watermark has passed it
+            self.handle.registerTimer(at + 1)
         yield from self._settled(key[0], timerValues.getCurrentWatermarkInMs() - 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:

@@ -134,6 +134,13 @@ def test_silences_and_failures_do_not_depend_on_batches(feed):
     assert {r.user_id: (r.ended_at, r.by_id) for r in ends} == over and len(ends) == len(over)
 
 
+def test_a_failure_counts_as_soon_as_the_watermark_has_passed_it(feed):
+    put, run = feed
+    put([(1, 0, 1, "error"), (2, 1, 1, "error"), (3, 500, 1, "error"), (4, 400, 2, "view")])  # the third is not passed yet
+    _, got = run(lambda e: watch.ended(e, "user_id", F.col("event_type") == "error", "event_id", 2), "f")
+    assert [(r.user_id, r.by_id) for r in got] == [(1, 2)]
+
+
 def test_a_stage_that_falls_silent_is_pending_again(feed, spark):
     put, run = feed
     kinds = {"view": ("probe", "done"), "error": ("fetch", "running"), "purchase": ("fetch", "failed")}
