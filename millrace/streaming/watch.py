@@ -62,46 +62,52 @@ class _Silence(StatefulProcessor):
 
 
 class _Failures(StatefulProcessor):
-    """Ends a key with its n-th failure in a row: emitted once, later marks are ignored."""
+    """Ends a key with its n-th failure in a row: emitted once, later marks are ignored.
+
+    All that is known of a key is one value and one timer, since each call to the state costs more than a mark does.
+    """
 
     def __init__(self, limit: int) -> None:
         self.limit = limit
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "at bigint, id bigint, failed boolean")  # not settled: a mark before them may still come
-        self.run = handle.getValueState("run", "n int, ended boolean")
-
-    def _settled(self, key, upto: int) -> Iterator[Row]:
-        n, ended = self.run.get() if self.run.exists() else (0, False)
-        rest = []
-        for at, id_, failed in sorted(tuple(r) for r in self.open.get()):
-            if at > upto:
+        # n: failures in a row up to the settled marks; due: the timer; at, id, failed: marks that are not settled, as one before them may still come
+        self.state = handle.getValueState("state", "n int, ended boolean, due bigint, at array<bigint>, id array<bigint>, failed array<boolean>")
+
+    def _went_on(self, key, new, now: int, fired: bool) -> Iterator[Row]:
+        n, ended, due, *open_ = self.state.get() or (0, False, None, [], [], [])
+        if ended:
+            return
+        rest, next_, run = [], None, None
+        for at, id_, failed in sorted([*zip(*open_), *new]):
+            if at < now:  # settled
+                n = n + 1 if failed else 0
+                if n == self.limit:
+                    ended = True
+                    yield Row(key=key, ended_at=at, by_id=id_)
+                    break
+            else:
                 rest.append((at, id_, failed))
-                continue
-            if ended:
-                continue
-            n = n + 1 if failed else 0
-            if n == self.limit:
-                ended = True
-                yield Row(key=key, ended_at=at, by_id=id_)
-        self.run.update((n, ended))
-        if rest and not ended:
-            self.open.put(rest)
-        else:
-            self.open.clear()
+                run = (n if run is None else run) + 1 if failed else 0
+                if run == self.limit and next_ is None:
+                    next_ = at + 1  # as soon as the watermark has passed what ends the key as far as is known
+        if ended or not rest:
+            rest, next_ = [], None
+        elif next_ is None:
+            next_ = rest[-1][0] + 1  # else the marks would stay
+        if next_ != due:
+            if due is not None and not fired:
+                self.handle.deleteTimer(due)
+            if next_ is not None:
+                self.handle.registerTimer(next_)
+        self.state.update((n, ended, next_, *(map(list, zip(*rest)) if rest else ([], [], []))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.run.exists() and self.run.get()[1]:
-            return
-        new = [(r.at, r.id, r.failed) for r in rows]
-        self.open.appendList(new)
-        for at in {at for at, _, failed in new if failed} | {max(x[0] for x in new)}:  # each failure is settled as soon as the watermark has passed it
-            self.handle.registerTimer(at + 1)
-        yield from self._settled(key[0], timerValues.getCurrentWatermarkInMs() - 1)
+        yield from self._went_on(key[0], [(r.at, r.id, r.failed) for r in rows], timerValues.getCurrentWatermarkInMs(), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._settled(key[0], timerValues.getCurrentWatermarkInMs() - 1)
+        yield from self._went_on(key[0], [], timerValues.getCurrentWatermarkInMs(), True)
 
 
 class _Stages(StatefulProcessor):

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from millrace import schemas
@@ -159,3 +160,66 @@ def test_a_stage_that_falls_silent_is_pending_again(feed, spark):
     _, got = run(make, "t")
     seen = now(got)
     assert seen[1, "fetch"] == ("pending", 0, True) and seen[3, "fetch"] == ("failed", 2, False)
+
+
+class State:
+    """One key's state and timers, as a processor sees them, with every call counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls, self.now = None, set(), 0, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.now
+
+    def work(self, processor, rows, now):
+        """A batch: its marks, then the timers that the watermark has passed."""
+        self.now = now
+        out = list(processor.handleInputRows((1,), iter(rows), self)) if rows else []
+        for at in sorted(t for t in self.timers if t <= now):
+            out += processor.handleExpiredTimer((1,), self, self)
+            self.timers.remove(at)
+        return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_failures_need_one_timer_and_no_more_calls_for_more_marks(seed):
+    rng = random.Random(seed)
+    marks = [Row(at=rng.randrange(300), id=i, failed=rng.random() < 0.6) for i in range(120)]
+    state, processor, found, seen, want = State(), watch._Failures(6), [], [], None
+    processor.init(state)
+    for step in range(12):
+        before, now = state.calls, step * 30
+        rows = [m for m in marks if m not in seen and m.at >= now - 30 and (m.at < now + 60 or rng.random() < 0.1)]  # what is late is dropped, some come early
+        seen += rows
+        got = state.work(processor, rows, now)
+        n = 0
+        for m in sorted((m for m in seen if m.at < now), key=lambda m: (m.at, m.id)):
+            n = n + 1 if m.failed else 0
+            if n == 6 and want is None:
+                want = (m.at, m.id, step)
+        found += [(r.ended_at, r.by_id, step) for r in got]
+        assert len(state.timers) <= 1 and state.calls - before <= 9
+    assert found == ([want] if want else [])
+    assert not state.timers and not any(state.value[3:])
