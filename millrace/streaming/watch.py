@@ -111,46 +111,46 @@ class _Failures(StatefulProcessor):
 
 
 class _Stages(StatefulProcessor):
-    """The state of each stage of a key: its last mark, its failures; a running stage falls back to pending when it has been silent too long."""
+    """The state of each stage of a key: its last mark, its failures; a running stage falls back to pending when it has been silent too long.
+
+    All that is known of a key is one value and one timer, for the running stage that is lost first.
+    """
 
     def __init__(self, stages: Sequence[str], silence_ms: int, limit: int) -> None:
         self.stages, self.silence, self.limit = list(stages), silence_ms, limit
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.marks = handle.getMapState("marks", "stage string", "at bigint, status string, failed int")
-        self.version = handle.getValueState("version", "n bigint")
+        self.state = handle.getValueState("state", "version bigint, due bigint, stage array<string>, at array<bigint>, status array<string>, failed array<int>")
 
-    def _said(self, key, now: int) -> Iterator[Row]:
-        number = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((number,))
+    def _went_on(self, key, rows, now: int, fired: bool) -> Iterator[Row]:
+        number, due, *known = self.state.get() or (0, None, [], [], [], [])
+        marks = {stage: mark for stage, *mark in zip(*known)}
+        for r in rows:
+            at, last, failed = marks.get(r.stage, (None, None, 0))
+            if at is None or (r.at, r.status) > (at, last):
+                at, last = r.at, r.status
+            marks[r.stage] = (at, last, failed + (r.status == "failed"))
+        next_ = min((at + self.silence for at, last, _ in marks.values() if last == "running" and at + self.silence > now), default=None)
+        if next_ != due:
+            if due is not None and not fired:
+                self.handle.deleteTimer(due)
+            if next_ is not None:
+                self.handle.registerTimer(next_)
+        self.state.update((number + 1, next_, list(marks), *map(list, zip(*marks.values()))))
         ready = True
         for stage in self.stages:
-            at, last, failed = self.marks.getValue((stage,)) if self.marks.containsKey((stage,)) else (None, None, 0)
+            at, last, failed = marks.get(stage, (None, None, 0))
             lost = last is None or last == "running" and at + self.silence <= now or last == "failed" and failed < self.limit
             own = "pending" if lost else last
-            yield Row(key=key, version=number, stage=stage, status=own if ready else "pending", attempts=failed, next=ready and own == "pending")
+            yield Row(key=key, version=number + 1, stage=stage, status=own if ready else "pending", attempts=failed, next=ready and own == "pending")
             ready = ready and own == "done"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        for r in rows:
-            at, last, failed = self.marks.getValue((r.stage,)) if self.marks.containsKey((r.stage,)) else (None, None, 0)
-            failed += r.status == "failed"
-            if at is None or (r.at, r.status) > (at, last):
-                if last == "running":
-                    self.handle.deleteTimer(at + self.silence)
-                at, last = r.at, r.status
-            self.marks.updateValue((r.stage,), (at, last, failed))
-        for stage in self.stages:  # two stages may have had one timer: what is running has one
-            if self.marks.containsKey((stage,)):
-                at, last, _ = self.marks.getValue((stage,))
-                if last == "running" and at + self.silence > now:
-                    self.handle.registerTimer(at + self.silence)
-        yield from self._said(key[0], now)
+        yield from self._went_on(key[0], rows, timerValues.getCurrentWatermarkInMs(), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._said(key[0], max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()))
+        yield from self._went_on(key[0], [], max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), True)
 
 
 def _watched(marks: DataFrame, key: str, ts: str, late: str, columns: Sequence[Column], processor: StatefulProcessor, added: str) -> DataFrame:

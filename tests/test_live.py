@@ -223,3 +223,30 @@ def test_failures_need_one_timer_and_no_more_calls_for_more_marks(seed):
         assert len(state.timers) <= 1 and state.calls - before <= 9
     assert found == ([want] if want else [])
     assert not state.timers and not any(state.value[3:])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_stages_need_one_timer_and_no_more_calls_for_more_marks(seed):
+    rng = random.Random(seed)
+    order = ["probe", "fetch", "keep"]
+    state, processor, seen = State(), watch._Stages(order, 50, 2), []
+    processor.init(state)
+    for step in range(12):
+        before, now = state.calls, step * 30
+        rows = [Row(at=max(0, now + rng.randrange(-30, 60)), stage=rng.choice(order), status=rng.choice(["running", "done", "done", "failed"])) for _ in range(rng.choice([0, 1, 4, 40]) if step < 8 else 0)]
+        seen += rows
+        got = state.work(processor, rows, now)
+        want, ready = {}, True
+        for stage in order:
+            marks = [(m.at, m.status) for m in seen if m.stage == stage]
+            failed = sum(s == "failed" for _, s in marks)
+            at, last = max(marks, default=(0, "pending"))
+            own = "pending" if last == "running" and at + 50 <= now or last == "failed" and failed < 2 else last
+            want[stage] = (own if ready else "pending", failed, ready and own == "pending")
+            ready = ready and own == "done"
+        if got:
+            assert {r.stage: (r.status, r.attempts, r.next) for r in got[-3:]} == want and got[-1].version == max(r.version for r in got)
+            said = want
+        assert not seen or said == want  # whatever changes is told at once
+        assert len(state.timers) <= 1 and state.calls - before <= 8
+    assert not state.timers
