@@ -106,10 +106,12 @@ def text_in_order(rows: DataFrame, by: Sequence[str], order: Sequence[str], text
     return rows.groupBy(*by).agg(F.trim(F.regexp_replace(joined, r"\s+", " ")).alias(out), F.count("*").alias("n_parts"))
 
 
-def adjacent(frame: DataFrame, by: Sequence[str], position: str, columns: Sequence[str]) -> DataFrame:
-    """Pairs of rows whose positions differ by one; a gap makes no pair."""
+def adjacent(frame: DataFrame, by: Sequence[str], position: str, columns: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """Pairs of rows whose positions differ by one; a gap makes no pair. tasks: how many join, else the session's number."""
     left = frame.select(*by, F.col(position).alias("a_pos"), *[F.col(c).alias(f"a_{c}") for c in columns])
     right = frame.select(*by, (F.col(position) - 1).alias("a_pos"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    if tasks:
+        left, right = (side.repartition(tasks, *by, "a_pos") for side in (left, right))
     return left.join(right, [*by, "a_pos"])
 
 

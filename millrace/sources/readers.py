@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,8 @@ from pyspark.sql import types as T
 from millrace import schemas
 
 CORRUPT = "_corrupt_record"
+#: Rows that a task is given where it holds about one group a row.
+ROWS = 500_000
 
 
 def bars(spark: SparkSession, path: str) -> DataFrame:
@@ -119,6 +123,20 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def tasks(scan: DataFrame) -> int:
+    """Tasks that have about ``ROWS`` rows of a plain scan each (counted from the files' footers), but no fewer than there are cores."""
+    return max(scan.sparkSession.sparkContext.defaultParallelism, -(-scan.count() // ROWS))
+
+
+def dealt(scan: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A plain scan's rows by key over ``tasks``, for aggregates whose groups are nearly as many as rows.
+
+    What a task's tables of groups hold then stays the same however large the
+    scan is, and none are built of what one file's split happens to have.
+    """
+    return scan.repartition(tasks(scan), *by)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -236,3 +236,30 @@ def test_sketches_merge_in_any_order_within_their_error(spark):
     off = stats.sketch_quantiles(stats.merged_sketches(parts, ["g"]), ["g"], {"p50": 0.7})
     assert not any(r.p50 for r in stats.rank_within(rows, ["g"], "x", off, {"p50": 0.5}).collect())
     assert stats.sketched(rows.where("x < 0"), ["g"], "x").count() == 0
+
+
+def test_level_pairs_are_those_of_the_labels_one_by_one(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from millrace.plans import market
+
+    lines = [(1, 1, 5.0, 0.1, None), (1, 2, 5.0, 0.2, 0.3), (1, 3, 6.0, None, 0.3), (1, 3, 6.0, 0.1, 0.3), (1, 4, 1.0, 0.1, 0.3), (1, 5, None, None, 0.3), (2, 1, None, None, 1.0), (2, 2, 1.0, 1.0, None), (3, 1, 1.0, 1.0, 1.0)]
+    rows = spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    levels = rows.select("l_orderkey", "l_linenumber", F.stack(F.lit(3), F.lit("qty"), "l_quantity", F.lit("discount"), "l_discount", F.lit("tax"), "l_tax").alias("label", "price"))
+    once = joins.unique_labels(levels, ["l_orderkey", "l_linenumber"], "label", "price")
+    want = joins.adjacent(once, ["l_orderkey", "label"], "l_linenumber", ["price"])
+    columns = ["l_orderkey", "label", "a_pos", "a_price", "b_price"]
+    got = sorted(market._level_pairs(spark, str(tmp_path)).select(columns).collect())
+    assert got == sorted(want.select(columns).collect()) and len(got) == 3
+
+
+@pytest.mark.parametrize("name", ["merged_consistency", "pair_change_class"])
+def test_tasks_grow_with_the_lines(spark, monkeypatch, name):
+    """A task's aggregates and joins have so many lines, whatever the session's partitions (4 here)."""
+    from millrace.plans import market
+    from millrace.sources import readers
+
+    monkeypatch.setattr(readers, "ROWS", 100, raising=False)
+    plan = getattr(market, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber") and ", 60" in plan and "RepartitionByExpression" in plan
